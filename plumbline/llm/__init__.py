@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import histogram_sharding, quality_rules, spotsigs
+from . import (
+    best_fit_packing,
+    byte_bpe,
+    histogram_sharding,
+    language_id,
+    ngram_jaccard_join,
+    quality_rules,
+    spotsigs,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_spotsigs": spotsigs.op3_spotsigs,
+        "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
         "op6_histogram_sharding": histogram_sharding.op6_histogram_sharding,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_ngram_jaccard_join": ngram_jaccard_join.op9_ngram_jaccard_join,
     }
 
 
