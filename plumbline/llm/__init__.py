@@ -12,8 +12,11 @@ from . import (
     histogram_sharding,
     language_id,
     ngram_jaccard_join,
+    pii,
+    quality_classifier,
     quality_rules,
     spotsigs,
+    toxicity,
 )
 
 
@@ -22,10 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.op1_language_id,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_spotsigs": spotsigs.op3_spotsigs,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
         "op6_histogram_sharding": histogram_sharding.op6_histogram_sharding,
+        "op7_pii": pii.op7_pii,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_ngram_jaccard_join": ngram_jaccard_join.op9_ngram_jaccard_join,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 

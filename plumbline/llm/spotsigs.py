@@ -16,7 +16,7 @@ REACH = 8
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, reach: int = REACH) -> Column:
-    """The sorted distinct signature hashes (array of long) of a whole text.
+    """The sorted distinct signature hashes (array of int) of a whole text.
 
     Words are lower-case runs of letters, marks and digits.  Each anchor word opens one signature: itself and the
     first ``chain`` words that are no anchors among the ``reach`` words after it, or as many as there are.  A text with
@@ -28,14 +28,14 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CH
 
     def chain_at(w: Column, i: Column) -> Column:
         content = F.filter(F.slice(w, i + 2, reach), lambda x: ~x.isin(*anchors))
-        return F.xxhash64(F.get(w, i), *[F.get(content, F.lit(k)) for k in range(chain)])
+        return F.hash(F.get(w, i), *[F.get(content, F.lit(k)) for k in range(chain)])
 
     def spots(w: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(*anchors))
         every = F.sequence(F.lit(0), F.size(w) - 1)
         return let(at, lambda a: F.transform(F.when(F.size(a) > 0, a).otherwise(every), lambda i: chain_at(w, i)))
 
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<int>")
     return let(words, lambda w: F.when(F.size(w) == 0, none).otherwise(F.sort_array(F.array_distinct(spots(w)))))
 
 
@@ -55,7 +55,7 @@ def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
 def as_string(signature: Column) -> Column:
     """A fingerprint as text: its length partition, then its signatures in hexadecimal."""
     return F.concat_ws(
-        ":", F.size(signature).cast("string"), F.concat_ws(",", F.transform(signature, lambda h: F.hex(h)))
+        ":", F.size(signature).cast("string"), F.concat_ws(",", F.transform(signature, lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
     )
 
 
@@ -135,12 +135,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     id's least text stands for "next"; a document without another is its own next.  Null text is empty; rows with a
     null id are edited with nothing and have a null ``near_next``.  An empty table gives an empty result.
     """
-    own = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("n_chars", F.length("text").cast("long"))
-    order = followers(own.select("id"), "id")
-    wants = own.groupBy("id").agg(F.max("n_chars").alias("most"))
-    wants = wants.join(order, "id").select(
+    every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # both joins below read this same table by id, so its texts are shuffled once
+    own = every.where(F.col("id").isNotNull())
+    wants = own.groupBy("id").agg(F.max(F.length("text")).alias("most")).join(followers(own.select("id"), "id"), "id")
+    wants = wants.select(
         F.col("id").alias("want_id"), F.col("next_id").alias("id"), F.floor(F.col("most") / 2).cast("int").alias("half")
     )
     giving = own.join(wants, "id").select(
@@ -148,12 +147,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(F.left("text", F.col("half")).alias("head"), signatures(F.col("text")).alias("sigs")).alias("given"),
     )
     giving = giving.groupBy("id").agg(F.min("given").alias("given"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    kept = F.left("text", (F.col("n_chars") - half).cast("int"))
-    edited = F.concat(kept, F.left(F.coalesce("given.head", F.lit("")), half))
-    both = own.join(giving, "id", "left").select(
+    alone = every.where(F.col("id").isNull()).withColumn("given", F.lit(None).cast(giving.schema["given"].dataType))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("given.head", F.lit("")), half))
+    both = own.join(giving, "id").unionByName(alone).select(
         "id",
-        "n_chars",
+        F.length("text").cast("long").alias("n_chars"),
         edited.alias("edited"),
         signatures(F.col("text")).alias("signatures"),
         F.col("given.sigs").alias("next_signatures"),
