@@ -1,4 +1,4 @@
-"""Binds the operators to the supplied tables: one query, and one DuckDB statement, per operator."""
+"""All bound queries: the operators over the supplied tables, one DuckDB statement for each that SQL can state."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import decisions, energy, ingestion  # noqa: F401  they register their queries
+from ._registry import ORACLE, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
