@@ -88,8 +88,10 @@ def charge_rate(df: DataFrame, current: Column, recommended: Column, maximum: Co
 
 def charger_output(rated: Column, limit: Column, available: Column, eta: Column) -> Column:
     """Power that a charger can give: the least of its rating, its configured limit and its converted input."""
-    bad = ~el.non_negative(rated) | ~F.coalesce(el.non_negative(limit), F.lit(True))
-    bad = bad | ~F.coalesce(el.non_negative(available), F.lit(True)) | ~F.coalesce(el.efficiency(eta), F.lit(True))
+    given = ((limit, el.non_negative), (available, el.non_negative), (eta, el.efficiency))
+    bad = ~el.non_negative(rated)
+    for x, valid in given:
+        bad = bad | (x.isNotNull() & ~valid(x))
     return F.when(bad, F.lit(0.0)).otherwise(F.least(rated, limit, available * F.coalesce(eta, F.lit(1.0))))
 
 

@@ -126,10 +126,22 @@ def route_walk(df: DataFrame, key: list[str], order: list[str], source: str, tar
     )
 
 
-def carried_forward(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with the last known ``value`` at or before each row."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+def carried_forward(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the last known ``value`` at or before each row of its key.
+
+    ``bucket`` cuts a key into stretches that follow ``order`` (days, say).  A row looks back within its stretch, and
+    beyond it to the last value of the nearest earlier stretch that has one, so a key with very many rows is never
+    sorted as a whole.
+    """
+    cut_up = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = cut_up.groupBy(*key, "_bucket").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end")
+    )
+    earlier = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*key, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    joined = cut_up.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(before, [*key, "_bucket"], "left")
+    return joined.withColumn(out, F.coalesce("_own", "_before")).drop("_bucket", "_own", "_before")
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
