@@ -110,3 +110,80 @@ def record_digest(*parts: Column) -> Column:
     """sha256 of the parts joined by a separator that keeps their bounds; a null part has a mark of its own."""
     marked = [F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]
     return F.sha2(F.concat_ws("\u001f", *marked), 256)
+
+
+def significant(x: Column, digits: int = 3) -> Column:
+    """``x`` to that many significant digits; zero stays zero."""
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
+
+
+_N = r"(\d+(?:\.\d+)?|\.\d+)"
+VOLTAGE_RANGE = rf"(?i)^\s*{_N}\s*(?:-|–|to)\s*{_N}\s*(mV|kV|V)\s*(AC|DC)?\s*$"
+TRIPLE = rf"(?i)^\s*{_N}\s*[x×]\s*{_N}\s*[x×]\s*{_N}\s*(mm|cm|m|in)\s*$"
+_LENGTH_MM = {"mm": 1.0, "cm": 10.0, "m": 1000.0, "in": 25.4}
+_VOLTS = {"mv": 0.001, "v": 1.0, "kv": 1000.0}
+
+
+def _factor(unit: Column, table: dict[str, float]) -> Column:
+    out = F.lit(None).cast("double")
+    for name, value in table.items():
+        out = F.when(F.lower(unit) == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def voltage_range(raw: Column) -> Column:
+    """Struct ``low_v, high_v, domain`` of a text such as ``10 - 16 V DC``; null where it is no ascending range."""
+    part = lambda k: F.regexp_extract(raw, VOLTAGE_RANGE, k)
+    f = _factor(part(3), _VOLTS)
+    low, high = part(1).try_cast("double") * f, part(2).try_cast("double") * f
+    domain = F.nullif(F.lower(part(4)), F.lit(""))
+    return F.when(low <= high, F.struct(low.alias("low_v"), high.alias("high_v"), domain.alias("domain")))
+
+
+def dimensions_mm(raw: Column) -> Column:
+    """Struct ``x, y, z`` in millimetres of ``height x width x depth unit``: the first number is the height z."""
+    part = lambda k: F.regexp_extract(raw, TRIPLE, k)
+    f = _factor(part(4), _LENGTH_MM)
+    a, b, c = (part(k).try_cast("double") * f for k in (1, 2, 3))
+    return F.when((a > 0) & (b > 0) & (c > 0), F.struct(b.alias("x"), c.alias("y"), a.alias("z")))
+
+
+def dual_units_agree(raw: Column) -> Column:
+    """Whether both halves of ``10 x 20 x 30 in | 254 x 508 x 762 mm`` describe one body: after conversion each pair of
+    numbers lies within the half steps of their printed decimals.  Null where a half does not parse."""
+    number = F.lit(_N)
+
+    def body(side: Column) -> Column:
+        """Values in millimetres, and half a printed step of each."""
+        unit = _factor(F.regexp_extract(side, TRIPLE, 4), _LENGTH_MM)
+        texts = F.when(side.rlike(TRIPLE), F.regexp_extract_all(side, number, F.lit(1)))
+        return F.transform(
+            texts,
+            lambda t: F.struct(
+                (t.try_cast("double") * unit).alias("v"),
+                (unit * 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(t, r"\.(\d*)$", 1)))).alias("h"),
+            ),
+        )
+
+    sides = F.split(raw, r"\|", -1)
+    both = F.zip_with(
+        body(F.get(sides, F.lit(0))),
+        body(F.get(sides, F.lit(1))),
+        lambda a, b: F.abs(a["v"] - b["v"]) <= a["h"] + b["h"] + 1e-9,
+    )
+    return F.when(F.size(sides) == 2, F.forall(both, lambda x: x))
+
+
+#: Endpoint names that change something, so that a capture never requests them.
+ACTIONS = (
+    "cart checkout purchase login logout signin signout register edit delete remove save submit add update empty clear "
+    "addtocart backlink index"
+).split()
+
+
+def read_only_url(url: Column) -> Column:
+    """Whether no path segment of a URL, without a script ending, is the name of an action."""
+    path = F.lower(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1))
+    names = F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, r"\.(?:php|aspx?)$", ""))
+    return ~F.arrays_overlap(names, F.array(*map(F.lit, ACTIONS)))
