@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,63 +27,115 @@ from ._tokens import PATTERN, broadcast_ranks, encoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 16 << 20
+#: Encoded words that a task holds back to send a block's together.
+HELD_WORDS = 1 << 20
 
 _WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.string())])
 _CODED = pa.schema(
     [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())]
 )
-_IDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_IDS = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
 
 
 class _Block:
-    """Documents of one block: words are numbered as they first occur, and the name is a digest of the texts."""
+    """Documents of one block.  Its words are coded by falling frequency, then first occurrence; its name is a digest of
+    the texts."""
 
-    def __init__(self, keep_codes: bool):
-        self.keep_codes = keep_codes
+    def __init__(self):
         self.chars = 0
         self.digest = hashlib.blake2b(digest_size=8)
-        self.code_of: defaultdict[str, int] = defaultdict()
-        self.code_of.default_factory = self.code_of.__len__
+        self.seen: defaultdict[str, int] = defaultdict()
+        self.seen.default_factory = self.seen.__len__
         self.documents: list[tuple[int, np.ndarray]] = []
 
     def add(self, split, doc_id: int, text: str) -> None:
         raw = text.encode()
         self.digest.update(len(raw).to_bytes(8, "little"))
         self.digest.update(raw)
-        codes = list(map(self.code_of.__getitem__, split(text)))
-        if self.keep_codes:
-            self.documents.append((doc_id, np.array(codes, "<u4")))
+        self.documents.append((doc_id, np.array(list(map(self.seen.__getitem__, split(text))), "<u4")))
         self.chars += len(text) + 16
 
     @property
     def name(self) -> int:
         return int.from_bytes(self.digest.digest(), "little", signed=True)
 
+    def codes(self) -> np.ndarray:
+        """Code of each word, in order of first occurrence."""
+        counts = np.zeros(len(self.seen), np.int64)
+        for _, words in self.documents:
+            np.add.at(counts, words, 1)
+        out = np.empty(len(counts), "<u4")
+        out[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        return out
 
-def _blocks(batches: Iterator[pa.RecordBatch], keep_codes: bool, block_chars: int) -> Iterator[_Block]:
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[_Block]:
     split = regex.compile(PATTERN).findall
-    block = _Block(keep_codes)
+    block = _Block()
     for doc_id, text in rows(batches, "doc_id", "text"):
         block.add(split, doc_id, text or "")
         if block.chars >= block_chars:
             yield block
-            block = _Block(keep_codes)
+            block = _Block()
     if block.chars:
         yield block
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Codes as byte planes (the low bytes, then the next, ...), which compress better than the numbers."""
-    planes = codes.view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+def _squeezed(x: np.ndarray) -> bytes:
+    """A compressed array of unsigned 32-bit numbers that are mostly small: a byte each, and where that is 255 the number
+    itself in three or four byte planes, which compress better than the numbers."""
+    x = x.astype("<u4", copy=False)
+    large = x[x >= 255]
+    planes = np.ascontiguousarray(large.view(np.uint8).reshape(-1, 4).T)
+    raw = len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + planes.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unsqueezed(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    out = raw[8 : 8 + n].astype("<u4")
+    planes = raw[8 + n :].reshape(4, -1)
+    out[out == 255] = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return out
+
+
+class _Sender:
+    """Holds encoded words back, to send those of a block together."""
+
+    def __init__(self):
+        self.held: defaultdict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.n = 0
+
+    def add(self, block: np.ndarray, code: np.ndarray, found: list[list[int]]) -> Iterator[pa.RecordBatch]:
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum()))
+        order = np.argsort(block, kind="stable")
+        ends = np.cumsum(counts)
+        for rows_of in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            c = counts[rows_of]
+            self.held[int(block[rows_of[0]])].append((code[rows_of], c, _gathered(flat, (ends - counts)[rows_of], c)))
+        self.n += len(found)
+        if self.n >= HELD_WORDS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        out = Writer(_IDS, size=64)
+        for block, parts in self.held.items():
+            yield from out.add((block, *(_squeezed(np.concatenate(x)) for x in zip(*parts, strict=True))))
+        yield from out.flush()
+        self.held.clear()
+        self.n = 0
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start : start + length]``, one after the other."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - (ends - length), length) + np.arange(total)]
 
 
 def encode(
@@ -106,35 +159,30 @@ def encode(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, False, block_chars):
-            words, name = list(block.code_of), block.name
+        for block in _blocks(batches, block_chars):
+            words, codes, name = list(block.seen), block.codes(), block.name
             for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), name)),
-                        pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
-                    ],
-                    schema=_WORDS,
-                )
+                part = pa.array(words[at : at + 20_000], pa.string())
+                own = codes[at : at + 20_000].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own), part], schema=_WORDS)
 
     def order_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, True, block_chars):
+        for block in _blocks(batches, block_chars):
             out = Writer(_CODED, size=1)
-            name, held, size = block.name, [], 0
+            name, code_of, held, size = block.name, block.codes(), [], 0
             for doc in [*block.documents, None]:
                 if doc:
                     held.append(doc)
                     size += len(doc[1])
                 if held and (doc is None or size >= 1 << 19):
-                    codes = np.concatenate([c for _, c in held])
-                    yield from out.add((name, [i for i, _ in held], [len(c) for _, c in held], _packed(codes)))
+                    packed = _squeezed(code_of[np.concatenate([c for _, c in held])])
+                    yield from out.add((name, [i for i, _ in held], [len(c) for _, c in held], packed))
                     held, size = [], 0
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # equal words follow each other
         bpe = encoder(ranks).encode_ordinary
+        out = _Sender()
         last, ids = None, []
         for batch in batches:
             found = []
@@ -142,38 +190,35 @@ def encode(
                 if word != last:
                     last, ids = word, bpe(word)
                 found.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=_IDS
-            )
+            if found:
+                yield from out.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), found)
+        yield from out.flush()
 
     def assemble(words: pa.Table, documents: pa.Table) -> pa.Table:
-        n = words.num_rows
-        if documents.num_rows == 0 or (n == 0 and any(len(c.as_py()) and sum(c.as_py()) for c in documents["counts"])):
+        counts_of = documents["counts"].to_pylist()
+        if not counts_of or (words.num_rows == 0 and any(map(sum, counts_of))):
             raise ValueError("the two reads of the documents gave different blocks; write them as a table first")
-        code = words["code"].to_numpy()
-        lists = words["ids"].combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
+        code, length_of, flat = (
+            np.concatenate([np.empty(0, "<u4"), *map(_unsqueezed, words[c].to_pylist())]) for c in ("codes", "counts", "ids")
+        )
+        n = int(code.max()) + 1 if len(code) else 0
         start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        start[code], length[code] = offsets[:-1], np.diff(offsets)
+        start[code], length[code] = np.cumsum(length_of, dtype=np.int64) - length_of, length_of
         out = Writer(_ENCODED, size=1 << 30, weight=1 << 62)
-        for ids, counts, packed in zip(*(documents[c].to_pylist() for c in ("ids", "counts", "codes")), strict=True):
-            codes, at = _unpacked(packed), 0
+        for ids, counts, packed in zip(documents["ids"].to_pylist(), counts_of, documents["codes"].to_pylist(), strict=True):
+            codes, at = _unsqueezed(packed), 0
             for doc_id, count in zip(ids, counts, strict=True):
                 own = codes[at : at + count]
                 at += count
-                runs = length[own]
-                ends = np.cumsum(runs)
-                total = int(ends[-1]) if count else 0
-                where = np.repeat(start[own] - (ends - runs), runs) + np.arange(total)
-                list(out.add((doc_id, total, flat[where].tobytes())))
+                tokens = _gathered(flat, start[own], length[own])
+                list(out.add((doc_id, len(tokens), tokens.tobytes())))
         return pa.Table.from_batches(list(out.flush()), schema=_ENCODED)
 
     coded = (
         slim.mapInArrow(words_of, "block long, code int, word string")
         .repartition("word")
         .sortWithinPartitions("word")
-        .mapInArrow(encode_words, "block long, code int, ids array<int>")
+        .mapInArrow(encode_words, "block long, codes binary, counts binary, ids binary")
     )
     ordered = slim.mapInArrow(order_of, "block long, ids array<long>, counts array<int>, codes binary")
     return (
@@ -202,11 +247,8 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
         out = Writer(_DECODED, size=1024, weight=4 << 20)
         for doc_id, n, raw in rows(batches, "doc_id", "n_tokens", "ids"):
             ids = np.frombuffer(raw, "<u4")
-            runs = length[ids]
-            ends = np.cumsum(runs)
-            total = int(ends[-1]) if n else 0
-            where = np.repeat(start[ids] - (ends - runs), runs) + np.arange(total)
-            yield from out.add((doc_id, n, raw, flat[where].tobytes()), len(raw) + total)
+            whole = _gathered(flat, start[ids], length[ids]).tobytes()
+            yield from out.add((doc_id, n, raw, whole), len(raw) + len(whole))
         yield from out.flush()
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
