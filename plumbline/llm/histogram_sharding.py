@@ -18,6 +18,8 @@ from ._storage import cut, table
 #: Bits that one round of probes resolves: 2**8 candidates in every open interval.
 PROBE_BITS = 8
 KEY_BITS = 128
+#: Bits that all rows of one text share.
+TEXT_BITS = 64
 SIGN = -(1 << 63)
 
 
@@ -65,9 +67,11 @@ def _digit(bits: int) -> Column:
     return _unsigned_digits(column, used + PROBE_BITS).bitwiseAND(F.lit((1 << PROBE_BITS) - 1)).cast("int")
 
 
-def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) -> list[int]:
+def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float, whole: float = 0.0) -> list[int]:
     """128-bit boundary keys, one per target: the bytes of rows below a boundary differ from its target by at most
-    ``tolerance``, or by less than the row at the boundary where one row alone is larger than that.
+    ``tolerance``, or by less than the row at the boundary where one row alone is larger than that.  With ``whole``,
+    a boundary inside a run of equal texts moves to the nearer end of it if that is at most ``whole`` bytes, or one
+    of its rows, away.
 
     ``keyed`` has ``key_hi``, ``key_lo`` (longs, in signed order) and ``weight``.  The driver sees at most
     256 counts per open boundary and round, whatever the number of rows.
@@ -99,7 +103,8 @@ def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) ->
                 continue
             prefix = (o.prefix << PROBE_BITS) | digit
             low, high = abs(o.target - below), abs(below + size - o.target)
-            if min(low, high) <= tolerance or n == 1 or bits == KEY_BITS:
+            together = whole and bits == TEXT_BITS and min(low, high) <= max(whole, size / n)
+            if min(low, high) <= tolerance or n == 1 or bits == KEY_BITS or together:
                 found[o.index] = (prefix + (high < low)) << (KEY_BITS - bits)
             else:
                 narrowed.append(_Open(o.index, o.target, prefix, below))
@@ -129,12 +134,14 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     tolerance: float = 1e-4,
+    whole: float = 5e-3,
     slices_per_shard: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` (0 to ``num_shards`` - 1) and ``slot`` (gapless from 0).
 
     A row's size is the UTF-8 bytes of its text plus 16; shards differ from the mean by ``tolerance`` of it, or by part
-    of the row at the boundary.  Each shard is cut further into ``slices_per_shard`` slices of equal bytes, one task
+    of the row at the boundary.  Equal texts stay in one shard where that moves the boundary by at most ``whole`` of
+    the mean or by one row; a larger group fills a run of shards.  Each shard is cut further into ``slices_per_shard`` slices of equal bytes, one task
     each, so that neither a shard nor a run of equal texts is one task's work (default: as many as fill
     ``spark.sql.shuffle.partitions``, 8 at most).
 
@@ -160,7 +167,7 @@ def shard(
         slices_per_shard = max(1, min(8, -(-wanted // num_shards)))
     n_slices = num_shards * slices_per_shard
     targets = [total * k / n_slices for k in range(1, n_slices)]
-    splitters = find_splitters(keyed, targets, tolerance * total / num_shards) if total else []
+    splitters = find_splitters(keyed, targets, tolerance * total / num_shards, whole * total / num_shards) if total else []
 
     slices = keyed.groupBy(_slice_of(splitters).alias("slice")).count().collect()
     size_of = {r["slice"]: r["count"] for r in slices}

@@ -79,8 +79,9 @@ def _runs(text: str) -> Iterator[str]:
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts with two blanks before each, and the place where each begins."""
-    points = np.frombuffer("".join(f"  {t}" for t in texts).encode("utf-32-le"), "<u4")
+    """Code points of all texts with two blanks before each and after the last, so that the n-grams of a text are the
+    same wherever it stands; and the place where each begins."""
+    points = np.frombuffer("".join([*(f"  {t}" for t in texts), "  "]).encode("utf-32-le"), "<u4")
     lengths = np.array([len(t) + 2 for t in texts])
     return points, np.cumsum(lengths) - lengths
 

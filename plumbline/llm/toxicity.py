@@ -265,7 +265,10 @@ class LabelModel:
         eps = 0.5 / max(n, 1) + 1e-6
         self.clean = np.clip(mean - prior * delta, eps, 1 - eps)
         self.toxic = np.clip(self.clean + delta, eps, 1 - eps)
-        self.correlation = np.where(dependent, np.abs((cov - np.outer(a, a)) / scale), 0)
+        # within the classes, so that a voter and its copy count as one
+        within = np.maximum(np.diag(cov) - a**2, 1e-12)
+        own = np.abs(cov - np.outer(a, a)) / np.sqrt(np.outer(within, within))
+        self.correlation = np.where(dependent, np.minimum(own, 1), 0)
         self.trust = 1 / (1 + self.correlation.sum(axis=1))
         self.prior = prior
 

@@ -22,9 +22,12 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) >= 0.98
 
 
-def test_language_of_odd_rows(odd, odd_rows, none):
-    got = language_id.identify(odd).collect()
-    assert len(got) == len(odd_rows)
+def test_language_of_odd_rows(spark, odd, odd_rows, none):
+    # id 6 is held out, so German is learned from rows of its own
+    german = [(i, prose(random.Random(i), "de", 80), "de") for i in (101, 102, 103, 104)]
+    taught = odd.unionByName(spark.createDataFrame(german, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    got = language_id.identify(taught).collect()
+    assert len(got) == len(odd_rows) + len(german)
     by = {r.doc_id: r for r in got}
     assert by[2].lang_pred == by[3].lang_pred == by[4].lang_pred == by[-3].lang_pred == "und"
     assert by[5].lang_pred == "en" and by[6].lang_pred == "de" and by[None].held_out

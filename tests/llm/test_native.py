@@ -39,6 +39,20 @@ def test_one_text_in_a_third_of_rows_is_split(spark, slices):
     assert len(hot) > 1 and hot == list(range(hot[0], hot[-1] + 1))
 
 
+def test_small_groups_of_equal_texts_stay_together(spark):
+    rows = [(i, f"text {i // 3}" * (i // 3 % 7 + 1)) for i in range(3000)]
+    got = hs.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(r.text, set()).add(r.shard)
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    mean, largest = sum(size.values()) / 5, max(r.size for r in got)
+    assert sum(len(s) > 1 for s in shards_of.values()) <= 1
+    assert all(abs(s - mean) <= 2 * max(0.005 * mean, largest) for s in size.values())
+
+
 def test_splitters_are_those_of_a_full_sort(spark):
     rows = [(i * 7919 % 1009 - 500, i % 5, i % 13 + 1) for i in range(2000)]
     keyed = spark.createDataFrame(rows, "key_hi long, key_lo long, weight long")
@@ -90,7 +104,7 @@ def test_quality_rules_match_the_oracle(spark, duck, sf_dir):
 
 
 def test_a_broken_rule_is_named(spark):
-    df = spark.createDataFrame([("the a ## $$ " * 40,), ("word " * 60,), ("x",)], "text string")
+    df = spark.createDataFrame([("the a # $$ " * 40,), ("word " * 60,), ("x",)], "text string")
     assert [r.broken_rules for r in qr.apply_rules(df).collect()] == [
         ["repeats_words", "mean_word_length", "symbols"], ["repeats_words", "stop_words"], ["too_short", "mean_word_length", "stop_words"],
     ]
