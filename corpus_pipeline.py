@@ -6,7 +6,7 @@ documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import best_fit_packing, ngram_jaccard_join, pii, quality_rules, toxicity
@@ -14,6 +14,10 @@ from plumbline.llm._storage import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+def _keys() -> list[Column]:
+    """What joins know a row by: rows that share both have one text, so one verdict."""
+    return [ngram_jaccard_join.id_of(F.col("doc_id")).alias("_id"), ngram_jaccard_join.digest(F.col("text")).alias("_digest")]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not predict as toxic."""
@@ -28,10 +32,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group of copies and near copies: the one with the least id."""
-    classes = ngram_jaccard_join.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of copies and near copies, that of the least id.
+
+    A row without an id stays only where its whole group has none; of repeated rows one stays, and of several texts
+    under one id each that stands for its group.
+    """
+    kept = ngram_jaccard_join.representatives(docs).toDF("_id", "_digest")
+    # repeated rows meet before the join, so that a row that is there very often is no hot key of it
+    single = docs.select(*COLUMNS).groupBy(*_keys()).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return single.join(kept, ["_id", "_digest"], "left_semi").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

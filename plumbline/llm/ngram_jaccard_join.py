@@ -8,7 +8,6 @@ and gives out the number of links of each class and a spanning forest of the lin
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -16,7 +15,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batches import Writer, rows
@@ -53,8 +52,14 @@ def choose_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
     return best
 
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+def digest(text: Column) -> Column:
+    """SHA-256 of the text; null text is empty text."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def id_of(doc_id: Column) -> Column:
+    """The id as joins have it."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -138,34 +143,24 @@ def _unit(members: list[tuple[int, int, bytes]], threshold: float) -> Iterator[t
                 yield ids[i], ids[j], 0
 
 
-def near_duplicates(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = WORDS,
-    recall: float = RECALL,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the least id among the documents that links and copies connect
-    with it), ``n_links`` (the other texts whose n-gram set has a Jaccard similarity of ``threshold`` with its own) and
-    ``n_copies`` (the documents with its very text, itself included).
-
-    Null text is empty text; texts without words are linked to none, but equal ones are copies.  Repeated rows are
-    copies.  A null id stays null and is never a class's name unless the class has no other.  An empty table gives
-    an empty result; further columns are not read.
-    """
+def _classes(
+    docs: DataFrame, threshold: float, words: int, recall: float, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Every row (``doc_id, digest, bands``), and every distinct text (``cid, digest, rep, n_copies, n_links,
+    component``): ``rep`` is the least id that has it, ``component`` what links connect it with."""
     bands, per_band = choose_bands(threshold, recall, MOST_HASHES)
     slim = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        id_of(F.col(id_col)).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        digest(F.col(text_col)).alias("digest"),
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(_SIGNATURE)
-        for doc_id, text in rows(batches, "doc_id", "text"):
+        for doc_id, own, text in rows(batches, "doc_id", "digest", "text"):
             grams = shingles(text, words)
             found = minhash_bands(grams, bands, per_band) if len(grams) else []
-            yield from out.add((doc_id, digest(text), found))
+            yield from out.add((doc_id, own, found))
         yield from out.flush()
 
     signed = cut(slim.mapInArrow(sign, "doc_id long, digest binary, bands array<long>"))
@@ -194,14 +189,12 @@ def near_duplicates(
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(_SETS)
-        names = ("cid", "component", "block", "blocks", "digest", "text")
-        for cid, component, block, blocks, own, text in rows(batches, *names):
-            if digest(text) == own:
-                grams = np.unique(shingles(text, words)).tobytes()
-                yield from out.add((cid, component, block, blocks, grams), len(grams))
+        for cid, component, block, blocks, text in rows(batches, "cid", "component", "block", "blocks", "text"):
+            grams = np.unique(shingles(text, words)).tobytes()
+            yield from out.add((cid, component, block, blocks, grams), len(grams))
         yield from out.flush()
 
-    sets = slim.join(wanted, "doc_id").mapInArrow(
+    sets = slim.join(wanted, ["doc_id", "digest"]).mapInArrow(
         gram_sets, "cid long, component long, block int, blocks int, grams binary"
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -231,19 +224,54 @@ def near_duplicates(
         classes.drop("bands")
         .join(links, "cid", "left")
         .join(joined, "cid", "left")
-        .withColumn("component", F.coalesce("component", "cid"))
+        .withColumns({"component": F.coalesce("component", "cid"), "n_links": F.coalesce("n_links", F.lit(0))})
     )
+    return signed, known
+
+
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    recall: float = RECALL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``class_id`` (the least id among the documents that links and copies connect
+    with it), ``n_links`` (the other texts whose n-gram set has a Jaccard similarity of ``threshold`` with its own) and
+    ``n_copies`` (the documents with its very text, itself included).
+
+    Null text is empty text; texts without words are linked to none, but equal ones are copies.  Repeated rows are
+    copies.  A null id stays null and is never a class's name unless the class has no other.  An empty table gives
+    an empty result; further columns are not read.
+    """
+    signed, known = _classes(docs, threshold, words, recall, id_col, text_col)
     least = F.min(F.when(F.col("rep") != NO_ID, F.col("rep")))
     leaders = cut(known.groupBy("component").agg(least.alias("class_id")))
     named = cut(
-        known.join(leaders, "component").select(
-            "digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
-        )
+        known.join(leaders, "component").select("digest", "class_id", "n_links", "n_copies")
     )
     return signed.join(named, "digest").select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "class_id", "n_links", "n_copies"
     )
 
 
+def representatives(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    recall: float = RECALL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row ``id, digest`` per class of ``near_duplicates``: that of the least id, as ``id_of`` and ``digest`` of a
+    document have them.  A null id stands for a class only if all its ids are null; of several texts under one id the
+    least digest is taken.  A repeated row has the same id and digest.
+    """
+    _, known = _classes(docs, threshold, words, recall, id_col, text_col)
+    first = F.min(F.struct(F.col("rep") == NO_ID, F.col("rep").alias("id"), "digest")).alias("first")
+    return known.groupBy("component").agg(first).select("first.id", "first.digest")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
