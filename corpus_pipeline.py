@@ -20,10 +20,11 @@ def _keys() -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not predict as toxic."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    toxic = scored.where(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that the toxicity classifier does not predict as toxic, each by its own text."""
+    keyed = docs.select(*COLUMNS, *_keys())
+    scored = toxicity.score(keyed, table(spark, sf_dir, "labels"), keep=("_digest",))
+    toxic = scored.where(F.col("predicted") == 1).select(ngram_jaccard_join.id_of(F.col("doc_id")).alias("_id"), "_digest")
+    return keyed.join(cut(toxic.distinct()), ["_id", "_digest"], "left_anti").select(*COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,9 +162,10 @@ def _beyond_chance(histogram: list[tuple[str, int, int, int]], rate: float) -> I
             yield kind, df, least
 
 
-def vote(docs: DataFrame, lexicon: list[str]) -> DataFrame:
+def vote(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, votes, hits`` for rows of ``doc_id, held_out, text``: one bit per voter, and the places in
-    the lexicon of the entries that the text holds."""
+    the lexicon of the entries that the text holds.  The binary columns ``keep`` stay beside them."""
+    schema = pa.schema([*_VOTES, *[pa.field(c, pa.binary()) for c in keep]])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +178,8 @@ def vote(docs: DataFrame, lexicon: list[str]) -> DataFrame:
         first = len(_VOTER_OF)
         insult, aimed, twice, shout, stretched = (1 << (first + k) for k in range(5))
         known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        out = Writer(_VOTES)
-        for doc_id, out_of_fit, text in rows(batches, "doc_id", "held_out", "text"):
+        out = Writer(schema)
+        for doc_id, out_of_fit, text, *kept in rows(batches, "doc_id", "held_out", "text", *keep):
             words = _words(text)
             hits: set[int] = set()
             repeats: Counter = Counter()
@@ -207,11 +208,11 @@ def vote(docs: DataFrame, lexicon: list[str]) -> DataFrame:
                 votes |= shout
             if _LONG_RUN.search(text):
                 votes |= stretched
-            yield from out.add((doc_id, out_of_fit, votes, sorted(hits)))
+            yield from out.add((doc_id, out_of_fit, votes, sorted(hits), *kept))
         yield from out.flush()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        ballots, "doc_id long, held_out boolean, votes int, hits array<int>"
+    return docs.select("doc_id", "held_out", "text", *keep).mapInArrow(
+        ballots, ", ".join(["doc_id long, held_out boolean, votes int, hits array<int>", *[f"{c} binary" for c in keep]])
     )
 
 
@@ -296,23 +297,32 @@ def train_linear(hits: list, y: np.ndarray, size: int, steps: int = 300, l2: flo
     return float(w[-1]), w[:-1]
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text; score is the probability of the label 1.
 
     The lexicon and the classifier are fitted on about ``sample`` rows each, none of them held out; the label model on the votes
     on all documents.  Null text is empty and, like any text without an entry of the lexicon, has the score of the
     classifier's constant.  Without labels, or without toxic ones, every score is 0.  Repeated rows are scored alike; a
-    null id counts as held out.  An empty table gives an empty result; further columns are not read.
+    null id counts as held out.  An empty table gives an empty result; further columns are not read, but the binary ones named by
+    ``keep`` follow ``doc_id, held_out``.
     """
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         held_out(F.col(id_col)).alias("held_out"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *keep,
     )
     # about `sample` rows of two numbers, whatever the size of the tables
     chosen = F.broadcast(cut(sample_labels(labels, "toxic", sample)))
     lexicon = learn_lexicon(slim.join(chosen, "doc_id").select("doc_id", "text", "label"))
-    voted = cut(vote(slim, lexicon))
+    voted = cut(vote(slim, lexicon, keep))
 
     rates = (
         voted.join(chosen, "doc_id")
@@ -325,7 +335,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     )
     by_label = {r["label"]: (r["n"], np.array([r[f"v{i}"] for i in range(VOTERS)], float)) for r in rates}
     if not by_label.get(1) or not by_label.get(0) or not lexicon:
-        return voted.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return voted.select("doc_id", "held_out", *keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     (n1, hits1), (n0, hits0) = by_label[1], by_label[0]
     n, pairs = moments(voted)
     model = LabelModel(n, pairs, hits1 / n1 - hits0 / n0, min(max(n1 / (n1 + n0), 1e-3), 0.5))
@@ -335,7 +345,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     constant, weights = train_linear(kept["hits"].tolist(), model.posterior(kept["votes"].to_numpy()), len(lexicon))
     table_of = F.array(*[F.lit(float(w)) for w in weights])
     z = F.aggregate("hits", F.lit(constant), lambda s, i: s + F.get(table_of, i))
-    return voted.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score")).withColumn(
+    return voted.select("doc_id", "held_out", *keep, (1 / (1 + F.exp(-z))).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
 

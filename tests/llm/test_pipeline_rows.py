@@ -38,3 +38,24 @@ def test_each_group_keeps_one_row_whatever_its_ids(spark, sf_dir):
     assert got == sorted(
         [(None, alone), (3, shared), (None, nameless_kept[0]), (5, repeated), (6, rows[10][1]), (2, near), (6, third)], key=str
     )
+
+
+def test_each_row_has_its_own_toxicity_verdict(spark, tmp_path):
+    rng = random.Random(4)
+    rows, labels = [], []
+
+    def text(bad):
+        words = prose(rng, "en", rng.randint(20, 60)).split()
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["grobbish", "grobbane", "grobbent", "grobbly"]))
+        return " ".join(words)
+
+    for i in range(1500):
+        rows.append((i, text(i % 8 == 0)))
+        labels.append((i, int(i % 8 == 0), 1))
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad, good = text(True), text(False)
+    more = [(None, bad), (None, good), (5000, bad), (5000, good), (5001, good), (5001, good), (5002, bad), (5002, bad)]
+    got = corpus_pipeline.drop_toxic(spark, table_of(spark, rows + more), str(tmp_path))
+    of_more = [r for r in ids_and_texts(got) if r[0] is None or r[0] >= 5000]
+    assert of_more == sorted([(None, good), (5000, good), (5001, good), (5001, good)], key=str)
