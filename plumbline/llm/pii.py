@@ -32,13 +32,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
-#: Loose patterns of further kinds, each with texts one of which it needs.
+#: Loose patterns of further kinds, each with what a text must hold for it (None: a digit).
 LOOSE = (
-    ("hidden_email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]{1,64}(?:(?:\s?[(\[]\s?dot\s?[)\]]\s?|\.)[A-Za-z0-9-]{1,64})+", re.I), ("at)", "at]", "at )", "at ]", "AT)", "AT]")),
+    ("hidden_email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]{1,64}(?:(?:\s?[(\[]\s?dot\s?[)\]]\s?|\.)[A-Za-z0-9-]{1,64})+", re.I), re.compile(r"at\s?[)\]]", re.I)),
     ("local_phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"), None),
     ("national_id", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), None),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), None),
-    ("person", re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){1,2}(?!\w)"), ("Mr", "Ms", "Dr", "Herr", "Frau", "Mme", "Sr")),
+    ("person", re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){1,2}(?!\w)"), re.compile("Mr|Ms|Dr|Herr|Frau|Mme|Sr")),
 )
 #: Gazetteers.
 TOP_DOMAINS = frozenset("com org net edu gov io co uk de fr es it nl eu info biz us ca au ch at be".split())
@@ -154,7 +154,7 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[str, int, int, str, s
             digit = bool(_DIGIT.search(text)) if digit is None else digit
             if not digit:
                 continue
-        elif not any(n in text for n in needs):
+        elif not needs.search(text):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
