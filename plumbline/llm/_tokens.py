@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+from dataclasses import dataclass
 
 import public_tokenizers
 import tiktoken
@@ -13,22 +15,32 @@ PATTERN = public_tokenizers.PATTERN
 _encoders: dict[tuple, tiktoken.Encoding] = {}
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to rank, from a file of lines with base64 bytes and a rank.  Vocabularies are bounded files of about
-    50,000 tokens, read on the driver and broadcast."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+@dataclass(frozen=True)
+class Vocabulary:
+    """Token bytes to rank, and the digest of the file they come from."""
 
+    digest: str
+    ranks: dict[bytes, int]
 
-def broadcast_ranks(spark: SparkSession, path: str) -> Broadcast:
-    return spark.sparkContext.broadcast(read_ranks(path))
 
+def read_vocabulary(path: str) -> Vocabulary:
+    """From a file of lines with base64 bytes and a rank.  Vocabularies are bounded files of about 50,000 tokens, read on
+    the driver and broadcast."""
+    with open(path, "rb") as file:
+        raw = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return Vocabulary(hashlib.sha256(raw).hexdigest(), ranks)
 
-def encoder(ranks: Broadcast, special: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+
+def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    return spark.sparkContext.broadcast(read_vocabulary(path))
+
+
+def encoder(vocabulary: Broadcast, special: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
     """The encoder of a broadcast vocabulary, built once a worker."""
-    key = (len(ranks.value), id(ranks.value), special)
+    key = (vocabulary.value.digest, special)
     if key not in _encoders:
         _encoders[key] = tiktoken.Encoding(
-            "ranks", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens=dict(special)
+            "ranks", pat_str=PATTERN, mergeable_ranks=vocabulary.value.ranks, special_tokens=dict(special)
         )
     return _encoders[key]

@@ -18,15 +18,16 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batches import Writer, rows
 from ._storage import table
-from ._tokens import PATTERN, broadcast_ranks, encoder
+from ._tokens import PATTERN, broadcast_vocabulary, encoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Code points of text in a block; a longer document is a block of its own.
+#: A block is closed by the document that brings it to so many code points.
 BLOCK_CHARS = 16 << 20
 #: Encoded words that a task holds back to send a block's together.
 HELD_WORDS = 1 << 20
@@ -42,11 +43,11 @@ _DECODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids",
 
 class _Block:
     """Documents of one block.  Its words are coded by falling frequency, then first occurrence; its name is a digest of
-    the texts."""
+    its place (partition, number in it) and of the texts."""
 
-    def __init__(self):
+    def __init__(self, partition: int, number: int):
         self.chars = 0
-        self.digest = hashlib.blake2b(digest_size=8)
+        self.digest = hashlib.blake2b(f"{partition}:{number}".encode(), digest_size=8)
         self.seen: defaultdict[str, int] = defaultdict()
         self.seen.default_factory = self.seen.__len__
         self.documents: list[tuple[int, np.ndarray]] = []
@@ -74,12 +75,14 @@ class _Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[_Block]:
     split = regex.compile(PATTERN).findall
-    block = _Block()
+    partition, number = TaskContext.get().partitionId(), 0
+    block = _Block(partition, number)
     for doc_id, text in rows(batches, "doc_id", "text"):
         block.add(split, doc_id, text or "")
         if block.chars >= block_chars:
             yield block
-            block = _Block()
+            number += 1
+            block = _Block(partition, number)
     if block.chars:
         yield block
 
@@ -149,13 +152,13 @@ def encode(
     encoder gives them without special tokens.
 
     ``docs`` is read twice, once for the words and once for the order of words, and must give the same rows in the same
-    splits both times, as files do; a block is named by its content, so rows that moved between the two reads end the
-    job with an error instead of a wrong result.  Null and empty texts have no tokens (empty binary).  Repeated rows
+    splits both times, as files do; a block is named by its place and content, so rows that moved between the two reads
+    end the job with an error instead of a wrong result.  Null and empty texts have no tokens (empty binary).  Repeated rows
     and rows with a null or a repeated id are encoded each for itself.  An empty table gives an empty result; further
     columns are not read.
     """
     spark = docs.sparkSession
-    ranks = broadcast_ranks(spark, ranks_path or public_tokenizers.path(VOCABULARY))
+    vocabulary = broadcast_vocabulary(spark, ranks_path or public_tokenizers.path(VOCABULARY))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +183,8 @@ def encode(
                     held, size = [], 0
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # equal words follow each other
-        bpe = encoder(ranks).encode_ordinary
+        # equal words follow each other; each is one match of the pattern, so it is not split again
+        bpe = encoder(vocabulary)._encode_single_piece
         out = _Sender()
         last, ids = None, []
         for batch in batches:
@@ -235,11 +238,12 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     of the join; within a batch the join is one gather.  An id that the table lacks is an error.
     """
     spark = encoded.sparkSession
-    ranks = broadcast_ranks(spark, ranks_path or public_tokenizers.path(VOCABULARY))
+    vocabulary = broadcast_vocabulary(spark, ranks_path or public_tokenizers.path(VOCABULARY))
 
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(ranks.value, key=ranks.value.get)
-        if [ranks.value[t] for t in tokens] != list(range(len(tokens))):
+        ranks = vocabulary.value.ranks
+        tokens = sorted(ranks, key=ranks.get)
+        if [ranks[t] for t in tokens] != list(range(len(tokens))):
             raise ValueError("ranks are expected to count from 0 without gaps")
         length = np.array([len(t) for t in tokens], np.int64)
         start = np.cumsum(length) - length

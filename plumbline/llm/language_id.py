@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 N-gram counts of all training texts are summed by Spark; the log-probability matrix, whose size is the number of
-languages times a fixed number of buckets, is broadcast, and batches of texts are scored sparsely with numpy.
+languages times a fixed number of buckets and is checked, is broadcast, and batches of texts are scored sparsely with
+numpy.
 """
 
 from __future__ import annotations
@@ -10,23 +11,27 @@ import functools
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batches import Writer, rows
-from ._storage import held_out, table
+from ._storage import cut, held_out, table
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Added to every count.
 SMOOTHING = 0.5
-#: Code points handled at once; a longer text is cut into such runs, and n-grams across a cut are not counted.
+#: Code points handled at once; a longer text is taken window by window.
 RUN = 1 << 18
-#: The matrix is broadcast, so the languages are bounded.
-MOST_LANGUAGES = 1000
+#: Bytes that the broadcast matrix may have; more languages than fit are an error, never left out.
+MOST_BYTES = 256 << 20
+#: Languages whose counts a task holds before it gives them out.
+HELD_LANGUAGES = 64
 UNDETERMINED = "und"
 
 _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -73,9 +78,16 @@ def _buckets(points: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
-def _runs(text: str) -> Iterator[str]:
-    for at in range(0, len(text), RUN):
-        yield text[at : at + RUN]
+def _windows(text: str, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of a text of any length, a window of it at a time.  Windows overlap by two code points, in which no n-gram
+    begins, so the n-grams are those of the whole text."""
+    # the text stands between two blanks on each side
+    padded = f"  {text}  "
+    for at in range(0, len(text) + 2, RUN):
+        part = padded[at : at + RUN + 2]
+        points = np.frombuffer(part.encode("utf-32-le"), "<u4")
+        for b in _buckets(points, bits):
+            yield b[: len(points) - 2]
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,84 +113,119 @@ def count_ngrams(docs: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
             for b in _buckets(points, bits):
                 counts[lang] += np.bincount(b, minlength=(1 << bits) + 1)
 
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang in list(waiting):
+                settle(lang)
+            for lang, n in texts.items():
+                c = counts[lang][: 1 << bits]
+                used = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * (len(used) + 1), pa.string()),
+                        pa.array(np.append(used, -1).astype(np.int32)),
+                        pa.array(np.append(c[used], n)),
+                    ],
+                    schema=_COUNTS,
+                )
+            counts.clear()
+            texts.clear()
+
         for lang, text in rows(batches, "lang", "text"):
+            if lang not in texts and len(texts) >= HELD_LANGUAGES:
+                yield from given()
             texts[lang] += 1
-            for run in _runs(text):
-                waiting[lang].append(run)
-                held[lang] += len(run) + 2
-                if held[lang] >= RUN:
-                    settle(lang)
-        for lang in list(waiting):
-            settle(lang)
-        for lang, n in texts.items():
-            c = counts[lang][: 1 << bits]
-            used = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * (len(used) + 1), pa.string()),
-                    pa.array(np.append(used, -1).astype(np.int32)),
-                    pa.array(np.append(c[used], n)),
-                ],
-                schema=_COUNTS,
-            )
+            if len(text) > RUN:
+                for b in _windows(text, bits):
+                    counts[lang] += np.bincount(b, minlength=(1 << bits) + 1)
+                continue
+            waiting[lang].append(text)
+            held[lang] += len(text) + 2
+            if held[lang] >= RUN:
+                settle(lang)
+        yield from given()
 
     partial = docs.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     return partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
-    """Languages, and the matrix [buckets + 1, languages] of log probabilities, whose last row has the log priors.
+@dataclass(frozen=True)
+class Model:
+    """Log priors of the languages, and their log probabilities by bucket; the last bucket is of no n-gram and weighs 0."""
 
-    Learns from rows whose ``text`` and ``lang`` are not null.
-    """
-    counts = count_ngrams(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), bits).toPandas()
-    langs = sorted(counts["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded to {MOST_LANGUAGES}")
-    matrix = np.zeros(((1 << bits) + 1, len(langs)))
-    matrix[counts["bucket"], [langs.index(x) for x in counts["lang"]]] = counts["n"]
-    matrix += smoothing
-    return langs, np.log(matrix) - np.log(np.vstack([matrix[:-1].sum(axis=0)] * (1 << bits) + [[matrix[-1].sum()] * len(langs)]))
+    langs: list[str]
+    prior: np.ndarray
+    weights: np.ndarray
+
+    @property
+    def bits(self) -> int:
+        return (len(self.weights) - 1).bit_length() - 1
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
+def fit(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> Model:
+    """Learns from rows whose ``text`` and ``lang`` are not null.
+
+    The driver takes one cell per used bucket and language, as it has to hold the matrix that it broadcasts: 256 KB a
+    language.  The number of languages is counted first; a matrix of more than ``MOST_BYTES`` is an error.
+    """
+    counts = count_ngrams(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), bits)
+    counts = cut(counts)
+    texts = {r["lang"]: r["n"] for r in counts.where(F.col("bucket") == -1).limit(MOST_BYTES >> (bits + 2)).collect()}
+    langs = sorted(texts)
+    if (len(langs) + 1) << (bits + 2) > MOST_BYTES:
+        raise ValueError(f"a matrix of {len(langs)} languages or more passes {MOST_BYTES} bytes; use fewer buckets")
+    matrix = np.full(((1 << bits) + 1, len(langs)), smoothing)
+    cells = counts.where(F.col("bucket") >= 0).toPandas()
+    matrix[cells["bucket"], pd.Categorical(cells["lang"], langs).codes] += cells["n"]
+    matrix[-1] = 0
+    total = matrix.sum(axis=0)
+    matrix[-1] = total  # so that its logarithm comes out as 0
+    prior = np.array([texts[x] for x in langs], float) + smoothing
+    return Model(langs, np.log(prior / prior.sum()), (np.log(matrix) - np.log(total)).astype(np.float32))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for rows of ``doc_id, held_out, text``: the language of the highest
     posterior, and that posterior.  Null texts and texts without a letter are ``und`` with score 0."""
-    bits = (len(matrix) - 1).bit_length() - 1
-    model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logs = model.value
-        prior = logs[-1]
-        weights = np.vstack([logs[:-1], np.zeros(len(names))])
+        names, prior, weights, bits = shared.value.langs, shared.value.prior, shared.value.weights, shared.value.bits
         out = Writer(_SCORES)
-        waiting: list[tuple[int, bool, list[str]]] = []
+        waiting: list[tuple[int, bool, str | None]] = []
         held = 0
 
-        def settle() -> list[tuple]:
-            runs = [r for _, _, rs in waiting for r in rs]
-            if not runs:
-                return [(i, h, UNDETERMINED, 0.0) for i, h, _ in waiting]
-            points, begins = _joined(runs)
-            sums = np.zeros((len(runs), len(names)))
-            for b in _buckets(points, bits):
-                at = np.minimum(begins, len(b) - 1)
-                sums += np.add.reduceat(weights[b], at, axis=0)
-            done, at = [], 0
-            for i, h, rs in waiting:
-                if rs:
-                    log = prior + sums[at : at + len(rs)].sum(axis=0)
-                    at += len(rs)
-                    best = int(log.argmax())
-                    done.append((i, h, names[best], float(1 / np.exp(log - log[best]).sum())))
+        def verdict(doc_id: int, out_of_fit: bool, sums: np.ndarray) -> tuple:
+            log = prior + sums
+            best = int(log.argmax())
+            return doc_id, out_of_fit, names[best], float(1 / np.exp(log - log[best]).sum())
+
+        def settle() -> Iterator[tuple]:
+            texts = [t for _, _, t in waiting if t]
+            if texts:
+                points, begins = _joined(texts)
+                sums = np.zeros((len(texts), len(names)))
+                for b in _buckets(points, bits):
+                    sums += np.add.reduceat(weights[b], np.minimum(begins, len(b) - 1), axis=0, dtype=np.float64)
+            at = 0
+            for doc_id, out_of_fit, text in waiting:
+                if text:
+                    yield verdict(doc_id, out_of_fit, sums[at])
+                    at += 1
                 else:
-                    done.append((i, h, UNDETERMINED, 0.0))
-            return done
+                    yield doc_id, out_of_fit, UNDETERMINED, 0.0
 
         for doc_id, out_of_fit, text in rows(batches, "doc_id", "held_out", "text"):
-            runs = list(_runs(text)) if text and names and _has_letter(text) else []
-            waiting.append((doc_id, out_of_fit, runs))
-            held += sum(map(len, runs)) + 2
+            known = text if text and names and _has_letter(text) else None
+            if known and len(known) > RUN:
+                sums = np.zeros(len(names))
+                for b in _windows(known, bits):
+                    # counts of the buckets times their weights, whatever the length of the window
+                    found, n = np.unique(b, return_counts=True)
+                    sums += n @ weights[found].astype(np.float64)
+                yield from out.add(verdict(doc_id, out_of_fit, sums))
+                continue
+            waiting.append((doc_id, out_of_fit, known))
+            held += len(known or "") + 2
             if held >= RUN:
                 for row in settle():
                     yield from out.add(row)
@@ -204,8 +251,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     )
-    langs, matrix = fit(slim.where(~F.col("held_out")).select("text", "lang"))
-    return predict(slim.drop("lang"), langs, matrix)
+    return predict(slim.drop("lang"), fit(slim.where(~F.col("held_out")).select("text", "lang")))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

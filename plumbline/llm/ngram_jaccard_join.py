@@ -1,9 +1,9 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets decide.
 
-Equal texts are one class.  Classes that share a band hash are candidates; star edges to the least class of each
-bucket join candidates into groups, so a bucket of n classes gives n - 1 edges and never its pairs.  Each group is cut
-into blocks of bounded size; a pair of blocks is one unit of work, which compares the full n-gram sets of its classes
-and gives out the number of links of each class and a spanning forest of the links.
+Equal texts are one class.  Classes that share a band hash share a bucket; of buckets with the very same members one
+stays.  Each bucket is cut into blocks of bounded size; a pair of blocks is one unit of work, which compares the full
+n-gram sets of its classes and gives out the number of links of each class and a spanning forest of the links.  A pair
+that shares several buckets counts in the first of them only, so no pair has to be given out to be counted once.
 """
 
 from __future__ import annotations
@@ -27,15 +27,13 @@ THRESHOLD = 0.8
 #: Probability that a pair exactly at the threshold becomes a candidate, and the MinHash values it may cost.
 RECALL = 0.9999
 MOST_HASHES = 128
-#: Classes in a block.
-BLOCK = 256
+#: Classes in a block, about.
+BLOCK = 128
 #: Stands for a null id in joins.
 NO_ID = -(1 << 63)
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema(
-    [("cid", pa.int64()), ("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("grams", pa.binary())]
-)
+_SETS = pa.schema([("cid", pa.int64()), ("grams", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
@@ -117,17 +115,23 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _unit(members: list[tuple[int, int, bytes]], threshold: float) -> Iterator[tuple]:
-    """(a, b, links) rows of one unit: the links of each class, and the edges of a spanning forest of the links."""
-    ids = [c for c, _, _ in members]
-    blocks = np.array([b for _, b, _ in members])
-    sets = [np.frombuffer(g, np.uint64) for _, _, g in members]
+def _unit(members: list[tuple[int, int, list[int], bytes]], threshold: float) -> Iterator[tuple]:
+    """(a, b, links) rows of one unit of (class, block, earlier buckets, n-grams): the links of each class, and the edges
+    of a spanning forest of the links, over the pairs that share no earlier bucket."""
+    ids = [c for c, _, _, _ in members]
+    blocks = np.array([b for _, b, _, _ in members])
+    own = ~np.eye(len(ids), dtype=bool)
+    if blocks.min() != blocks.max():
+        own &= blocks[:, None] != blocks[None, :]
+    earlier = [np.array(e, np.int64) for _, _, e, _ in members]
+    if sum(map(len, earlier)):
+        own &= _overlaps(earlier) == 0
+    if not own.any():
+        return
+    sets = [np.frombuffer(g, np.uint64) for _, _, _, g in members]
     sizes = np.array([len(s) for s in sets], np.float64)
     common = _overlaps(sets)
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-    if blocks.min() != blocks.max():
-        linked &= blocks[:, None] != blocks[None, :]
-    np.fill_diagonal(linked, False)
+    linked = own & (common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6)
     counts = linked.sum(axis=1)
     seen = np.zeros(len(ids), bool)
     for k in range(len(ids)):
@@ -173,44 +177,57 @@ def _classes(
     classes = cut(classes)
 
     banded = classes.select("cid", F.explode("bands").alias("band"))
-    buckets = cut(
-        banded.groupBy("band").agg(F.min("cid").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    # two 64-bit sums of hashes, the count and the least member tell the members of buckets apart
+    prints = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"print{k}") for k in range(2)]
+    buckets = (
+        banded.groupBy("band")
+        .agg(F.min("cid").alias("first"), F.count("*").alias("n"), *prints)
+        .where(F.col("n") > 1)
+        .groupBy("first", "n", "print0", "print1")
+        .agg(F.min("band").alias("band"))
+        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    groups = components(
-        banded.join(buckets, "band").select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    ).withColumnRenamed("id", "cid")
-
-    sizes = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    wanted = (
-        groups.join(sizes, "component")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .join(classes.select("cid", F.col("rep").alias("doc_id"), "digest"), "cid")
+    # at most one bucket a band for each class
+    places = cut(
+        banded.join(cut(buckets), "band")
+        .groupBy("cid")
+        .agg(F.sort_array(F.collect_list(F.struct("band", "blocks"))).alias("buckets"))
     )
+    wanted = places.select("cid").join(classes.select("cid", F.col("rep").alias("doc_id"), "digest"), "cid")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(_SETS)
-        for cid, component, block, blocks, text in rows(batches, "cid", "component", "block", "blocks", "text"):
+        for cid, text in rows(batches, "cid", "text"):
             grams = np.unique(shingles(text, words)).tobytes()
-            yield from out.add((cid, component, block, blocks, grams), len(grams))
+            yield from out.add((cid, grams), len(grams))
         yield from out.flush()
 
-    sets = slim.join(wanted, ["doc_id", "digest"]).mapInArrow(
-        gram_sets, "cid long, component long, block int, blocks int, grams binary"
+    # repeated rows of one class give its set once
+    sets = (
+        slim.join(wanted, ["doc_id", "digest"])
+        .mapInArrow(gram_sets, "cid long, grams binary")
+        .groupBy("cid")
+        .agg(F.first("grams").alias("grams"))
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at = F.col("k")
     units = (
-        sets.withColumn("other", other)
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "block", "grams")
-        .repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j", "cid")
+        sets.join(places, "cid")
+        .select("cid", "grams", F.col("buckets.band").alias("bands"), F.posexplode("buckets").alias("k", "bucket"))
+        .withColumn("block", F.pmod(F.xxhash64("cid", "bucket.band"), F.col("bucket.blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bucket.blocks") - 1)))
+        .select(
+            F.col("bucket.band").alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "cid", "block", F.slice("bands", F.lit(1), at).alias("earlier"), "grams",
+        )
+        .repartition("band", "i", "j")
+        .sortWithinPartitions("band", "i", "j", "cid")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(_FOUND)
-        stream = rows(batches, "component", "i", "j", "cid", "block", "grams")
+        stream = rows(batches, "band", "i", "j", "cid", "block", "earlier", "grams")
         for _, unit in groupby(stream, key=lambda r: r[:3]):
-            # repeated rows of one class follow each other
-            members = [next(same)[3:] for _, same in groupby(unit, key=lambda r: r[3])]
+            members = [r[3:] for r in unit]
             if len(members) > 1:
                 for row in _unit(members, threshold):
                     yield from out.add(row)

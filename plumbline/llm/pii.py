@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and _luhn(d):
@@ -145,9 +146,22 @@ def _shape(text: str, start: int, end: int) -> str:
     return f"{size}{mark}{edge}"
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that ``spans`` cover, in order."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str, taken: list[Span]) -> list[tuple[str, int, int, str, str]]:
     """(kind, start, end, votes, shape) of loose matches that no base span overlaps."""
     out = []
+    starts, ends = _covered(taken)
     digit = None
     for kind, pattern, needs in LOOSE:
         if needs is None:
@@ -158,7 +172,9 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[str, int, int, str, s
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not any(s < b and a < e for _, s, e in taken):
+            # the last stretch that begins before the match ends
+            k = bisect_left(starts, b) - 1
+            if k < 0 or ends[k] <= a:
                 out.append((kind, a, b, _votes(kind, text, a, b), _shape(text, a, b)))
     return out
 

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +47,66 @@ def test_ngram_counts_do_not_depend_on_company(spark):
     assert both == [sorted(x + y) for x, y in zip(one, two, strict=True)]
 
 
+def plain_bayes(taught, text, bits=16):
+    """(language, posterior) by counting the n-grams of every text one by one."""
+
+    def grams(t):
+        x = "".join(c if not c.isalpha() else c.lower() if len(c.lower()) == 1 else c for c in f"  {t}  ")
+        x = "".join(c if c.isalpha() else " " for c in x)
+        for n in (1, 2, 3):
+            for i in range(len(x) - n + 1):
+                g = x[i : i + n]
+                if "  " in g or g == " ":
+                    continue
+                h = n
+                for c in g:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield h * 0xBF58476D1CE4E5B9 % 2**64 >> (64 - bits)
+
+    counts, docs = {}, Counter()
+    for lang, t in taught:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(t))
+    log = {}
+    for lang, c in counts.items():
+        under = math.log(sum(c.values()) + 0.5 * 2**bits)
+        log[lang] = math.log((docs[lang] + 0.5) / (len(taught) + 0.5 * len(docs)))
+        log[lang] += sum(math.log(c[b] + 0.5) - under for b in grams(text))
+    best = max(log, key=log.get)
+    return best, 1 / sum(math.exp(v - log[best]) for v in log.values())
+
+
+def test_language_scores_are_a_plain_naive_bayes(spark):
+    rng = random.Random(5)
+    taught = [(lang, prose(rng, lang, 40)) for lang in ("en", "de", "en", "de", "en")]
+    taught.append(("en", "Grüße aus Köln! " * 17_000 + prose(rng, "en", 500)))
+    asked = ["of", "haus", "ein haus of stone", "İstanbul 1 2 3", "x" * 262_143 + "Ab", "zu " * 90_000, "wind, und wind"]
+    assert any(len(t) > language_id.RUN for _, t in taught) and any(len(t) > language_id.RUN for t in asked)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(taught)], "doc_id long, lang string, text string")
+    model = language_id.fit(df)
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(asked)], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(rows, model).collect()}
+    for i, text in enumerate(asked):
+        lang, score = plain_bayes(taught, text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, rel=1e-3, abs=1e-6)
+
+
+def test_too_many_languages_for_the_matrix_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_BYTES", 3 << 18)
+    df = spark.createDataFrame([(f"l{k}", "some text") for k in range(4)], "lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(df)
+    assert language_id.fit(df.where("lang < 'l2'")).langs == ["l0", "l1"]
+
+
+def test_more_languages_than_a_task_holds(spark):
+    rows = [(f"l{k % 150}", "some text") for k in range(450)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = {r.lang: r.n for r in language_id.count_ngrams(df).where("bucket = -1").collect()}
+    assert got == {f"l{k}": 3 for k in range(150)}
+
+
 def test_toxic_words_of_held_out_rows(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -119,6 +182,7 @@ TRICKY = [
     "+1 (708) 555-5363 +12 +1234567 ++49 30 1234567 +1234567890123456 +1-2-3-4-5-6-7-8.",
     "",
     "9" * 3000 + "@" + "a." * 500 + "z " + "a" * 3000,
+    "0" * 3000 + "1.2.3.4 " + "0" * 4000 + ".0.0.00000 1." + "7" * 4000 + ".3.4",
 ]
 
 
@@ -155,6 +219,26 @@ def test_further_spans_are_found_and_noise_is_left(spark):
     assert clean[0] == "please call my phone [LOCAL_PHONE] today" and clean[159] == "nothing to see here"
 
 
+def test_very_long_numbers_and_many_spans():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.base_spans("1.2.3." + "9" * 5000) == []
+    text = "a@b.cd 10.0.0.1 +1 (708) 555-5363, or 415-555-1000 x " * 50_000
+    base = pii.base_spans(text)
+    assert len(base) == 150_000
+    began = time.perf_counter()
+    found = pii.candidates(text, base)
+    assert time.perf_counter() - began < 20
+    assert len(found) == 50_000 and {k for k, *_ in found} == {"local_phone"}
+
+
+def test_only_overlapping_candidates_are_left_out():
+    text = "415-555-1000 or 415-555-1001 or 415-555-1002"
+    at = lambda taken: [a for _, a, *_ in pii.candidates(text, taken)]
+    assert at([]) == [0, 16, 32] and at([("ip", 12, 16)]) == [0, 16, 32]
+    assert at([("ip", 11, 13), ("card", 2, 4)]) == [16, 32] and at([("ip", 0, 17), ("card", 3, 5)]) == [32]
+    assert at([("ip", 5, 6), ("card", 43, 50)]) == [16]
+
+
 def test_personal_data_of_odd_rows(odd, odd_rows, none):
     assert pii.find_personal_data(odd).count() == len(odd_rows)
     assert pii.find_personal_data(none).count() == 0

@@ -98,3 +98,42 @@ def test_components_of_chains_stars_and_rings(spark):
     got = dict(_graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(1000, 1200), 1000), **dict.fromkeys(range(3000, 3017), 3000)}
     assert _graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = _graph.contract
+
+    def counted(edges, turn):
+        rounds.append(turn)
+        return plain(edges, turn)
+
+    monkeypatch.setattr(_graph, "contract", counted)
+    chain = [(i, i + 1) for i in range(5000)]
+    short = [(10_000 + i, 10_001 + i) for i in range(100)]
+    star = [(20_000, 20_000 + k) for k in range(1, 10_000)]
+    ring = [(40_000 + k, 40_000 + (k + 1) % 1000) for k in range(1000)]
+    df = spark.createDataFrame(chain + short + star + ring + [(None, 3), (7, None)], "a long, b long")
+    got = dict(_graph.components(df).collect())
+    assert len(rounds) <= 20
+    firsts = {0: 5001, 10_000: 101, 20_000: 10_000, 40_000: 1000}
+    assert got == {first + k: first for first, n in firsts.items() for k in range(n)}
+
+
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows = [(None, " ".join(rng.choice(vocabulary) for _ in range(12))) for _ in range(5000)]
+    rows += [(None, "one text for all of them")] * 2000
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7000 and {(r.doc_id, r.class_id, r.n_links) for r in got} == {(None, None, 0)}
+    assert sorted(r.n_copies for r in got) == [1] * 5000 + [2000] * 2000
+
+
+def test_a_pair_that_shares_all_bands_counts_once(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    words = [rng.choice(vocabulary) for _ in range(400)]
+    rows = [(k, " ".join([*words[:-1], f"end{k}"])) for k in range(5)]
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 4)}

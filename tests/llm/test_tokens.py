@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import best_fit_packing as pack
@@ -45,6 +47,48 @@ def test_encode_odd_rows_in_blocks_of_any_size(odd, odd_rows, multi, block):
     assert sorted((str(r.doc_id), tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.bytes)) for r in got) == want
 
 
+LONG_RUNS = [" " * 3_000_000, "\n " * 1_000_000, "a b" + " " * 1_000_000 + "c", "<|endoftext|>" + "\t" * 600_000 + "<|endoftext|>x", "7" * 200_000]
+
+
+def plain_ids(text, encoder):
+    """The ids of each match of the pattern by itself."""
+    return [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in encoder._encode_single_piece(m[0])]
+
+
+def test_long_runs_are_encoded(spark, multi, json_tokenizer):
+    df = spark.createDataFrame(list(enumerate(LONG_RUNS)), "doc_id long, text string").repartition(3)
+    for r in byte_bpe.decode(byte_bpe.encode(df)).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == plain_ids(LONG_RUNS[r.doc_id], multi)
+        assert bytes(r.bytes).decode() == LONG_RUNS[r.doc_id]
+    pieces = pack.tokenize(df, public_tokenizers.path(pack.VOCABULARY))
+    got = {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {i: len(json_tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(LONG_RUNS)}
+
+
+def test_both_ways_of_encoding_agree(texts, json_tokenizer):
+    bpe = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken_encoder(pack.VOCABULARY)._mergeable_ranks, special_tokens=dict(pack.SPECIAL)
+    )
+    for text in [*list(texts.values())[:300], "<|endoftext|><|endoftext|> don't  <|endoftext|", "x\u3000  y\r\n\n z"]:
+        ids = json_tokenizer.encode(text, add_special_tokens=False).ids
+        assert pack._long_ids(text, bpe).tolist() == pack._ids(text, bpe).tolist() == ids
+
+
+def test_vocabularies_of_one_size_are_kept_apart(spark):
+    from plumbline.llm import _tokens
+
+    names = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+    one, two = (_tokens.encoder(_tokens.broadcast_vocabulary(spark, public_tokenizers.path(n))) for n in names)
+    again = _tokens.encoder(_tokens.broadcast_vocabulary(spark, public_tokenizers.path(names[0])))
+    assert one is again and one is not two
+
+
+def test_equal_blocks_in_different_places(spark, multi):
+    df = spark.createDataFrame([(k, "the very same words") for k in range(40)], "doc_id long, text string").repartition(4)
+    got = byte_bpe.encode(df, block_chars=1).collect()
+    assert len(got) == 40 and {r.n_tokens for r in got} == {len(multi.encode_ordinary("the very same words"))}
+
+
 def test_numbers_survive_squeezing():
     rng = np.random.default_rng(1)
     for x in (np.empty(0, "<u4"), np.array([0, 254, 255, 256, 2**32 - 1], "<u4"), rng.integers(0, 2**20, 5000).astype("<u4")):
