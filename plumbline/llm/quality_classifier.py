@@ -2,7 +2,8 @@
 
 A logistic classifier gives each document's own evidence.  Grouped sums of it give the posteriors of hosts and of paths
 below them, beta-binomial with moment-estimated strengths, so that sites with few documents are drawn to their host and
-hosts with few to the global rate; the site's posterior odds then shift the document's.
+hosts with few to the global rate; the posterior odds of a document's site, taken without the document itself, then shift
+the document's own.
 """
 
 from __future__ import annotations
@@ -56,24 +57,40 @@ def _strength(groups: DataFrame, mean: Column, prior: Column) -> float:
     return float(np.clip(1 / share - 1 if share > 0 else STRENGTH[1], *STRENGTH))
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """``host, path, n_site, host_posterior, site_posterior`` of every site in ``evidence`` (``host, path, p``), and the
-    global rate.  Sums combine before the shuffle, so a host with a third of all rows is no burden to a task."""
-    sites = cut(
-        evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
-    )
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """``host, path, n_host, s_host, n_site, s_site`` (documents and their summed probabilities) of every site in
+    ``evidence`` (``host, path, p``), the global rate, and the strengths of the global rate over hosts and of hosts over
+    their sites.  Sums combine before the shuffle, so a host with a third of all rows is no burden to a task."""
+    sites = cut(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     total = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = float(np.clip(total["s"] / total["n"], 1e-6, 1 - 1e-6)) if total["n"] else 0.5
     hosts = cut(sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
-    strength = _strength(hosts, F.col("s") / F.col("n"), F.lit(rate))
-    hosts = cut(hosts.select("host", ((F.lit(strength * rate) + F.col("s")) / (strength + F.col("n"))).alias("host_posterior")))
-    within = cut(sites.join(hosts, sites["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]))
-    below = _strength(within, F.col("s") / F.col("n"), F.col("host_posterior"))
-    site = (F.lit(below) * F.col("host_posterior") + F.col("s")) / (below + F.col("n"))
-    return (
-        cut(within.select("host", "path", F.col("n").alias("n_site"), "host_posterior", site.alias("site_posterior"))),
-        rate,
+    over_hosts = _strength(hosts, F.col("s") / F.col("n"), F.lit(rate))
+    named = hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host"))
+    within = cut(
+        sites.withColumnsRenamed({"n": "n_site", "s": "s_site"}).join(named, "host").select(
+            "host", "path", "n_host", "s_host", "n_site", "s_site"
+        )
     )
+    prior = (F.lit(over_hosts * rate) + F.col("s_host")) / (over_hosts + F.col("n_host"))
+    over_sites = _strength(within.withColumn("n", F.col("n_site")), F.col("s_site") / F.col("n_site"), prior)
+    return within, rate, over_hosts, over_sites
+
+
+def posteriors(rate: float, over_hosts: float, over_sites: float, without: Column) -> tuple[Column, Column]:
+    """Host and site posterior of a row with the columns of ``site_sums``, less the evidence ``without`` of one document
+    (null: of none)."""
+    one, p = F.when(without.isNull(), 0).otherwise(1), F.coalesce(without, F.lit(0.0))
+    host = (F.lit(over_hosts * rate) + F.col("s_host") - p) / (F.lit(over_hosts) + F.col("n_host") - one)
+    site = (F.lit(over_sites) * host + F.col("s_site") - p) / (F.lit(over_sites) + F.col("n_site") - one)
+    return host, site
+
+
+def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
+    """``host, path, n_site, host_posterior, site_posterior`` of every site in ``evidence``, and the global rate."""
+    sums, rate, *strengths = site_sums(evidence)
+    host, site = posteriors(rate, *strengths, F.lit(None).cast("double"))
+    return sums.select("host", "path", "n_site", host.alias("host_posterior"), site.alias("site_posterior")), rate
 
 
 def classify(
@@ -88,7 +105,8 @@ def classify(
     """``doc_id, held_out, score, predicted, evidence, host_posterior, site_posterior`` of every row of ``docs``.
 
     ``score`` is the probability of good quality, ``evidence`` the classifier's alone, fitted on about ``sample``
-    labelled rows outside the held-out fold.  ``host`` and ``path`` are columns of ``docs``; rows with a null host or
+    labelled rows outside the held-out fold; the posteriors are those of a document's host and site without the document.
+    ``host`` and ``path`` are columns of ``docs``; rows with a null host or
     path form sites of their own.  Null text is empty.  Without labels the evidence is 0.5.  Repeated rows are scored
     alike.  An empty table gives an empty result; further columns are not read.
     """
@@ -122,19 +140,18 @@ def classify(
     for name, k in zip(names, slope, strict=True):
         z = z + F.col(name) * F.lit(float(k))
     evidence = measured.select("doc_id", "held_out", "host", "path", _sigmoid(z).alias("p"))
-    sites, rate = site_posteriors(evidence)
+    sums, rate, *strengths = site_sums(evidence)
+    host, site = posteriors(rate, *strengths, F.col("p"))
+    joined = evidence.join(sums, ["host", "path"]).withColumns({"host_posterior": host, "site_posterior": site})
     score = _sigmoid(_logit(F.col("p")) + _logit(F.col("site_posterior")) - float(np.log(rate / (1 - rate))))
-    return (
-        evidence.join(sites, ["host", "path"])
-        .select(
-            "doc_id",
-            "held_out",
-            score.alias("score"),
-            (score >= 0.5).cast("int").alias("predicted"),
-            F.col("p").alias("evidence"),
-            "host_posterior",
-            "site_posterior",
-        )
+    return joined.select(
+        "doc_id",
+        "held_out",
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.col("p").alias("evidence"),
+        "host_posterior",
+        "site_posterior",
     )
 
 

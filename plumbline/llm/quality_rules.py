@@ -50,31 +50,71 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more.  Windows are sorted with their places by hash, then by
-    their words, so equal ones are neighbours: n log n steps in a text of n words."""
+def _windows_of(words: Column, high: Column) -> Column:
+    """The 3-word windows of a text as sorted longs: the bits of ``high`` are a hash of the words, those below the place
+    of the first, so windows with equal words are neighbours."""
+    every = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.size(words).cast("long") - 3),
+        lambda i: F.xxhash64(*[F.get(words, i.cast("int") + k) for k in range(3)]).bitwiseAND(high).bitwiseOR(i),
+    )
+    return F.when(F.size(words) >= 3, F.sort_array(every)).otherwise(F.array().cast("array<bigint>"))
 
-    def windows(w: Column) -> Column:
-        def window(i: Column) -> Column:
-            a, b, c = (F.get(w, i + k) for k in range(3))
-            return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
 
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
+def _twins_of(windows: Column, high: Column) -> Column:
+    """The places k at which the windows k and k + 1 have the same hash."""
+    found = F.filter(
+        F.sequence(F.lit(0), F.size(windows) - 2),
+        lambda k: F.get(windows, k).bitwiseXOR(F.get(windows, k + 1)).bitwiseAND(high) == 0,
+    )
+    return F.when(F.size(windows) >= 2, found).otherwise(F.array().cast("array<int>"))
 
-    def same(x: Column, y: Column) -> Column:
-        return F.coalesce(
-            (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False)
+
+def _place(windows: Column, low: Column, k: Column) -> Column:
+    return F.get(windows, k).bitwiseAND(low).cast("int")
+
+
+def _starts_of(windows: Column, twins: Column, low: Column) -> Column:
+    """The places of the windows that have a twin, in order."""
+    both = F.transform(twins, lambda k: F.array(_place(windows, low, k), _place(windows, low, k + 1)))
+    return F.sort_array(F.array_distinct(F.flatten(both)))
+
+
+def _repeat_words(words: Column, windows: Column, twins: Column, starts: Column, low: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more.  Should windows of different words share a hash, the windows
+    of that text are compared by their words instead."""
+
+    def differ(k: Column) -> Column:
+        at, of = _place(windows, low, k), _place(windows, low, k + 1)
+        pairs = [F.get(words, at + j) != F.get(words, of + j) for j in range(3)]
+        return pairs[0] | pairs[1] | pairs[2]
+
+    # a window covers three words, or those up to the next one
+    gaps = F.transform(starts, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(starts, j + 1) - x, F.lit(3))))
+    return (
+        F.when(F.size(twins) == 0, F.lit(0))
+        .when(F.exists(twins, differ), _repeat_words_by_sorting(words))
+        .otherwise(F.aggregate(gaps, F.lit(0), lambda s, x: s + x))
+    )
+
+
+def _repeat_words_by_sorting(words: Column) -> Column:
+    """The same by sorting the windows by their words."""
+    windows = F.sort_array(
+        F.transform(
+            F.sequence(F.lit(0), F.size(words) - 3),
+            lambda i: F.struct(*[F.get(words, i + k).alias(f"w{k}") for k in range(3)], i.alias("i")),
         )
+    )
 
-    def repeated(s: Column) -> Column:
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
+
+    def covered(s: Column) -> Column:
         # get() of a negative index is null
-        return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        found = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    covered = lambda found: F.size(
-        F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    )
-    count = let(words, lambda w: let(windows(w), lambda s: covered(repeated(s))))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(count)
+    return let(windows, covered)
 
 
 def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -82,25 +122,34 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     without a word are 0."""
     p = prefix
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumns(
+    own = [f"{p}_{c}" for c in ("words", "lines", "low", "high", "windows", "twins", "starts")]
+    words, lines, low, high, windows, twins, starts = map(F.col, own)
+    letters = F.split(F.lower(text), r"[^\p{L}]+", -1)
+    # one step after the other, so that each array is computed once and carried no further than it is read
+    steps = [
         {
             f"{p}_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
             f"{p}_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            f"{p}_plain": F.split(F.lower(text), r"[^\p{L}]+", -1),
-        }
-    )
-    words, lines = F.col(f"{p}_words"), F.col(f"{p}_lines")
-    counted = split.withColumns(
+            f"{p}n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
+            f"{p}n_stop_words": F.size(F.filter(letters, lambda w: w.isin(STOP_WORDS))).cast("long"),
+        },
         {
             f"{p}n_words": F.size(words).cast("long"),
             f"{p}word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
-            f"{p}n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
             f"{p}n_lines": F.size(lines).cast("long"),
             f"{p}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            f"{p}n_repeat_words": _repeat_words(words).cast("long"),
-            f"{p}n_stop_words": F.size(F.filter(F.col(f"{p}_plain"), lambda w: w.isin(STOP_WORDS))).cast("long"),
-        }
-    ).drop(f"{p}_words", f"{p}_lines", f"{p}_plain")
+            f"{p}_low": F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(words)))) - 1,
+        },
+        {f"{p}_high": F.bitwise_not(low)},
+        {f"{p}_windows": _windows_of(words, high)},
+        {f"{p}_twins": _twins_of(windows, high)},
+        {f"{p}_starts": _starts_of(windows, twins, low)},
+        {f"{p}n_repeat_words": _repeat_words(words, windows, twins, starts, low).cast("long")},
+    ]
+    counted = docs
+    for step in steps:
+        counted = counted.withColumns(step)
+    counted = counted.drop(*own)
 
     def ratio(over: str, under: str) -> Column:
         return F.coalesce(F.try_divide(F.col(p + over).cast("double"), F.col(p + under)), F.lit(0.0))

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -130,6 +131,18 @@ def test_toxicity_of_documents(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     clean = [r for r in got if r.held_out and truth.get(r.doc_id) == 0]
     assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    toxic = [r for r in got if r.held_out and truth.get(r.doc_id) == 1]
+    assert toxic and sum(r.predicted for r in toxic) >= 0.5 * len(toxic)
+
+
+def test_toxicity_of_more_documents(spark):
+    larger = os.environ.get("TEST_LARGER_DIR", "/root/testdata/sf0.1")
+    truth = held_out_labels(spark, larger, "toxic")
+    held = [r for r in toxicity.op4_toxicity(spark, larger).where("held_out").collect() if r.doc_id in truth]
+    caught = [r.predicted for r in held if truth[r.doc_id] == 1]
+    wrong = [r.predicted for r in held if truth[r.doc_id] == 0]
+    assert len(caught) > 30 and sum(caught) >= 0.9 * len(caught)
+    assert sum(wrong) <= 0.02 * len(wrong)
 
 
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, none):
@@ -266,6 +279,39 @@ def test_sparse_sites_shrink_to_their_host(spark):
     assert got["tiny", "y"].host_posterior > 0.1
 
 
+def test_posteriors_are_plain_empirical_bayes(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"h{h}", f"p{k % (h + 1)}", float(rng.beta(2 + h, 3))) for h in range(4) for k in range(30 * (h + 1))]
+    rows += [("lone", "x", 0.25)]
+    sums, rate, over_hosts, over_sites = quality_classifier.site_sums(spark.createDataFrame(rows, "host string, path string, p double"))
+
+    def strength(groups):
+        spread = sum(n * (s / n - prior) ** 2 for n, s, prior in groups)
+        chance = sum(prior * (1 - prior) for _, _, prior in groups)
+        most = sum(n * prior * (1 - prior) for n, _, prior in groups)
+        share = (spread - chance) / (most - chance)
+        return min(max(1 / share - 1, 1.0), 1e6) if share > 0 else 1e6
+
+    by_host, by_site = {}, {}
+    for h, p, v in rows:
+        by_host.setdefault(h, []).append(v)
+        by_site.setdefault((h, p), []).append(v)
+    whole = sum(v for *_, v in rows) / len(rows)
+    assert rate == pytest.approx(whole)
+    assert over_hosts == pytest.approx(strength([(len(v), sum(v), whole) for v in by_host.values()]))
+    prior = {h: (over_hosts * whole + sum(v)) / (over_hosts + len(v)) for h, v in by_host.items()}
+    assert over_sites == pytest.approx(strength([(len(v), sum(v), prior[h]) for (h, _), v in by_site.items()]))
+    evidence = spark.createDataFrame(rows, "host string, path string, p double").join(sums, ["host", "path"])
+    host, site = quality_classifier.posteriors(rate, over_hosts, over_sites, F.col("p"))
+    for r in evidence.withColumns({"hp": host, "sp": site}).collect():
+        others_h, others_s = sum(by_host[r.host]) - r.p, sum(by_site[r.host, r.path]) - r.p
+        hp = (over_hosts * whole + others_h) / (over_hosts + len(by_host[r.host]) - 1)
+        assert r.hp == pytest.approx(hp)
+        assert r.sp == pytest.approx((over_sites * hp + others_s) / (over_sites + len(by_site[r.host, r.path]) - 1))
+    alone = evidence.where("host = 'lone'").withColumns({"hp": host, "sp": site}).first()
+    assert alone.hp == pytest.approx(whole) and alone.sp == pytest.approx(whole)
+
+
 def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(1, 1), (5, 1), (10, 0), (7, 0), (9, None)], "doc_id long, quality int")
     args = labels, F.col("source"), F.col("lang")

@@ -39,6 +39,32 @@ def test_one_text_in_a_third_of_rows_is_split(spark, slices):
     assert len(hot) > 1 and hot == list(range(hot[0], hot[-1] + 1))
 
 
+def test_repeated_rows_are_split_like_others(spark):
+    rows = [(7 if i % 3 else None, "the same row") for i in range(2400)] + [(i, f"text {i}") for i in range(600)]
+    got = hs.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect()
+    size, slots = Counter(), {}
+    for r in got:
+        size[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 3000 and max(size.values()) - min(size.values()) <= 2 * max(r.size for r in got)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_tasks_grow_with_bytes_not_with_shards(spark, monkeypatch):
+    cuts, plain = [], hs.cut
+    monkeypatch.setattr(hs, "cut", lambda df: cuts.append(plain(df)) or cuts[-1])
+    monkeypatch.setattr(hs, "TASK_BYTES", 4000)
+    rows = [(i, "the same long row " * 5 if i % 2 else f"text {i} " * 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = hs.shard(df, 3)
+    total = sum(r.size for r in got.collect())
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [
+        (s, k) for s in range(3) for k in range(got.where(F.col("shard") == s).count())
+    ]
+    sizes = [r.n for r in cuts[1].groupBy("part").agg(F.sum("weight").alias("n")).collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 3 * hs.TASK_BYTES and sum(sizes) == total
+
+
 def test_small_groups_of_equal_texts_stay_together(spark):
     rows = [(i, f"text {i // 3}" * (i // 3 % 7 + 1)) for i in range(3000)]
     got = hs.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
@@ -54,16 +80,22 @@ def test_small_groups_of_equal_texts_stay_together(spark):
 
 
 def test_splitters_are_those_of_a_full_sort(spark):
-    rows = [(i * 7919 % 1009 - 500, i % 5, i % 13 + 1) for i in range(2000)]
-    keyed = spark.createDataFrame(rows, "key_hi long, key_lo long, weight long")
+    rows = [(i * 7919 % 1009 - 500, i % 5, i % 3 - 1, i % 13 + 1) for i in range(2000)]
+    keyed = spark.createDataFrame(rows, "key_text long, key_id long, key_row long, weight long")
     total = sum(w for *_, w in rows)
     targets = [total * k / 9 for k in range(1, 9)]
-    as_key = lambda h, l: ((h + (1 << 63)) << 64) | (l + (1 << 63))  # noqa: E731, E741
+
+    def as_key(*parts):
+        whole = 0
+        for p in parts:
+            whole = whole << 64 | (p + (1 << 63))
+        return whole
+
     for target, s in zip(targets, hs.find_splitters(keyed, targets, 0.0), strict=True):
-        below = sum(w for h, lo, w in rows if as_key(h, lo) < s)
+        below = sum(w for *key, w in rows if as_key(*key) < s)
         group = Counter()
-        for h, lo, w in rows:
-            group[as_key(h, lo)] += w
+        for *key, w in rows:
+            group[as_key(*key)] += w
         assert abs(below - target) <= max(group.values()) / 2 + 1e-9
 
 
@@ -123,8 +155,12 @@ def signature_words(text):
 def test_signature_sets_are_the_plain_chains(spark, texts):
     some = [(i, t) for i, t in texts.items() if t.isascii()][:200] + [(-1, ""), (-2, "alone"), (-3, "the the of")]
     df = spark.createDataFrame(some, "doc_id long, text string")
-    for r in df.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect():
-        assert len(r.s) == len(set(r.s)) == len(signature_words(r.text))
+    got = {r.doc_id: r.s for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    # Spark's own hash of every plain chain
+    chains = [(i, *(list(c) + [None] * (spotsigs.CHAIN + 1 - len(c)))) for i, t in some for c in signature_words(t)]
+    hashed = spark.createDataFrame(chains, "doc_id long, a string, b string, c string").select("doc_id", F.hash("a", "b", "c").alias("h"))
+    want = {r.doc_id: sorted(r.hs) for r in hashed.groupBy("doc_id").agg(F.collect_set("h").alias("hs")).collect()}
+    assert got == {i: want.get(i, []) for i, _ in some}
 
 
 def test_edited_texts_and_neighbours(spark, sf_dir, texts):
