@@ -52,4 +52,5 @@ def components(edges: DataFrame) -> DataFrame:
         above = roots.toDF("m", "root")
         roots = cut(step.join(above, "m", "left").select("v", F.coalesce("root", "m").alias("m")))
     names = roots.groupBy("m").agg(F.min("v").alias("component"))
-    return cut(roots.join(names, "m").select(F.col("v").alias("id"), "component"))
+    # dealt by vertex again, so that the rows of a large component do not stay in one partition
+    return cut(roots.join(names, "m").select(F.col("v").alias("id"), "component").repartition("id"))
