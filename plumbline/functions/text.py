@@ -5,70 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Alias, unit, dimension, factor to the canonical unit, offset after it.
-UNITS = (
-    ("v", "v", "voltage", 1.0, 0.0),
-    ("volt", "v", "voltage", 1.0, 0.0),
-    ("volts", "v", "voltage", 1.0, 0.0),
-    ("vac", "v", "voltage", 1.0, 0.0),
-    ("vdc", "v", "voltage", 1.0, 0.0),
-    ("mv", "mv", "voltage", 0.001, 0.0),
-    ("kv", "kv", "voltage", 1000.0, 0.0),
-    ("a", "a", "current", 1.0, 0.0),
-    ("amp", "a", "current", 1.0, 0.0),
-    ("amps", "a", "current", 1.0, 0.0),
-    ("ma", "ma", "current", 0.001, 0.0),
-    ("ka", "ka", "current", 1000.0, 0.0),
-    ("w", "w", "power", 1.0, 0.0),
-    ("watt", "w", "power", 1.0, 0.0),
-    ("watts", "w", "power", 1.0, 0.0),
-    ("mw", "mw", "power", 0.001, 0.0),
-    ("kw", "kw", "power", 1000.0, 0.0),
-    ("va", "va", "apparent_power", 1.0, 0.0),
-    ("kva", "kva", "apparent_power", 1000.0, 0.0),
-    ("wh", "wh", "energy", 1.0, 0.0),
-    ("kwh", "kwh", "energy", 1000.0, 0.0),
-    ("ah", "ah", "capacity", 1.0, 0.0),
-    ("mah", "mah", "capacity", 0.001, 0.0),
-    ("mm", "mm", "length", 0.001, 0.0),
-    ("cm", "cm", "length", 0.01, 0.0),
-    ("m", "m", "length", 1.0, 0.0),
-    ("in", "in", "length", 0.0254, 0.0),
-    ("inch", "in", "length", 0.0254, 0.0),
-    ("ft", "ft", "length", 0.3048, 0.0),
-    ("g", "g", "mass", 0.001, 0.0),
-    ("kg", "kg", "mass", 1.0, 0.0),
-    ("lb", "lb", "mass", 0.45359237, 0.0),
-    ("oz", "oz", "mass", 0.028349523125, 0.0),
-    ("s", "s", "time", 1.0, 0.0),
-    ("min", "min", "time", 60.0, 0.0),
-    ("h", "h", "time", 3600.0, 0.0),
-    ("hz", "hz", "frequency", 1.0, 0.0),
-    ("khz", "khz", "frequency", 1000.0, 0.0),
-    ("c", "c", "temperature", 1.0, 0.0),
-    ("°c", "c", "temperature", 1.0, 0.0),
-    ("f", "f", "temperature", 5 / 9, -32 * 5 / 9),
-    ("°f", "f", "temperature", 5 / 9, -32 * 5 / 9),
-    ("k", "k", "temperature", 1.0, -273.15),
+#: Unit, dimension, factor to the canonical unit of the dimension (V, A, W, VA, Wh, Ah, ohm, Hz, kg, mm,
+#: litre, kPa, N m, L/min, s, degree Celsius, mm2), offset after it, and the names it goes by.
+UNIT_NAMES = (
+    ("v", "voltage", 1.0, 0.0, "v|volt|volts|vac|vdc"),
+    ("mv", "voltage", 0.001, 0.0, "mv|millivolt|millivolts"),
+    ("kv", "voltage", 1000.0, 0.0, "kv|kilovolt|kilovolts"),
+    ("a", "current", 1.0, 0.0, "a|amp|amps|ampere|amperes"),
+    ("ma", "current", 0.001, 0.0, "ma|milliamp|milliamps|milliampere|milliamperes"),
+    ("ka", "current", 1000.0, 0.0, "ka|kiloamp|kiloamps"),
+    ("w", "power", 1.0, 0.0, "w|watt|watts"),
+    ("mw", "power", 0.001, 0.0, "mw|milliwatt|milliwatts"),
+    ("kw", "power", 1000.0, 0.0, "kw|kilowatt|kilowatts"),
+    ("va", "apparent_power", 1.0, 0.0, "va|volt-ampere|volt-amperes"),
+    ("kva", "apparent_power", 1000.0, 0.0, "kva|kilovolt-ampere|kilovolt-amperes"),
+    ("wh", "energy", 1.0, 0.0, "wh|watt-hour|watt-hours"),
+    ("kwh", "energy", 1000.0, 0.0, "kwh|kilowatt-hour|kilowatt-hours"),
+    ("ah", "capacity", 1.0, 0.0, "ah|amp-hour|amp-hours|ampere-hour|ampere-hours"),
+    ("mah", "capacity", 0.001, 0.0, "mah|milliamp-hour|milliamp-hours"),
+    ("ohm", "resistance", 1.0, 0.0, "ohm|ohms|ω"),
+    ("mohm", "resistance", 0.001, 0.0, "mohm|mω|milliohm|milliohms"),
+    ("kohm", "resistance", 1000.0, 0.0, "kohm|kω|kiloohm|kiloohms"),
+    ("hz", "frequency", 1.0, 0.0, "hz|hertz"),
+    ("khz", "frequency", 1000.0, 0.0, "khz|kilohertz"),
+    ("kg", "mass", 1.0, 0.0, "kg|kilogram|kilograms"),
+    ("g", "mass", 0.001, 0.0, "g|gram|grams"),
+    ("oz_mass", "mass", 0.45359237 / 16, 0.0, "oz|oz_mass|ounce|ounces|oz mass"),
+    ("lb", "mass", 0.45359237, 0.0, "lb|lbs|pound|pounds|lb_mass"),
+    ("mm", "length", 1.0, 0.0, "mm|millimeter|millimeters"),
+    ("cm", "length", 10.0, 0.0, "cm|centimeter|centimeters"),
+    ("m", "length", 1000.0, 0.0, "m|meter|meters|metre|metres"),
+    ("in", "length", 25.4, 0.0, 'in|inch|inches|"'),
+    ("ft", "length", 304.8, 0.0, "ft|foot|feet|'"),
+    ("l", "volume", 1.0, 0.0, "l|liter|liters|litre|litres"),
+    ("ml", "volume", 0.001, 0.0, "ml|milliliter|milliliters|millilitre|millilitres"),
+    ("fl_oz_us", "volume", 0.0295735295625, 0.0, "fl_oz_us|us fl oz|us fl. oz.|us fl_oz|us floz|us fluid ounce|us fluid ounces"),
+    ("cup_us", "volume", 0.2365882365, 0.0, "cup_us|us cup|us cups"),
+    ("pt_us", "volume", 0.473176473, 0.0, "pt_us|us pt|us pint|us pints"),
+    ("qt_us", "volume", 0.946352946, 0.0, "qt_us|us qt|us quart|us quarts"),
+    ("gal_us", "volume", 3.785411784, 0.0, "gal_us|us gal|us gallon|us gallons"),
+    ("kpa", "pressure", 1.0, 0.0, "kpa|kilopascal|kilopascals"),
+    ("pa", "pressure", 0.001, 0.0, "pa|pascal|pascals"),
+    ("bar", "pressure", 100.0, 0.0, "bar|bars"),
+    ("psi", "pressure", 6.894757293168361, 0.0, "psi|lbf/in2|lb/in2|lbf/in^2|lb/in^2|pounds per square inch"),
+    ("n_m", "torque", 1.0, 0.0, "n·m|n-m|n*m|nm|n m|newton meter|newton meters|newton-meter|newton-meters|newton-metre|newton metres"),
+    ("lb_ft", "torque", 0.45359237 * 9.80665 * 0.3048, 0.0, "lb·ft|lb-ft|lb*ft|lb ft|ft-lb|ft*lb|ft·lb|ft lb|foot-pound|foot pounds|ft-lbs|ft lbs"),
+    ("lb_in", "torque", 0.45359237 * 9.80665 * 0.3048 / 12, 0.0, "lb·in|lb-in|lb*in|lb in|in-lb|in*lb|in·lb|in lb|inch-pound|inch pounds|in-lbs|in lbs"),
+    ("l_per_min", "flow", 1.0, 0.0, "l/min|l_per_min|lpm|liter per minute|liters per minute|l / min"),
+    ("l_per_h", "flow", 1 / 60, 0.0, "l/h|l_per_h|lph|liter per hour|liters per hour|l / h"),
+    ("gal_us_per_min", "flow", 3.785411784, 0.0, "gal_us_per_min|us gal/min|us gal per min|us gallon per minute|us gallons per minute|us gal / min|us gpm"),
+    ("gal_us_per_h", "flow", 3.785411784 / 60, 0.0, "gal_us_per_h|us gal/h|us gal per hour|us gallon per hour|us gallons per hour|us gal / h|us gph"),
+    ("s", "time", 1.0, 0.0, "s|sec|secs|second|seconds"),
+    ("ms", "time", 0.001, 0.0, "ms|millisecond|milliseconds"),
+    ("min", "time", 60.0, 0.0, "min|minute|minutes"),
+    ("h", "time", 3600.0, 0.0, "h|hour|hours"),
+    ("deg_c", "temperature", 1.0, 0.0, "c|°c|degc|deg c|deg_c|celsius|centigrade"),
+    ("deg_f", "temperature", 5 / 9, -32 * 5 / 9, "f|°f|degf|deg f|deg_f|fahrenheit"),
+    ("k", "temperature", 1.0, -273.15, "k|kelvin"),
+    ("mm2", "conductor_size", 1.0, 0.0, "mm²|mm2|mm^2|sq mm|sqmm|square millimeter|square millimeters"),
 )
-NUMBER_AND_UNIT = r"^([-+]?(?:\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?|\.\d+))(?:\s*(.+?))?\s*$"
-AWG = r"(?i)^\s*(4/0|3/0|2/0|1/0|0000|000|00|0|\d+)\s*(?:(?:awg|american wire gauge)\b)?\s*$"
+#: One row per name: alias, unit, dimension, factor, offset.
+UNITS = tuple((name, unit, dimension, factor, offset) for unit, dimension, factor, offset, names in UNIT_NAMES for name in names.split("|"))
+#: A number with or without thousands in groups of three, or a bare fraction; then whatever stands for its unit.
+_WHOLE, _GROUPED, _FRACTION = r"[0-9]+(?:\.[0-9]+)?", r"[0-9]{1,3}(?:,[0-9]{3})+", r"\.[0-9]+"
+NUMBER_AND_UNIT = rf"^([+-]?(?:{_GROUPED}|{_WHOLE}|{_FRACTION}))\s*(\S.*?)?\s*$"
+#: Gauges are whole numbers, runs of zeros, or a count of zeros over 0.
+AWG = r"(?i)^\s*([1-4]/0|0{1,4}|[0-9]+)\s*(?:awg|american wire gauge)?\s*$"
+GAUGE_NAMES = ("awg", "american wire gauge")
 FNV_OFFSET, FNV_PRIME, U32 = 2166136261, 16777619, 0xFFFFFFFF
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(UNITS), "alias string, unit_id string, dimension string, factor double, offset double"
-    )
+    """``alias, unit_id, dimension, factor, offset``: the fixed rows as a literal table of the plan."""
+    rows = ", ".join(f"({_quoted(a)}, '{u}', '{d}', {f!r}D, {o!r}D)" for a, u, d, f, o in UNITS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS units(alias, unit_id, dimension, factor, offset)")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
 
 
 def parsed_quantity(raw: Column) -> Column:
     """Struct ``number, unit`` of a text such as ``1,200 W``; both null where it is no number."""
     text = F.trim(raw)
     number = F.regexp_extract(text, NUMBER_AND_UNIT, 1)
+    unit = F.regexp_replace(F.lower(F.trim(F.regexp_extract(text, NUMBER_AND_UNIT, 2))), r"\s+nominal$", "")
     return F.struct(
         F.when(number != "", F.replace(number, F.lit(","), F.lit("")).try_cast("double")).alias("number"),
-        F.when(number != "", F.nullif(F.lower(F.trim(F.regexp_extract(text, NUMBER_AND_UNIT, 2))), F.lit(""))).alias("unit"),
+        F.when(number != "", F.nullif(unit, F.lit(""))).alias("unit"),
     )
 
 
@@ -175,15 +199,40 @@ def dual_units_agree(raw: Column) -> Column:
     return F.when(F.size(sides) == 2, F.forall(both, lambda x: x))
 
 
-#: Endpoint names that change something, so that a capture never requests them.
+#: Endpoint names that change something, so that a capture never requests them; as path segments the last
+#: two are harmless.
 ACTIONS = (
     "cart checkout purchase login logout signin signout register edit delete remove save submit add update empty clear "
     "addtocart backlink index"
 ).split()
+HARMLESS_SEGMENTS = ("backlink", "index")
+#: Query parameters that act by being there, and those whose value names the action.
+ACTING_PARAMETERS = ("add-to-cart", "remove-item", "buy", "purchase", "checkout", "message")
+ACTION_PARAMETERS = ("do", "action", "task", "wc-ajax")
+#: Forms of cart actions in paths and in values, and names of actions behind a prefix.
+CART_SEGMENT = r"^(add|remove)[-_]to[-_]cart$"
+CART_VALUE = r"^(add|remove)[-_](to[-_])?cart$"
+PREFIXED_ACTION = r"__(add|remove|delete|save|edit)[a-z_-]*$"
 
 
 def read_only_url(url: Column) -> Column:
-    """Whether no path segment of a URL, without a script ending, is the name of an action."""
-    path = F.lower(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1))
-    names = F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, r"\.(?:php|aspx?)$", ""))
-    return ~F.arrays_overlap(names, F.array(*map(F.lit, ACTIONS)))
+    """Whether requesting a URL changes nothing: no segment of its decoded path (without a script ending) and no query
+    parameter names an action.  What is no absolute URL, or has a path that does not decode, is not read-only; null is null."""
+    absolute = url.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]")
+    raw = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    # a plus sign is itself in a path, a blank in a query
+    path = F.lower(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+    names = F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, r"\.(php|aspx?)$", ""))
+    acting = [a for a in ACTIONS if a not in HARMLESS_SEGMENTS]
+    in_path = F.exists(names, lambda s: s.isin(acting) | s.rlike(CART_SEGMENT))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    text = lambda c: F.lower(F.coalesce(F.try_url_decode(c), c))
+
+    def acts(part: Column) -> Column:
+        name = F.replace(text(F.substring_index(part, "=", 1)), F.lit("_"), F.lit("-"))
+        value = F.when(F.contains(part, F.lit("=")), text(F.regexp_replace(part, "^[^=]*=", ""))).otherwise(F.lit(""))
+        named = value.isin(ACTIONS) | value.rlike(CART_VALUE) | value.rlike(PREFIXED_ACTION)
+        return name.isin(*ACTING_PARAMETERS) | (name.isin(*ACTION_PARAMETERS) & named)
+
+    in_query = F.exists(F.split(query, "&"), acts)
+    return F.when(url.isNotNull(), absolute & ~F.coalesce(in_path, F.lit(True)) & ~in_query)

@@ -32,20 +32,34 @@ def one_value(x: Column) -> Column:
 
 
 def governors(df: DataFrame, group: list[str], id_col: str, value: str) -> DataFrame:
-    """Per group the maximum of ``value``, all ids that reach it, all ids whose value is unknown, and a status.
+    """Per group the maximum of ``value``, how many rows reach it and the least id of them, how many values are unknown and
+    the least id of those, and a status.  ``governor_rows`` has the rows themselves.
 
-    The maximum comes from a map-side combined aggregation, and rows meet it in a join, so no group is sorted.
+    One combined aggregation: per group and value first, so that no group is collected or sorted.
     """
-    top = df.groupBy(*group).agg(F.max(value).alias("max_value"))
-    at = df.join(top, group) if group else df.crossJoin(top)
-    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col(id_col))))
-    marked = at.where(F.col(value).isNull() | (F.col(value) == F.col("max_value")))
-    return marked.groupBy(*group).agg(
-        F.max("max_value").alias("max_value"),
-        ids(F.col(value) == F.col("max_value")).alias("governing"),
-        ids(F.col(value).isNull()).alias("unresolved"),
-        F.when(F.count_if(F.col(value).isNull()) > 0, F.lit("unresolved")).otherwise(F.lit("resolved")).alias("status"),
+    by_value = df.groupBy(*group, value).agg(F.count("*").alias("_n"), F.min(id_col).alias("_first"))
+    known, missing = F.col(value).isNotNull(), F.col(value).isNull()
+    top = F.max(F.when(known, F.struct(F.col(value).alias("v"), F.col("_n").alias("n"), F.col("_first").alias("first"))))
+    out = by_value.groupBy(*group).agg(
+        top.alias("_top"), F.coalesce(F.sum(F.when(missing, F.col("_n"))), F.lit(0)).alias("unresolved"), F.min(F.when(missing, F.col("_first"))).alias("first_unresolved")
     )
+    return out.select(
+        *group,
+        F.col("_top.v").alias("max_value"),
+        F.coalesce("_top.n", F.lit(0)).cast("long").alias("governors"),
+        F.col("_top.first").alias("first_governor"),
+        F.col("unresolved").cast("long").alias("unresolved"),
+        "first_unresolved",
+        F.when(F.col("unresolved") > 0, F.lit("unresolved")).otherwise(F.lit("resolved")).alias("status"),
+    )
+
+
+def governor_rows(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The rows of ``df`` that reach the maximum of their group (``role`` is ``governing``) or whose value is unknown
+    (``unresolved``); ties are all kept."""
+    top = df.groupBy(*group).agg(F.max(value).alias("_top"))
+    role = F.when(F.col(value).isNull(), F.lit("unresolved")).when(F.col(value) == F.col("_top"), F.lit("governing"))
+    return df.join(top, group).withColumn("role", role).where(F.col("role").isNotNull()).drop("_top")
 
 
 def skyline(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
@@ -61,7 +75,13 @@ def skyline(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
 
 
 def grouped_members(df: DataFrame, key: list[Column], member: str, names: list[str]) -> DataFrame:
-    """Groups by a composite key, with their sorted distinct members."""
+    """Groups by a composite key, with the number of their rows and of their distinct members, and the first and last of
+    these.  ``group_rows`` has the members, a row each."""
     return df.groupBy(*[k.alias(n) for k, n in zip(key, names, strict=True)]).agg(
-        F.array_sort(F.collect_set(member)).alias("members"), F.count("*").alias("n")
+        F.count("*").alias("n"), F.count_distinct(member).alias("n_members"), F.min(member).alias("first_member"), F.max(member).alias("last_member")
     )
+
+
+def group_rows(df: DataFrame, key: list[Column], member: str, names: list[str]) -> DataFrame:
+    """The distinct members of the groups, a row each."""
+    return df.select(*[k.alias(n) for k, n in zip(key, names, strict=True)], member).distinct()

@@ -56,21 +56,26 @@ def referential_issues(references: list[tuple[str, DataFrame, str, DataFrame, st
     return found
 
 
-def cyclic_nodes(nodes: DataFrame, id_col: str, parent_col: str, doublings: int = 20) -> DataFrame:
+def cyclic_nodes(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """``id_col, cyclic``: whether a node's chain of parents never ends.
 
-    Pointer doubling: after k joins every node points 2**k steps up, or nowhere once its chain has ended.  Acyclic
-    chains are shorter than 2**``doublings``, so what still points somewhere then runs in a circle.  The loop ends as
-    soon as a doubling finds no further chain that ends.
+    Pointer doubling: after k joins every node points 2**k steps up, or nowhere once its chain has ended.  As long as a
+    chain that ends is open, so are all shorter rests of it, and the next doubling ends some of them; so what is open
+    when a doubling has ended none runs in a circle.  Rounds grow with the logarithm of the longest chain.
     """
     up = cut(nodes.select(F.col(id_col).alias("n"), F.col(parent_col).alias("up")))
-    open_before = None
-    for _ in range(doublings):
+    before, still = None, up.where(F.col("up").isNotNull()).count()
+    while still and still != before:
         going = up.where(F.col("up").isNotNull())
-        still = going.count()
-        if still == 0 or (open_before == still and going.join(going.select(F.col("n").alias("up")), "up", "left_anti").isEmpty()):
-            break
-        open_before = still
         jump = going.select(F.col("n").alias("up"), F.col("up").alias("up2"))
         up = cut(up.join(jump, "up", "left").select("n", F.col("up2").alias("up")))
+        before, still = still, up.where(F.col("up").isNotNull()).count()
     return up.select(F.col("n").alias(id_col), F.col("up").isNotNull().alias("cyclic"))
+
+
+def common_targets(df: DataFrame, key: list[str], member: str, target: str) -> DataFrame:
+    """``key, target`` of the targets that every member of the key has: the intersection over members, by counting."""
+    pairs = df.select(*key, member, target).distinct()
+    members = pairs.select(*key, member).distinct().groupBy(*key).agg(F.count("*").alias("_all"))
+    have = pairs.where(F.col(target).isNotNull()).groupBy(*key, target).agg(F.count("*").alias("_n"))
+    return have.join(members, key).where(F.col("_n") == F.col("_all")).select(*key, target)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import electrical as el
 from . import aggregates as ag
+from . import sequences
 
 
 def load_demand(loads: DataFrame, key: list[str]) -> DataFrame:
@@ -44,12 +45,11 @@ def usage_profile(uses: DataFrame, key: list[str], power: str, hours: str, perio
 
 
 def source_sequence(contributions: DataFrame, interval: str, energy: str) -> DataFrame:
-    """Intervals in order, with known and, where no contribution is unknown, total energy.  The window runs over the
-    intervals, which the aggregation has made few."""
+    """Intervals in order, with known and, where no contribution is unknown, total energy."""
     sums = contributions.groupBy(interval).agg(
         ag.known_sum(F.col(energy)).alias("known_wh"), ag.complete_sum(F.col(energy)).alias("total_wh")
     )
-    return sums.withColumn("sequence_index", F.row_number().over(Window.orderBy(interval)) - 1).withColumn(
+    return sequences.numbered(sums, [interval], "sequence_index").withColumn(
         "energy_status", F.when(F.col("total_wh").isNull(), F.lit("unresolved")).otherwise(F.lit("resolved"))
     )
 
@@ -149,11 +149,10 @@ def wire_candidates(runs: DataFrame, system_v: Column, most_percent: Column) ->
     return out.withColumn("eligible", F.col("ampacity_passes") & F.col("drop_passes"))
 
 
-def derating(df: DataFrame, key: list[str], order: list[str], factor: str) -> DataFrame:
-    """Product of the factors of each key, multiplied in order."""
-    lists = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, factor))).alias("fs"))
-    return lists.select(
-        *key, F.size("fs").alias("factors"), F.aggregate("fs", F.lit(1.0), lambda a, x: a * x[factor]).alias("derating")
+def derating(df: DataFrame, key: list[str], factor: str) -> DataFrame:
+    """Product of the factors of each key, by a combined aggregation; null where a factor is unknown."""
+    return df.groupBy(*key).agg(
+        F.count("*").alias("factors"), F.when(F.count("*") == F.count(factor), F.product(F.col(factor))).alias("derating")
     )
 
 
@@ -172,6 +171,69 @@ def shared_capacity(demands: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def shared_capacity_checks(operations: DataFrame, demands: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per operation and subject one ``check`` and its ``status``, with the summed ``demand`` where there is one.
+
+    ``operations``: ``op_id, mode, battery_count, temperature_c, required`` (group ids); ``demands``: ``op_id, path_id,
+    value, unit``; ``groups``: ``group_id, mode, battery_count, least_c, most_c, unit, limit, paths, excluded`` (pairs of
+    paths ``a, b``), ``open`` (conditions unresolved).  A null condition of a group fits every operation.
+
+    Groups that an operation requires, and all that are declared for its mode, must fit it exactly once.  Demands in
+    another unit leave a group unresolved; two paths that exclude each other may not both have a demand; the sum of a
+    group may reach its limit.  A demand that no required group of the mode covers is unresolved.
+    """
+    g = groups.select("group_id", *[F.col(c).alias(f"_g_{c}") for c in groups.columns if c != "group_id"])
+    required = operations.select("op_id", F.explode("required").alias("group_id"))
+    declared = operations.join(g.select("group_id", F.col("_g_mode").alias("mode")), "mode").select("op_id", "group_id")
+    wanted = required.unionByName(declared).distinct().join(operations.drop("required"), "op_id")
+    count_fits = F.col("_g_battery_count").isNull() | F.col("_g_battery_count").eqNullSafe(F.col("battery_count"))
+    bounded = F.col("_g_least_c").isNotNull() | F.col("_g_most_c").isNotNull()
+    inside = (F.coalesce(F.col("temperature_c") >= F.col("_g_least_c"), F.col("_g_least_c").isNull())) & (
+        F.coalesce(F.col("temperature_c") <= F.col("_g_most_c"), F.col("_g_most_c").isNull())
+    )
+    fits = (F.col("_g_mode") == F.col("mode")) & count_fits & (~bounded | (F.col("temperature_c").isNotNull() & inside))
+    own = [c for c in g.columns if c != "group_id"]
+    joined = wanted.join(g, "group_id", "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    one = joined.groupBy("op_id", "group_id").agg(
+        F.count_if("_fits").alias("_n"), F.first(F.when(F.col("_fits"), F.struct(*own)), ignorenulls=True).alias("_g")
+    )
+    one = one.select("op_id", "group_id", "_n", "_g.*")
+    unknown = (F.col("_n") != 1) | F.coalesce(F.col("_g_open"), F.lit(False))
+    none = F.lit(None).cast("double")
+    rows = lambda df, check, subject, status, demand=none: df.select(
+        "op_id", F.lit(check).alias("check"), subject.cast("string").alias("subject"), status.alias("status"), demand.alias("demand")
+    )
+    open_ = rows(one.where(unknown), "capacity_condition_unknown", F.col("group_id"), F.lit("UNRESOLVED"))
+    known = one.where(~unknown)
+    # a path stands in a group once, so a demand meets the group once
+    paths = known.select("op_id", "group_id", F.explode(F.array_distinct("_g_paths")).alias("path_id"))
+    met = paths.join(demands, ["op_id", "path_id"])
+    positive = F.collect_set(F.when(F.col("value") > 0, F.col("path_id")))
+    sums = met.groupBy("op_id", "group_id").agg(
+        F.sum("value").alias("_sum"), F.min("unit").alias("_u0"), F.max("unit").alias("_u1"), positive.alias("_active")
+    )
+    summed = known.join(sums, ["op_id", "group_id"], "left")
+    mixed = F.coalesce((F.col("_u0") != F.col("_g_unit")) | (F.col("_u1") != F.col("_g_unit")), F.lit(False))
+    clash = rows(summed.where(mixed), "capacity_unit_mismatch", F.col("group_id"), F.lit("UNRESOLVED"))
+    total = F.coalesce("_sum", F.lit(0.0))
+    status = F.when(total <= F.col("_g_limit"), F.lit("ELIGIBLE")).otherwise(F.lit("BLOCKED"))
+    sound = summed.where(~mixed)
+    held = rows(sound, "combined_capacity", F.col("group_id"), status, total)
+    active = F.coalesce("_active", F.array().cast("array<string>"))
+    pairs = sound.withColumn("_pair", F.explode("_g_excluded"))
+    both = F.array_contains(active, F.col("_pair.a")) & F.array_contains(active, F.col("_pair.b"))
+    named = F.concat_ws("/", "group_id", "_pair.a", "_pair.b")
+    apart = rows(pairs, "simultaneous_exclusion", named, F.when(both, F.lit("BLOCKED")).otherwise(F.lit("ELIGIBLE")))
+    cover = (
+        required.join(g.select("group_id", F.col("_g_mode").alias("mode"), F.explode("_g_paths").alias("path_id")), "group_id")
+        .join(operations.select("op_id", "mode"), ["op_id", "mode"])
+        .select("op_id", "path_id")
+        .distinct()
+    )
+    bare = rows(demands.join(cover, ["op_id", "path_id"], "left_anti"), "demand_capacity_coverage", F.col("path_id"), F.lit("UNRESOLVED"))
+    return open_.unionByName(clash).unionByName(apart).unionByName(held).unionByName(bare)
+
+
 def shared_edges(steps: DataFrame, edge: list[str], route: str) -> DataFrame:
     """Edges that more than one route uses, with their number of routes; capacity is not summed."""
     return steps.select(*edge, route).distinct().groupBy(*edge).agg(F.count("*").alias("routes")).where(F.col("routes") > 1)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lattices import COMPATIBILITY, ELIGIBILITY, GATE, name, rank, worst_of
+from ..sources.storage import cut
 
 
 def checked(required: Column, known: Column, ok: Column) -> Column:
@@ -28,6 +30,37 @@ def contains_all(needed: Column, offered: Column) -> Column:
     return F.size(F.array_except(clean(needed), clean(offered))) == 0
 
 
+def requirement_tokens(names: Column) -> Column:
+    """Distinct names without case and punctuation; empty ones don't count.  Null is no name."""
+    plain = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", ""))
+    return F.array_distinct(F.filter(plain, lambda x: x != ""))
+
+
+def limit_check(needed: Column, limit: Column, asked: Column | None = None) -> Column:
+    """Current or weight: ``needed`` may be as large as ``limit``.  Required where asked for, or where ``needed`` is given."""
+    given = needed.isNotNull()
+    return checked(given if asked is None else given | asked, given & limit.isNotNull(), needed <= limit)
+
+
+def supplied_check(needed: Column, installed: Column, asked: Column | None = None) -> Column:
+    """Accessories or converters: all that a component needs are installed.  Required where asked for; if nobody says, where
+    it needs any and installed ones are listed.  Nothing needed is compatible; an empty list of installed ones is unknown."""
+    want, have = requirement_tokens(needed), requirement_tokens(installed)
+    any_ = F.size(want) > 0
+    required = any_ & (installed.isNotNull() if asked is None else asked)
+    return checked(required, F.size(have) > 0, F.size(F.array_except(want, have)) == 0)
+
+
+def fit_check(space: list[Column], body: list[Column], installed: list[Column], asked: Column | None = None) -> Column:
+    """Whether the installed size is at most the space on each axis.  Required where asked for, or where any space is given;
+    unknown where the body's own size or any axis of the other two is."""
+    given = F.greatest(*[c.isNotNull() for c in space])
+    own = F.greatest(*[c.isNotNull() for c in body])
+    whole = F.least(*[c.isNotNull() for c in [*space, *installed]])
+    inside = F.least(*[i <= s for s, i in zip(space, installed, strict=True)])
+    return checked(given if asked is None else given | asked, own & whole, inside)
+
+
 def compatibility(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """``df`` with a column per check and ``status``, the worst of the required ones; none required is compatible."""
     out = df.withColumns(checks)
@@ -71,6 +104,17 @@ def installation_envelope(df: DataFrame, size: tuple[Column, Column, Column], ax
     return df.withColumns({**out, "status": F.when(unknown, F.lit("unresolved")).otherwise(F.lit("valid"))})
 
 
+def enumerate_witnesses(bindings: DataFrame, ports: DataFrame, paths: DataFrame, binding: list[str], port: list[str]) -> DataFrame:
+    """Every combination of a binding with one of its ports (``binding`` keys) and one of the port's paths (``port`` keys).
+
+    A binding without a port, and a port without a path, stay as one placeholder row: ``has_port`` and ``has_path`` say
+    which part is missing, so that it counts as unknown instead of vanishing.
+    """
+    with_ports = bindings.join(ports.withColumn("has_port", F.lit(True)), binding, "left")
+    with_paths = with_ports.join(paths.withColumn("has_path", F.lit(True)), port, "left")
+    return with_paths.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_port", "has_path")})
+
+
 def witness_status(witnesses: DataFrame, key: list[str], gates: list[str]) -> DataFrame:
     """Per key the best of its witnesses, each as bad as its worst gate: the gates of different witnesses never mix."""
     worst_gate = F.greatest(*[rank(F.col(g), GATE) for g in gates]) if len(gates) > 1 else rank(F.col(gates[0]), GATE)
@@ -107,31 +151,46 @@ def tiered_pairs(options: DataFrame, group: list[str], id_col: str, tiers: list[
     return pairs.select(*group, "a", "b", relation.alias("relation"), decisive.alias("decisive_tier"))
 
 
-def preference_fronts(options: DataFrame, pairs: DataFrame, id_col: str, bound: int = 128) -> DataFrame:
+def preference_fronts(options: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     """``id_col, front``: options that none of those left is preferred to, front by front.
 
-    The policy bounds options to ``bound``, so the pairs are few; they are compared by Spark and only the dominance
-    list, at most bound * (bound - 1) / 2 rows, is peeled on the driver.  More options are an error, not a truncation.
+    ``pairs`` are those of ``tiered_pairs``, of any number of groups: all groups are peeled at once, each round by two joins
+    against the options still left.  A cycle of preferences, which has no front, is an error.
     """
-    ids = [r[0] for r in options.select(id_col).distinct().limit(bound + 1).collect()]
-    if len(ids) > bound:
-        raise ValueError(f"more than {bound} options")
-    wins = pairs.where(F.col("relation").isin("preferred", "worse")).select(
-        F.when(F.col("relation") == "preferred", F.col("b")).otherwise(F.col("a")).alias("loser"),
-        F.when(F.col("relation") == "preferred", F.col("a")).otherwise(F.col("b")).alias("winner"),
+    beats = cut(
+        pairs.where(F.col("relation").isin("preferred", "worse"))
+        .select(
+            F.when(F.col("relation") == "preferred", F.col("a")).otherwise(F.col("b")).alias("winner"),
+            F.when(F.col("relation") == "preferred", F.col("b")).otherwise(F.col("a")).alias("loser"),
+        )
+        .distinct()
     )
-    beaten_by: dict = {i: set() for i in ids}
-    for r in wins.collect():
-        beaten_by[r["loser"]].add(r["winner"])
-    left, fronts, k = set(ids), [], 0
-    while left:
-        front = {i for i in left if not beaten_by[i] & left}
-        if not front:
+    left, fronts = cut(options.select(id_col).distinct()), []
+    while not left.isEmpty():
+        beaten = cut(beats.select(F.col("loser").alias(id_col)).distinct())
+        front = cut(left.join(beaten, id_col, "left_anti"))
+        if front.isEmpty():
             raise ValueError("a cycle of preferences has no front")
-        fronts += [(i, k) for i in sorted(front)]
-        left, k = left - front, k + 1
-    kind = options.schema[id_col].dataType.simpleString()
-    return options.sparkSession.createDataFrame(fronts, f"{id_col} {kind}, front int")
+        fronts.append(front.withColumn("front", F.lit(len(fronts))))
+        left = cut(left.join(beaten, id_col, "left_semi"))
+        # only wins of options that are left count from here on
+        beats = cut(beats.join(front.select(F.col(id_col).alias("winner")), "winner", "left_anti"))
+    if not fronts:
+        return left.withColumn("front", F.lit(0))
+    return reduce(DataFrame.unionByName, fronts)
+
+
+def recommendation_fronts(
+    options: DataFrame, id_col: str, status: str, tiers: list[list[tuple[str, bool]]], excluded: Column | None = None
+) -> DataFrame:
+    """``id_col, status, front`` of the options that are neither blocked nor ``excluded``; satisfied and unresolved ones
+    never meet in a comparison."""
+    admitted = options.where(F.col(status).isin("satisfied", "unresolved"))
+    if excluded is not None:
+        admitted = admitted.where(~F.coalesce(excluded, F.lit(False)))
+    admitted = cut(admitted)
+    fronts = preference_fronts(admitted, tiered_pairs(admitted, [status], id_col, tiers), id_col)
+    return admitted.select(id_col, status).join(fronts, id_col)
 
 
 def optional_capability(parts: DataFrame, key: list[str], state: str, value: str) -> DataFrame:

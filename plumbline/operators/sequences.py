@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.electrical import TOLERANCE, finite
+from ..sources.storage import cut
 
 
 def ordered_trajectory(df: DataFrame, key: list[str], order: list[str], power: str, duration: Column, failed: Column) -> DataFrame:
@@ -42,9 +43,15 @@ def _clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def stored_energy(df: DataFrame, key: list[str], bucket: str, order: list[str], energy: str, start: float, low: float, high: float) -> DataFrame:
+def stored_energy(
+    df: DataFrame, key: list[str], bucket: str, order: list[str], energy: str, start: float, low: float, high: float, failed: Column | None = None
+) -> DataFrame:
     """Per key: the amount stored after its last interval, its least and greatest values, and what was curtailed above
-    ``high`` and unmet below ``low``.  ``energy`` is the request of each interval; unknown requests are not applied.
+    ``high`` and unmet below ``low``.  ``energy`` is the request of each interval.
+
+    From the first interval on that is ``failed`` or whose request is unknown, the state is unknown: then the three state
+    columns are null, and the amounts curtailed and unmet are those of the intervals before.  Severity: FAIL where an
+    interval failed or a request was not met, CONDITIONAL where one is unknown, else PASS.
 
     A step is x -> min(high, max(low, x + e)), and steps compose into functions of that same shape.  So each bucket of
     a key (a day, say) is composed by itself; a key's buckets are then chained; and every bucket is walked from the
@@ -52,9 +59,14 @@ def stored_energy(df: DataFrame, key: list[str], bucket: str, order: list[str],
     """
     req = F.col(energy)
     step = F.when(F.abs(req) > TOLERANCE, req).otherwise(F.lit(0.0))
+    bad = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    open_ = ~bad & req.isNull()
+    ends = df.groupBy(*key).agg(
+        F.min(F.when(bad | open_, F.struct(*order))).alias("_end"), F.count_if(bad).alias("failed"), F.count_if(open_).alias("unresolved")
+    )
+    before = df.join(ends.select(*key, "_end"), key).where(F.col("_end").isNull() | (F.struct(*order) < F.col("_end")))
     packed = (
-        df.where(req.isNotNull())
-        .groupBy(*key, bucket)
+        before.groupBy(*key, bucket)
         .agg(F.sort_array(F.collect_list(F.struct(*order, step.alias("e")))).alias("steps"))
     )
     identity = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
@@ -97,13 +109,25 @@ def stored_energy(df: DataFrame, key: list[str], bucket: str, order: list[str],
         )
 
     walked = packed.join(begins, [*key, bucket]).select(*key, bucket, F.aggregate("steps", seed, walk).alias("s"))
-    return walked.groupBy(*key).agg(
-        F.max_by("s.x", bucket).alias("stored_wh"),
-        F.min("s.least").alias("least_wh"),
-        F.max("s.most").alias("most_wh"),
-        F.sum("s.curtailed").alias("curtailed_wh"),
-        F.sum("s.unmet").alias("unmet_wh"),
-    ).withColumn("severity", F.when(F.col("unmet_wh") > TOLERANCE, F.lit("FAIL")).otherwise(F.lit("PASS")))
+    sums = walked.groupBy(*key).agg(
+        F.max_by("s.x", bucket).alias("_x"), F.min("s.least").alias("_least"), F.max("s.most").alias("_most"),
+        F.sum("s.curtailed").alias("_curtailed"), F.sum("s.unmet").alias("_unmet"),
+    )
+    known = F.col("_end").isNull()
+    return ends.join(sums, key, "left").select(
+        *key,
+        F.when(known, F.col("_x")).alias("stored_wh"),
+        F.when(known, F.col("_least")).alias("least_wh"),
+        F.when(known, F.col("_most")).alias("most_wh"),
+        F.coalesce("_curtailed", F.lit(0.0)).alias("curtailed_wh"),
+        F.coalesce("_unmet", F.lit(0.0)).alias("unmet_wh"),
+        "failed",
+        "unresolved",
+        F.when((F.col("failed") > 0) | (F.col("_unmet") > TOLERANCE), F.lit("FAIL"))
+        .when(F.col("unresolved") > 0, F.lit("CONDITIONAL"))
+        .otherwise(F.lit("PASS"))
+        .alias("severity"),
+    )
 
 
 def route_walk(df: DataFrame, key: list[str], order: list[str], source: str, target: str) -> DataFrame:
@@ -144,8 +168,38 @@ def carried_forward(df: DataFrame, key: list[str], bucket: Column, order: list[s
     return joined.withColumn(out, F.coalesce("_own", "_before")).drop("_bucket", "_own", "_before")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in the whole order, from 0.
+
+    Rows are range-partitioned and sorted; a row's place is its place in the partition after the rows of those before.
+    Only one count per partition is summed in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    part = F.shiftright("_pos", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    # one row for each partition
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.withColumn(name, F.col("_pos") + F.col("_shift")).drop("_pos", "_part", "_shift")
+
+
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; a combined aggregation instead of a sort of the key's rows."""
     row = F.max(F.struct(*order, F.struct(*[c for c in df.columns if c not in key and c not in order]).alias("_rest")))
     best = df.groupBy(*key).agg(row.alias("_row"))
     return best.select(*key, *[F.col(f"_row.{c}") for c in order], "_row._rest.*")
+
+
+def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by a tuple of columns; a combined aggregation like ``latest``."""
+    row = F.min(F.struct(*order, F.struct(*[c for c in df.columns if c not in key and c not in order]).alias("_rest")))
+    best = df.groupBy(*key).agg(row.alias("_row"))
+    return best.select(*key, *[F.col(f"_row.{c}") for c in order], "_row._rest.*")
+
+
+def ordinals(df: DataFrame, parent: list[str], tag: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row among those of its tag within its parent, from 1, in document order.  A parent is one
+    page or conversation, whose rows of one tag are what a task sorts."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*parent, tag).orderBy(*order)))

@@ -31,7 +31,7 @@ def component_compat(t: Tables) -> DataFrame:
 
 
 @bind(
-    """WITH p AS (SELECT s_nationkey AS source, s_suppkey % 25 AS target, abs(s_acctbal) AS cap FROM supplier WHERE s_suppkey % 2 = 0),
+    """WITH p AS (SELECT s_nationkey AS source, s_suppkey % 25 AS target, abs(s_acctbal) AS cap FROM supplier),
 g AS (SELECT source, target, count(*) AS n, min(cap) AS cap FROM p GROUP BY 1, 2),
 r AS (SELECT c_custkey, c_nationkey AS source, c_custkey % 25 AS target, CASE WHEN c_mktsegment = 'BUILDING' THEN 'prohibited' END AS rel,
   CASE WHEN c_acctbal > 0 THEN c_acctbal END AS need FROM customer),
@@ -42,7 +42,7 @@ k AS (SELECT c_custkey, n AS n_paths, CASE WHEN rel = 'prohibited' AND n > 0 THE
 SELECT *, CASE WHEN code = 'ok' THEN 'PASS' WHEN code = 'multiple_paths_require_explicit_selection' THEN 'CONDITIONAL' ELSE 'FAIL' END AS severity FROM k"""
 )
 def mixed_voltage_paths(t: Tables) -> DataFrame:
-    paths = t.supplier.where(F.col("s_suppkey") % 2 == 0).select(
+    paths = t.supplier.select(
         F.col("s_nationkey").cast("long").alias("source"), (F.col("s_suppkey") % 25).alias("target"), F.abs("s_acctbal").alias("capability_w")
     )
     needs = t.customer.select(
@@ -74,17 +74,14 @@ def installation_envelope(t: Tables) -> DataFrame:
 @bind("SELECT p_type, p_size, count(*) AS n, min(p_partkey) AS first_member, max(p_partkey) AS last_member FROM part GROUP BY 1, 2")
 def demand_groups(t: Tables) -> DataFrame:
     out = ag.grouped_members(t.part, [F.col("p_type"), F.col("p_size")], "p_partkey", ["p_type", "p_size"])
-    return out.select(
-        "p_type", "p_size", "n", F.array_min("members").alias("first_member"), F.array_max("members").alias("last_member")
-    )
+    return out.select("p_type", "p_size", "n", "first_member", "last_member")
 
 
-@bind("SELECT r_name, n_name, v::DOUBLE AS voltage_v FROM region, nation, (VALUES (12), (24), (48)) c(v) WHERE n_nationkey < 10")
+@bind("SELECT r_name, n_name, v::DOUBLE AS voltage_v FROM region, nation, (VALUES (12), (24), (48)) c(v)")
 def bounded_cross(t: Tables) -> DataFrame:
     """The bound of 1,000 combinations is part of the operator: more would be an error."""
     volts = t.spark.createDataFrame([(12.0,), (24.0,), (48.0,)], "voltage_v double")
-    nations = t.nation.where(F.col("n_nationkey") < 10).select("n_name")
-    return joins.bounded_product([t.region.select("r_name"), nations, volts], 1000)
+    return joins.bounded_product([t.region.select("r_name"), t.nation.select("n_name"), volts], 1000)
 
 
 @bind(
@@ -116,42 +113,56 @@ c AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1),
 o AS (SELECT n_nationkey, n_regionkey, suppliers, balance, CASE WHEN n_nationkey % 9 <> 0 THEN customers END AS customers
   FROM nation LEFT JOIN s ON s_nationkey = n_nationkey LEFT JOIN c ON c_nationkey = n_nationkey)
 """
-_PAIRS_SQL = f"""
-WITH {_OPTIONS_SQL}, p AS (SELECT l.n_regionkey, l.n_nationkey AS a, r.n_nationkey AS b,
+
+
+def _pairs_sql(group: str) -> str:
+    """CTEs after options ``o``: ``p`` with the relation of all pairs of a group, and ``w`` with the lengths of chains of
+    options that are each preferred to the next (the longest is an option's front)."""
+    return f"""
+x AS (SELECT l.{group}, l.n_nationkey AS a, r.n_nationkey AS b,
     l.suppliers IS NULL OR r.suppliers IS NULL OR l.balance IS NULL OR r.balance IS NULL AS u0,
     coalesce(l.suppliers > r.suppliers, false) OR coalesce(l.balance > r.balance, false) AS w0,
     coalesce(l.suppliers < r.suppliers, false) OR coalesce(l.balance < r.balance, false) AS x0,
     l.customers IS NULL OR r.customers IS NULL AS u1, coalesce(l.customers < r.customers, false) AS w1, coalesce(l.customers > r.customers, false) AS x1
-  FROM o l JOIN o r ON l.n_regionkey = r.n_regionkey AND l.n_nationkey < r.n_nationkey)
-SELECT n_regionkey, a, b, CASE WHEN u0 OR (w0 AND x0) THEN 'incomparable' WHEN w0 THEN 'preferred' WHEN x0 THEN 'worse'
+  FROM o l JOIN o r ON l.{group} = r.{group} AND l.n_nationkey < r.n_nationkey),
+p AS (SELECT {group}, a, b, CASE WHEN u0 OR (w0 AND x0) THEN 'incomparable' WHEN w0 THEN 'preferred' WHEN x0 THEN 'worse'
     WHEN u1 OR (w1 AND x1) THEN 'incomparable' WHEN w1 THEN 'preferred' WHEN x1 THEN 'worse' ELSE 'tied' END AS relation,
-  CASE WHEN u0 OR w0 OR x0 THEN 0 WHEN u1 OR w1 OR x1 THEN 1 ELSE -1 END AS decisive_tier FROM p
+  CASE WHEN u0 OR w0 OR x0 THEN 0 WHEN u1 OR w1 OR x1 THEN 1 ELSE -1 END AS decisive_tier FROM x),
+d AS (SELECT CASE WHEN relation = 'preferred' THEN a ELSE b END AS winner, CASE WHEN relation = 'preferred' THEN b ELSE a END AS loser
+  FROM p WHERE relation IN ('preferred', 'worse')),
+w AS (SELECT n_nationkey, 0 AS front FROM o UNION SELECT loser, front + 1 FROM w JOIN d ON winner = w.n_nationkey)
 """
+
+
 _TIERS = [[("suppliers", True), ("balance", True)], [("customers", False)]]
 
 
-@bind(_PAIRS_SQL)
+@bind(f"WITH RECURSIVE {_OPTIONS_SQL}, {_pairs_sql('n_regionkey')} SELECT n_regionkey, a, b, relation, decisive_tier FROM p")
 def tiered_pareto_pairs(t: Tables) -> DataFrame:
     pairs = sel.tiered_pairs(nation_options(t), ["n_regionkey"], "n_nationkey", _TIERS)
     return pairs.withColumn("decisive_tier", F.coalesce("decisive_tier", F.lit(-1)))
 
 
 @bind(
-    f"""WITH p AS ({_PAIRS_SQL}), d AS (SELECT CASE WHEN relation = 'preferred' THEN b ELSE a END AS loser,
-  CASE WHEN relation = 'preferred' THEN a ELSE b END AS winner FROM p WHERE relation IN ('preferred', 'worse')),
-f0 AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT loser FROM d)),
-f1 AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM f0)
-  AND n_nationkey NOT IN (SELECT loser FROM d WHERE winner NOT IN (SELECT n_nationkey FROM f0))),
-f2 AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM f0 UNION ALL SELECT n_nationkey FROM f1)
-  AND n_nationkey NOT IN (SELECT loser FROM d WHERE winner NOT IN (SELECT n_nationkey FROM f0 UNION ALL SELECT n_nationkey FROM f1)))
-SELECT n_nationkey, least(CASE WHEN n_nationkey IN (SELECT n_nationkey FROM f0) THEN 0 WHEN n_nationkey IN (SELECT n_nationkey FROM f1) THEN 1
-  WHEN n_nationkey IN (SELECT n_nationkey FROM f2) THEN 2 ELSE 3 END, 3) AS front FROM nation"""
+    f"""WITH RECURSIVE {_OPTIONS_SQL}, {_pairs_sql('n_regionkey')}
+SELECT n_nationkey, max(front)::INTEGER AS front FROM w GROUP BY 1"""
 )
 def pareto_fronts(t: Tables) -> DataFrame:
-    """Fronts of the nations; all from the fourth on are reported as 3."""
     options = nation_options(t)
-    pairs = sel.tiered_pairs(options, ["n_regionkey"], "n_nationkey", _TIERS)
-    return sel.preference_fronts(options, pairs, "n_nationkey").withColumn("front", F.least("front", F.lit(3)))
+    return sel.preference_fronts(options, sel.tiered_pairs(options, ["n_regionkey"], "n_nationkey", _TIERS), "n_nationkey")
+
+
+@bind(
+    f"""WITH RECURSIVE {_OPTIONS_SQL.replace('o AS', 'every AS')},
+o AS (SELECT *, CASE WHEN n_nationkey % 3 = 1 THEN 'unresolved' ELSE 'satisfied' END AS status FROM every WHERE n_nationkey % 7 <> 3), {_pairs_sql('status')}
+SELECT n_nationkey, status, max(front)::INTEGER AS front FROM w JOIN o USING (n_nationkey) GROUP BY 1, 2"""
+)
+def recommendation_fronts(t: Tables) -> DataFrame:
+    """Nations as system options over all regions; satisfied and unresolved ones have fronts of their own, blocked ones none."""
+    k = F.col("n_nationkey")
+    status = F.when(k % 7 == 3, F.lit("blocked")).when(k % 3 == 1, F.lit("unresolved")).otherwise(F.lit("satisfied"))
+    options = nation_options(t).withColumn("status", status)
+    return sel.recommendation_fronts(options, "n_nationkey", "status", _TIERS)
 
 
 @bind(
@@ -197,7 +208,7 @@ ad AS (SELECT doc_id AS id, source, [doc_id, (doc_id + 1) % (SELECT count(*) FRO
     CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
     CASE WHEN doc_id % 11 = 0 THEN 'resolved' ELSE 'open' END AS status, TIMESTAMP '2024-01-01' + to_days((doc_id % 300)::INTEGER) AS updated_at,
     CASE WHEN doc_id % 6 = 0 THEN TIMESTAMP '2024-06-01' + to_days((doc_id % 90)::INTEGER) END AS next_review_at,
-    CASE WHEN doc_id % 13 = 0 THEN 'caution' END AS reviewed_action FROM documents WHERE doc_id % 4 < 2),
+    CASE WHEN doc_id % 13 = 0 THEN 'caution' END AS reviewed_action FROM documents),
 lk AS (SELECT ad.id, unnest(eids) AS eid FROM ad),
 f AS (SELECT lk.id, count(*) AS n, bool_and(type IN ('forum_report', 'news_report')) AS weak,
     count(DISTINCT CASE WHEN vs = 'verified' AND type IN ('recall', 'service_bulletin') THEN source_key END) AS ind
@@ -232,7 +243,7 @@ def _assessed(t: Tables) -> DataFrame:
     pick = lambda values: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
     plus = lambda start, d: F.to_timestamp(F.lit(start)) + F.make_dt_interval(d.cast("int"))
     none = F.lit(None).cast("string")
-    advisories = docs.where(i % 4 < 2).select(
+    advisories = docs.select(
         i.alias("id"),
         F.array("source").alias("affected_component_ids"),
         F.array(i, (i + 1) % n).alias("evidence_ids"),

@@ -77,11 +77,12 @@ def trajectory_summary(t: Tables) -> DataFrame:
 
 _START, _LOW, _HIGH = 200.0, 50.0, 400.0
 _STORED_SQL = f"""
-WITH {_EVENTS_SQL}, l AS (
-  SELECT user_id, list({{'e': net_w, 'x': 0.0::DOUBLE, 'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'u': 0.0::DOUBLE}}
-    ORDER BY ts, event_id) AS items FROM e WHERE net_w IS NOT NULL GROUP BY user_id
+WITH {_EVENTS_SQL}, k AS (SELECT *, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week FROM e), b AS (SELECT user_id, week, min((ts, event_id)) FILTER (net_w IS NULL) AS gap, count(*) FILTER (net_w IS NULL) AS unresolved FROM k GROUP BY user_id, week
+), l AS (
+  SELECT k.user_id, k.week, list({{'e': net_w, 'x': 0.0::DOUBLE, 'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'u': 0.0::DOUBLE}}
+    ORDER BY ts, event_id) AS items FROM k JOIN b ON b.user_id = k.user_id AND b.week = k.week WHERE gap IS NULL OR (ts, event_id) < gap GROUP BY k.user_id, k.week
 ), r AS (
-  SELECT user_id, list_reduce(list_prepend({{'e': 0.0::DOUBLE, 'x': {_START}::DOUBLE, 'lo': {_START}::DOUBLE,
+  SELECT user_id, week, list_reduce(list_prepend({{'e': 0.0::DOUBLE, 'x': {_START}::DOUBLE, 'lo': {_START}::DOUBLE,
     'hi': {_START}::DOUBLE, 'c': 0.0::DOUBLE, 'u': 0.0::DOUBLE}}, items), lambda s, i: {{
       'e': 0.0::DOUBLE,
       'x': least({_HIGH}::DOUBLE, greatest({_LOW}::DOUBLE, s.x + i.e)),
@@ -90,34 +91,39 @@ WITH {_EVENTS_SQL}, l AS (
       'c': s.c + greatest(0.0::DOUBLE, s.x + i.e - {_HIGH}::DOUBLE),
       'u': s.u + greatest(0.0::DOUBLE, {_LOW}::DOUBLE - s.x - i.e)}}) AS z FROM l
 )
-SELECT user_id, round(z.x, 3) AS stored_wh, round(z.lo, 3) AS least_wh, round(z.hi, 3) AS most_wh,
-  round(z.c, 3) AS curtailed_wh, round(z.u, 3) AS unmet_wh, CASE WHEN z.u > 1e-9 THEN 'FAIL' ELSE 'PASS' END AS severity FROM r
+SELECT b.user_id, b.week, CASE WHEN unresolved = 0 THEN round(z.x, 3) END AS stored_wh, CASE WHEN unresolved = 0 THEN round(z.lo, 3) END AS least_wh,
+  CASE WHEN unresolved = 0 THEN round(z.hi, 3) END AS most_wh, round(coalesce(z.c, 0), 3) AS curtailed_wh, round(coalesce(z.u, 0), 3) AS unmet_wh, unresolved,
+  CASE WHEN z.u > 1e-9 THEN 'FAIL' WHEN unresolved > 0 THEN 'CONDITIONAL' ELSE 'PASS' END AS severity FROM b LEFT JOIN r ON r.user_id = b.user_id AND r.week = b.week
 """
 
 
 def _stored(t: Tables) -> DataFrame:
-    return sequences.stored_energy(event_power(t.events), ["user_id"], "day", EVENT_ORDER, "net_w", _START, _LOW, _HIGH)
+    """A trajectory for each user and week; errors are intervals of unknown power, which end what is known."""
+    events = event_power(t.events).withColumn("week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
+    return sequences.stored_energy(events, ["user_id", "week"], "day", EVENT_ORDER, "net_w", _START, _LOW, _HIGH)
 
 
 @bind(_STORED_SQL)
 def stored_energy_clamped(t: Tables) -> DataFrame:
     s = _stored(t)
     return s.select(
-        "user_id", *[F.round(c, 3).alias(c) for c in ("stored_wh", "least_wh", "most_wh", "curtailed_wh", "unmet_wh")], "severity"
+        "user_id", "week", *[F.round(c, 3).alias(c) for c in ("stored_wh", "least_wh", "most_wh", "curtailed_wh", "unmet_wh")], "unresolved", "severity"
     )
 
 
 @bind(
     f"""WITH s AS ({_STORED_SQL})
-SELECT user_id, round((stored_wh - {_LOW}::DOUBLE) / ({_HIGH - _LOW}::DOUBLE) * 100, 2) AS soc_percent,
+SELECT user_id, week, round((stored_wh - {_LOW}::DOUBLE) / ({_HIGH - _LOW}::DOUBLE) * 100, 2) AS soc_percent,
   CASE WHEN abs((stored_wh - {_LOW}::DOUBLE) / ({_HIGH - _LOW}::DOUBLE) * 100 - 40) <= 1e-9 THEN 'at-reserve'
-    WHEN (stored_wh - {_LOW}::DOUBLE) / ({_HIGH - _LOW}::DOUBLE) * 100 > 40 THEN 'above-reserve' ELSE 'below-reserve' END AS reserve_state,
-  'PASS' AS severity FROM s"""
+    WHEN (stored_wh - {_LOW}::DOUBLE) / ({_HIGH - _LOW}::DOUBLE) * 100 > 40 THEN 'above-reserve'
+    WHEN stored_wh IS NOT NULL THEN 'below-reserve' END AS reserve_state,
+  CASE WHEN stored_wh IS NULL THEN 'FAIL' ELSE 'PASS' END AS severity FROM s"""
 )
 def soc_observation(t: Tables) -> DataFrame:
+    """An amount that is not known is no finite number, which an observation needs."""
     s = _stored(t).withColumn("stored_wh", F.round("stored_wh", 3))
     return battery.soc_observation(s, F.col("stored_wh"), F.lit(_LOW), F.lit(_HIGH), F.lit(40.0)).select(
-        "user_id", F.round("soc_percent", 2).alias("soc_percent"), "reserve_state", "severity"
+        "user_id", "week", F.round("soc_percent", 2).alias("soc_percent"), "reserve_state", "severity"
     )
 
 
@@ -264,8 +270,7 @@ def power_envelope_ties(t: Tables) -> DataFrame:
     cases = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", value.alias("v"))
     out = ag.governors(cases, ["c_nationkey"], "o_orderkey", "v")
     return out.select(
-        "c_nationkey", F.col("max_value").alias("value_w"), F.size("governing").cast("long").alias("governors"),
-        F.get("governing", F.lit(0)).alias("first_governor"), F.size("unresolved").cast("long").alias("unresolved"), "status",
+        "c_nationkey", F.col("max_value").alias("value_w"), "governors", "first_governor", "unresolved", "status"
     )
 
 
@@ -420,7 +425,7 @@ def wire_candidates(t: Tables) -> DataFrame:
 SELECT l_partkey, len(x) AS factors, round(list_reduce(list_prepend(1.0::DOUBLE, x), lambda a, b: a * b), 6) AS derating FROM f"""
 )
 def derating_product(t: Tables) -> DataFrame:
-    out = pw.derating(t.lineitem.withColumn("factor", 1 - F.col("l_discount")), ["l_partkey"], ["l_orderkey", "l_linenumber"], "factor")
+    out = pw.derating(t.lineitem.withColumn("factor", 1 - F.col("l_discount")), ["l_partkey"], "factor")
     return out.select("l_partkey", F.col("factors").cast("long").alias("factors"), F.round("derating", 6).alias("derating"))
 
 

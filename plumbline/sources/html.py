@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits of one page, in blocks, table cells and characters of a block; what is beyond is marked, not silently lost.
-MOST_BLOCKS, MOST_CELLS, MOST_CHARS = 10_000, 50_000, 100_000
+#: Limits of one page that a policy may ask for: blocks, table cells, characters of a block.  None are set by default.
+POLICY_LIMITS = (10_000, 50_000, 100_000)
+NO_LIMITS = (None, None, None)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template", "noscript"))
@@ -47,8 +48,9 @@ SCHEMA = (
 class _Reader(HTMLParser):
     """Gathers the text of open block elements; a block inside another block belongs to the outer one."""
 
-    def __init__(self):
+    def __init__(self, limits: tuple[int | None, int | None, int | None] = NO_LIMITS):
         super().__init__(convert_charrefs=True)
+        self.most_blocks, self.most_cells, self.most_chars = (float("inf") if x is None else x for x in limits)
         self.blocks: list[dict] = []
         self.open: list[str] = []
         self.current: dict | None = None
@@ -132,23 +134,31 @@ class _Reader(HTMLParser):
             rows = [(r[0], " ".join(r[1:]) if len(r) > 1 else r[0], k + 1) for k, r in enumerate(c["rows"])]
         if not text:
             return
-        cells = sum(sum(map(bool, r)) for r in c["rows"])
-        if len(self.blocks) >= MOST_BLOCKS:
+        counts = [sum(map(bool, r)) for r in c["rows"]]
+        cells = sum(counts)
+        if len(self.blocks) >= self.most_blocks:
             self.full = True
             return
         if tag[0] == "h" and tag[1:].isdigit():
             self.section = text
-        kept = max(0, min(cells, MOST_CELLS - self.cells))
+        kept = 0
+        for k, n in enumerate(counts):
+            # whole rows, as far as the limit goes
+            if self.cells + kept + n > self.most_cells:
+                rows = rows[:k]
+                break
+            kept += n
         self.cells += kept
+        short = len(text) > self.most_chars
         self.blocks.append(
             {
                 "kind": _BLOCKS[tag],
-                "text": text[:MOST_CHARS],
+                "text": text[: self.most_chars] if short else text,
                 "section": self.section,
                 "level": int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None,
                 "rows": [{"label": a, "value": b, "row": k} for a, b, k in rows],
                 "n_cells": kept,
-                "truncated": len(text) > MOST_CHARS or kept < cells,
+                "truncated": short or kept < cells,
             }
         )
 
@@ -157,9 +167,10 @@ def _clean(parts: list[str] | None) -> str:
     return _SPACE.sub(" ", "".join(parts)).strip() if parts else ""
 
 
-def blocks_of(html: str) -> list[dict]:
-    """The blocks of one page, in order; headings set the section of what follows."""
-    reader = _Reader()
+def blocks_of(html: str, limits: tuple[int | None, int | None, int | None] = NO_LIMITS) -> list[dict]:
+    """The blocks of one page, in order; headings set the section of what follows.  With limits (blocks, table cells,
+    characters of a block) a block that was shortened, or after which blocks are missing, is marked ``truncated``."""
+    reader = _Reader(limits)
     reader.feed(html)
     while reader.open:
         reader._close(reader.open[-1])
@@ -168,8 +179,11 @@ def blocks_of(html: str) -> list[dict]:
     return reader.blocks
 
 
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per block of every page.  A page without blocks, empty or null, has no row."""
+def html_blocks(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limits: tuple[int | None, int | None, int | None] = NO_LIMITS
+) -> DataFrame:
+    """One row per block of every page, whole unless ``limits`` are given.  A page without blocks, empty or null, has no
+    row."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,10 +192,60 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 found = [
                     {"page_id": page, "seq": seq, **block}
                     for page, html in zip(part["page_id"], part["html"], strict=True)
-                    for seq, block in enumerate(blocks_of(html or ""))
+                    for seq, block in enumerate(blocks_of(html or "", limits))
                 ]
                 columns = [c.strip().split()[0] for c in re.sub("<.*?>>", "", SCHEMA).split(",")]
                 yield pd.DataFrame(found, columns=columns).astype({"level": "Int32"})
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     return slim.mapInPandas(extract, SCHEMA)
+
+
+_SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in the text of a start tag, quoted or not; empty where it is missing."""
+    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
+def scripts(html: Column) -> Column:
+    """The script elements of a page outside comments, in order: an array of ``id, media_type, text``."""
+    page = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(page, F.lit(_SCRIPT), F.lit(0))
+    start = lambda x: F.regexp_extract(x, _SCRIPT, 1)
+    return F.transform(
+        found,
+        lambda x: F.struct(
+            _attribute(start(x), "id").alias("id"),
+            F.lower(F.trim(F.substring_index(_attribute(start(x), "type"), ";", 1))).alias("media_type"),
+            F.regexp_extract(x, _SCRIPT, 2).alias("text"),
+        ),
+    )
+
+
+def embedded_json(pages: DataFrame, script_id: str, media_type: str = "application/json", html_col: str = "html") -> DataFrame:
+    """``pages`` with ``json`` and ``json_status``: the text of the one script element with that id and media type.
+
+    Several such scripts are ambiguous, never the first; ``not_found``, ``invalid`` (no JSON) and ``missing_text`` (null page) are
+    told apart, and only ``found`` has a value.  Built-in functions only.
+    """
+    hits = F.filter(scripts(F.col(html_col)), lambda s: (s["id"] == script_id) & (s["media_type"] == media_type))
+    out = pages.withColumn("_hits", hits)
+    text = F.get("_hits", F.lit(0))["text"]
+    sound = F.try_parse_json(text).isNotNull()
+    status = (
+        F.when(F.col(html_col).isNull(), F.lit("missing_text"))
+        .when(F.size("_hits") > 1, F.lit("ambiguous"))
+        .when(F.size("_hits") == 0, F.lit("not_found"))
+        .when(sound, F.lit("found"))
+        .otherwise(F.lit("invalid"))
+    )
+    return out.withColumn("json_status", status).withColumn("json", F.when(F.col("json_status") == "found", text)).drop("_hits")
+
+
+def linked_data(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``id_col, ordinal, json`` of every JSON-LD script of the pages that is JSON, in order from 1."""
+    found = pages.select(id_col, F.posexplode(F.filter(scripts(F.col(html_col)), lambda s: s["media_type"] == "application/ld+json")).alias("k", "s"))
+    return found.where(F.try_parse_json("s.text").isNotNull()).select(id_col, (F.col("k") + 1).alias("ordinal"), F.col("s.text").alias("json"))

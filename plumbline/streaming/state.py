@@ -27,24 +27,30 @@ def windowed_envelope(events: DataFrame, ts: str, key: str, value: str, width: s
 
 
 def stored_energy_stream(events: DataFrame, key: str, order: list[str], energy: str, start: float, low: float, high: float) -> DataFrame:
-    """Per key and batch: the stored amount after its events, and the totals curtailed and unmet so far.
+    """Per key and batch: the stored amount after its events, the totals curtailed and unmet so far, and how many events
+    had an unknown request.
 
-    State is three numbers per key.  Events of one batch are applied in ``order``; a batch arrives in order of time, as
-    the amount depends on it.
+    As in the batch form, the amount is unknown from the first unknown request on, and the totals stay those of the events before.
+    State is three numbers and a count per key.  Events of one batch are applied in ``order``; a batch arrives in order
+    of time, as the amount depends on it.
     """
-    out = f"{key} long, stored_wh double, curtailed_wh double, unmet_wh double"
+    names = [key, "stored_wh", "curtailed_wh", "unmet_wh", "unresolved"]
+    out = f"{key} long, stored_wh double, curtailed_wh double, unmet_wh double, unresolved long"
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x, curtailed, unmet = state.get if state.exists else (start, 0.0, 0.0)
+        x, curtailed, unmet, unresolved = state.get if state.exists else (start, 0.0, 0.0, 0)
         rows = pd.concat(list(frames)).sort_values(order)
-        for e in rows[energy].dropna():
-            after = min(high, max(low, x + e))
-            curtailed += max(0.0, x + e - high)
-            unmet += max(0.0, low - x - e)
-            x = after
-        state.update((x, curtailed, unmet))
-        yield pd.DataFrame([(keys[0], x, curtailed, unmet)], columns=[key, "stored_wh", "curtailed_wh", "unmet_wh"])
+        for e in rows[energy]:
+            if pd.isna(e):
+                unresolved += 1
+            elif not unresolved:
+                curtailed += max(0.0, x + e - high)
+                unmet += max(0.0, low - x - e)
+                x = min(high, max(low, x + e))
+        state.update((x, curtailed, unmet, unresolved))
+        stored = None if unresolved else x
+        yield pd.DataFrame([(keys[0], stored, curtailed, unmet, unresolved)], columns=names).astype({"stored_wh": "float64"})
 
     return events.groupBy(key).applyInPandasWithState(
-        step, out, "x double, curtailed double, unmet double", "update", GroupStateTimeout.NoTimeout
+        step, out, "x double, curtailed double, unmet double, unresolved long", "update", GroupStateTimeout.NoTimeout
     )

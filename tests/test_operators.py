@@ -34,8 +34,10 @@ def test_worst_status_and_empty_sets(spark):
 
 def test_governors_keep_ties_and_unknowns(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, None), ("b", 4, None)], "g string, i int, v double")
-    got = {r.g: (r.max_value, r.governing, r.unresolved, r.status) for r in aggregates.governors(df, ["g"], "i", "v").collect()}
-    assert got == {"a": (5.0, [1, 2], [3], "unresolved"), "b": (None, [], [4], "unresolved")}
+    got = {r.g: tuple(r)[1:] for r in aggregates.governors(df, ["g"], "i", "v").collect()}
+    assert got == {"a": (5.0, 2, 1, 1, 3, "unresolved"), "b": (None, 0, None, 1, 4, "unresolved")}
+    rows = {(r.g, r.i): r.role for r in aggregates.governor_rows(df, ["g"], "v").collect()}
+    assert rows == {("a", 1): "governing", ("a", 2): "governing", ("a", 3): "unresolved", ("b", 4): "unresolved"}
 
 
 @settings(max_examples=5, deadline=None)
@@ -61,18 +63,34 @@ def test_trajectory_ends_at_the_first_gap(spark):
 
 def test_stored_energy_is_the_plain_loop(spark):
     rng = random.Random(5)
-    rows = [(k, i // 7, i, None if rng.random() < 0.1 else rng.uniform(-40, 40)) for k in range(4) for i in range(60)]
-    df = spark.createDataFrame(rows, "k int, b int, i int, e double")
-    got = {r.k: r for r in sequences.stored_energy(df, ["k"], "b", ["i"], "e", 50.0, 20.0, 90.0).collect()}
-    for k in range(4):
-        x, low, high, cut, unmet = 50.0, 50.0, 50.0, 0.0, 0.0
-        for _, _, _, e in sorted(r for r in rows if r[0] == k):
-            if e is not None:
+    rows = [(k, i // 7, i, None if k > 3 and rng.random() < 0.03 else rng.uniform(-40, 40), k == 5 and i == 20) for k in range(8) for i in range(60)]
+    rows += [(8, 0, 0, None, False), (8, 0, 1, 5.0, False)]
+    df = spark.createDataFrame(rows, "k int, b int, i int, e double, f boolean")
+    got = {r.k: r for r in sequences.stored_energy(df, ["k"], "b", ["i"], "e", 50.0, 20.0, 90.0, F.col("f")).collect()}
+    assert len(got) == 9
+    for k in range(9):
+        x, low, high, cut, unmet, known, failed, open_ = 50.0, 50.0, 50.0, 0.0, 0.0, True, 0, 0
+        for _, _, _, e, f in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]):
+            failed, open_ = failed + f, open_ + (e is None and not f)
+            known = known and not f and e is not None
+            if known:
                 cut, unmet = cut + max(0, x + e - 90), unmet + max(0, 20 - x - e)
                 x = min(90.0, max(20.0, x + e))
                 low, high = min(low, x), max(high, x)
         r = got[k]
-        assert (r.stored_wh, r.least_wh, r.most_wh, r.curtailed_wh, r.unmet_wh) == pytest.approx((x, low, high, cut, unmet))
+        assert (r.curtailed_wh, r.unmet_wh) == pytest.approx((cut, unmet)) and (r.failed, r.unresolved) == (failed, open_)
+        if known:
+            assert (r.stored_wh, r.least_wh, r.most_wh) == pytest.approx((x, low, high))
+        else:
+            assert (r.stored_wh, r.least_wh, r.most_wh) == (None, None, None)
+        assert r.severity == ("FAIL" if failed or unmet > 1e-9 else "CONDITIONAL" if open_ else "PASS")
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("x"), "id").repartition(5)
+    got = [r.n for r in sequences.numbered(df, ["x", "id"], "n").orderBy("x", "id").collect()]
+    assert got == list(range(1000))
+    assert sequences.numbered(df.where("false"), ["x"], "n").count() == 0
 
 
 def test_carried_forward_crosses_buckets(spark):
@@ -177,11 +195,65 @@ def test_quantities(spark):
     df = spark.createDataFrame(rows, "raw string, unit string")
     got = [(r.code, r.canonical) for r in facts.normalised_units(df.coalesce(1), F.col("raw"), F.col("unit")).collect()]
     assert sorted(map(str, got)) == sorted(
-        map(str, [("normalized", 1.2), ("normalized", 500.0), ("contradictory_unit", None), ("normalized", 1.524), ("missing_unit", None),
+        map(str, [("normalized", 1.2), ("normalized", 500.0), ("contradictory_unit", None), ("normalized", 1524.0), ("missing_unit", None),
                   ("ambiguous_value", None), ("unsupported_unit", None), ("ambiguous_value", None), ("ambiguous_value", None)])
     )
 
 
+def test_units_of_all_dimensions_and_gauges(spark):
+    want = {
+        ("30 psi", None): 206.842719, ("2 bar", None): 200.0, ("10 Nm", None): 10.0, ("12 ft-lbs", None): 16.269815, ("1 us gal", None): 3.785412, ("90 L/h", None): 1.5,
+        ("5", "us gpm"): 18.927059, ("12 V nominal", "v"): 12.0, ("3 mΩ", None): 0.003, ("6\"", None): 152.4, ("2'", "ft"): 609.6, ("300 K", None): 26.85, ("16 mm²", None): 16.0,
+        ("10 AWG", None): 5.261, ("2/0", "awg"): 67.431, ("10 awg", "mm2"): None, ("12 AWG wire", None): None, ("5 AWG", "AWG"): 16.773,
+    }
+    df = spark.createDataFrame(list(want), "raw string, unit string")
+    got = {(r.raw, r.unit): r.canonical for r in facts.normalised_units(df, F.col("raw"), F.col("unit")).collect()}
+    assert got == {k: v if v is None else pytest.approx(v, rel=1e-4) for k, v in want.items()}
+    names = [u[0] for u in tx.UNITS]
+    assert len(names) == len(set(names)) and tx.unit_table(spark).count() == len(names)
+
+
+def test_read_only_urls(spark):
+    yes = ["https://a.b/index.php", "https://a.b/charge-controller?x=cart", "https://a.b/a+b/%C3%A9", "HTTPS://a.b", "https://a.b?do=export__csv", "https://a.b#cart"]
+    no = ["https://a.b/%43art", "https://a.b/x/Add_To_Cart", "https://a.b?ACTION=Remove-Cart", "https://a.b?do=index", "https://a.b/%", "no url", "/cart", "https://a.b?x=1&message", "https://a.b/save.asp"]
+    df = spark.createDataFrame([(u, True) for u in yes] + [(u, False) for u in no] + [(None, None)], "u string, want boolean")
+    assert [(r.u, r.got) for r in df.select("u", tx.read_only_url(F.col("u")).alias("got")).collect()] == [(r.u, r.want) for r in df.collect()]
+
+
+def test_capture_priorities(spark):
+    rows = [
+        ("https://a.b/x.mp4", "manual", None, 1, False, "generic", 3, 6),
+        ("https://a.b/docs/", "HTML5", None, 0, True, "manual_index", 1, 0),
+        ("https://a.b/index", "x", None, 0, True, "manual_index", 1, 0),
+        ("https://a.b/index.pdf", "x", None, 0, True, "manual", 1, 2),
+        ("https://a.b/Manuals", "x", None, 0, False, "support_product", 2, 5),
+        ("https://a.b/x", "user guide", "support_article", 0, False, "support_product", 2, 5),
+        ("https://a.b/x.html", "dimensiondrawing", None, 0, False, "technical_drawing", 1, 3),
+        ("https://a.b/specific", "data sheet", None, 0, False, "datasheet", 1, 1),
+        ("https://a.b/x", None, "product_page", None, None, "support_product", 2, 5),
+        ("https://a.b/x", "news", None, None, None, "generic", 3, 6),
+    ]
+    df = spark.createDataFrame(rows, "u string, l string, r string, d int, m boolean, c string, t int, p int")
+    out = facts.capture_priority(df, F.col("u"), F.col("l"), F.lit(False), F.col("r"), F.col("d"), F.lit(1), F.col("m"))
+    assert [(r.category, r.tier, r.priority) for r in out.collect()] == [r[5:] for r in rows]
+
+
+def test_html_limits_are_marked():
+    page = "<p>abcdef</p><table><tr><td>a<td>b<tr><td>c<td>d</table><p>x</p>"
+    whole = html.blocks_of(page)
+    assert [b["truncated"] for b in whole] == [False] * 3 and whole[1]["n_cells"] == 4 and len(whole[1]["rows"]) == 2
+    cut = html.blocks_of(page, (2, 3, 4))
+    assert [(b["text"], b["truncated"], b["n_cells"], len(b["rows"])) for b in cut] == [("abcd", True, 0, 0), ("abcd", True, 2, 1)]
+    assert html.blocks_of("<p>a</p>" * 20_000)[-1]["truncated"] is False and len(html.blocks_of("<p>a</p>" * 20_000)) == 20_000
+
+
+def test_long_fronts_over_many_groups(spark):
+    rows = [(g * 1000 + i, g, i) for g in range(3) for i in range(12)] + [(9000 + i, 9, 0) for i in range(200)]
+    options = spark.createDataFrame(rows, "i int, g int, x int")
+    got = dict(selection.preference_fronts(options, selection.tiered_pairs(options, ["g"], "i", [[("x", True)]]), "i").collect())
+    assert got == {i: 0 if g == 9 else 11 - x for i, g, x in rows}
+
+
 def test_gauges_slugs_and_fingerprints(spark):
     df = spark.createDataFrame([("4/0 AWG", "Foo & Bar--9"), ("000", ""), ("14awg", "é"), ("x", "-a-")], "g string, s string")
     got = df.select(tx.awg_index(F.col("g")), tx.slug(F.col("s")), tx.fnv1a(F.col("s"))).collect()
