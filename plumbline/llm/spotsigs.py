@@ -64,9 +64,10 @@ def similar_pairs(sets: DataFrame, id_col: str = "doc_id", sig_col: str = "signa
     ids of rows that have each set, so that copies are never expanded.
 
     Sets are partitioned by length: bucket k holds sizes from ``at_least**-k`` on, so similar sets lie in the same or in
-    neighbouring buckets.  Within them, sets meet on their rarest signatures only (prefix filter: a pair with enough
-    overlap shares one of the first ``n - ceil(at_least * n) + 1`` in any common order; here, hash order), and each
-    candidate is compared once.  Empty and null sets have no pairs.
+    neighbouring buckets.  Within them, sets meet on their rarest signatures only: a pair with enough overlap shares one of
+    the first ``n - ceil(at_least * n) + 1`` in any common order, here by rising number of sets that have a signature, then
+    by hash.  So a passage in very many texts brings together only texts that hold little else.  Each candidate is
+    compared once; where a signature is still common, adaptive execution splits its join.  Empty and null sets have no pairs.
     """
     classes = (
         sets.where(F.size(sig_col) > 0)
@@ -77,9 +78,10 @@ def similar_pairs(sets: DataFrame, id_col: str = "doc_id", sig_col: str = "signa
     classes = cut(classes)
     bucket = F.floor(F.log(F.col("n")) / -F.log(F.lit(at_least)) + 1e-9)
     kept = (F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1).cast("int")
-    heads = classes.select(
-        "id", "n", bucket.alias("bucket"), F.explode(F.slice("s", F.lit(1), kept)).alias("h")
-    )
+    each = classes.select("id", "n", F.explode("s").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = each.join(common, "h").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "h")))
+    heads = cut(ranked.where(F.col("k") <= kept).select("id", "n", bucket.alias("bucket"), "h"))
     left = heads.select(F.col("id").alias("a"), F.col("n").alias("na"), "h", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
     right = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", "bucket")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -131,8 +133,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Each document with its text edited by its successor's, the signature sets of both, and their likenesses.
 
     The edited text keeps all but the last floor(n/2) code points and takes as many (or all) from the start of the next
-    document, in ascending id; after the last comes the first.  Where rows share an id, each keeps its own row and the
-    id's least text stands for "next"; a document without another is its own next.  Null text is empty; rows with a
+    document, in ascending id; after the last comes the first.  Where rows share an id, each keeps its own row, and of their
+    texts that with the least such start, then the least signatures, stands for "next"; a document without another is its own next.  Null text is empty; rows with a
     null id are edited with nothing and have a null ``near_next``.  An empty table gives an empty result.
     """
     every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -200,3 +200,17 @@ def test_similar_pairs_are_brute_force(spark):
     ids = sorted(first.values())
     near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) - 1e-12
     assert got == {(a, b) for a in ids for b in ids if a < b and near(sets[a], sets[b])}
+
+
+def test_similar_pairs_with_passages_that_many_texts_share(spark):
+    import random
+
+    rng = random.Random(4)
+    passage = sorted(rng.sample(range(10**6), 15))
+    sets = [sorted({*passage, *rng.sample(range(10**6), 25)}) for _ in range(150)]
+    sets += [sorted({*passage, rng.randrange(10**6)}) for _ in range(10)] + [passage]
+    sets += [sorted({*s[:-1], rng.randrange(10**6)}) for s in sets[:20]]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id long, signatures array<int>")
+    got = {(r.a, r.b) for r in spotsigs.similar_pairs(df).collect()}
+    near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) - 1e-12
+    assert got == {(b, a) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])}
