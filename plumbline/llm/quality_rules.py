@@ -46,27 +46,32 @@ RULES = (
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` computed once."""
+    """``body`` of ``value``, with ``value`` computed once.  An array that a lambda function reads by place is best named
+    so: as a column, it would be looked up in the row again for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _windows_of(words: Column, high: Column) -> Column:
     """The 3-word windows of a text as sorted longs: the bits of ``high`` are a hash of the words, those below the place
     of the first, so windows with equal words are neighbours."""
-    every = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.size(words).cast("long") - 3),
-        lambda i: F.xxhash64(*[F.get(words, i.cast("int") + k) for k in range(3)]).bitwiseAND(high).bitwiseOR(i),
-    )
-    return F.when(F.size(words) >= 3, F.sort_array(every)).otherwise(F.array().cast("array<bigint>"))
+
+    def every(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 3),
+            lambda i: F.xxhash64(*[F.get(w, i.cast("int") + k) for k in range(3)]).bitwiseAND(high).bitwiseOR(i),
+        )
+
+    return F.when(F.size(words) >= 3, F.sort_array(let(words, every))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _twins_of(windows: Column, high: Column) -> Column:
     """The places k at which the windows k and k + 1 have the same hash."""
-    found = F.filter(
-        F.sequence(F.lit(0), F.size(windows) - 2),
-        lambda k: F.get(windows, k).bitwiseXOR(F.get(windows, k + 1)).bitwiseAND(high) == 0,
-    )
-    return F.when(F.size(windows) >= 2, found).otherwise(F.array().cast("array<int>"))
+
+    def found(s: Column) -> Column:
+        same = lambda k: F.get(s, k).bitwiseXOR(F.get(s, k + 1)).bitwiseAND(high) == 0
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 2), same)
+
+    return F.when(F.size(windows) >= 2, let(windows, found)).otherwise(F.array().cast("array<int>"))
 
 
 def _place(windows: Column, low: Column, k: Column) -> Column:
@@ -75,34 +80,35 @@ def _place(windows: Column, low: Column, k: Column) -> Column:
 
 def _starts_of(windows: Column, twins: Column, low: Column) -> Column:
     """The places of the windows that have a twin, in order."""
-    both = F.transform(twins, lambda k: F.array(_place(windows, low, k), _place(windows, low, k + 1)))
-    return F.sort_array(F.array_distinct(F.flatten(both)))
+    both = let(windows, lambda s: F.transform(twins, lambda k: F.array(_place(s, low, k), _place(s, low, k + 1))))
+    return F.when(F.size(twins) > 0, F.sort_array(F.array_distinct(F.flatten(both)))).otherwise(F.array().cast("array<int>"))
 
 
 def _repeat_words(words: Column, windows: Column, twins: Column, starts: Column, low: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.  Should windows of different words share a hash, the windows
     of that text are compared by their words instead."""
 
-    def differ(k: Column) -> Column:
-        at, of = _place(windows, low, k), _place(windows, low, k + 1)
-        pairs = [F.get(words, at + j) != F.get(words, of + j) for j in range(3)]
+    def differ(w: Column, s: Column, k: Column) -> Column:
+        at, of = _place(s, low, k), _place(s, low, k + 1)
+        pairs = [F.get(w, at + j) != F.get(w, of + j) for j in range(3)]
         return pairs[0] | pairs[1] | pairs[2]
 
+    shared = let(words, lambda w: let(windows, lambda s: F.exists(twins, lambda k: differ(w, s, k))))
     # a window covers three words, or those up to the next one
-    gaps = F.transform(starts, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(starts, j + 1) - x, F.lit(3))))
-    return (
-        F.when(F.size(twins) == 0, F.lit(0))
-        .when(F.exists(twins, differ), _repeat_words_by_sorting(words))
-        .otherwise(F.aggregate(gaps, F.lit(0), lambda s, x: s + x))
-    )
+    gap = lambda a: lambda x, j: F.least(F.lit(3), F.coalesce(F.get(a, j + 1) - x, F.lit(3)))
+    covered = let(starts, lambda a: F.aggregate(F.transform(a, gap(a)), F.lit(0), lambda s, x: s + x))
+    return F.when(F.size(twins) == 0, F.lit(0)).when(shared, _repeat_words_by_sorting(words)).otherwise(covered)
 
 
 def _repeat_words_by_sorting(words: Column) -> Column:
     """The same by sorting the windows by their words."""
     windows = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - 3),
-            lambda i: F.struct(*[F.get(words, i + k).alias(f"w{k}") for k in range(3)], i.alias("i")),
+        let(
+            words,
+            lambda w: F.transform(
+                F.sequence(F.lit(0), F.size(w) - 3),
+                lambda i: F.struct(*[F.get(w, i + k).alias(f"w{k}") for k in range(3)], i.alias("i")),
+            ),
         )
     )
 
