@@ -14,13 +14,16 @@ TECHNICAL = ("manufacturer_notice", "regulator_notice", "recall", "independent_l
 
 def assess(advisories: DataFrame, evidence: DataFrame) -> DataFrame:
     """Advisories (``id, evidence_ids, policy_action, ...``) with what their active evidence (``id, type, status,
-    verification_status, source_key``) supports: ``assessed_status``, ``assessed_confidence``, ``assessed_action``.
+    verification_status`` and any of ``event_key, source_key, publisher, source_id``) supports: ``assessed_status``, ``assessed_confidence``, ``assessed_action``.
 
     No active evidence withholds any action; only non-confirming kinds cap it at caution; a verified or corroborated
     technical source gives high confidence.
     """
     active = evidence.where((F.col("status") == "active") & ~F.coalesce(F.col("verification_status").isin("retracted", "superseded"), F.lit(False)))
     technical = F.col("verification_status").isin("verified", "corroborated") & F.col("type").isin(*TECHNICAL)
+    # what several reports of one event, or of one source, have in common
+    names = [c for c in ("event_key", "source_key", "publisher", "source_id") if c in evidence.columns]
+    source = F.coalesce(*names) if len(names) > 1 else F.col(names[0])
     links = advisories.select(F.col("id").alias("advisory_id"), F.explode("evidence_ids").alias("id"))
     found = (
         links.join(active, "id")
@@ -28,7 +31,7 @@ def assess(advisories: DataFrame, evidence: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("active_evidence"),
             F.bool_and(F.col("type").isin(*NON_CONFIRMING)).alias("_weak"),
-            F.count_distinct(F.when(technical, F.col("source_key"))).alias("independent_sources"),
+            F.count_distinct(F.when(technical, source)).alias("independent_sources"),
         )
     )
     out = advisories.join(found, "id", "left")
@@ -44,7 +47,7 @@ def assess(advisories: DataFrame, evidence: DataFrame) -> DataFrame:
             .when(weak, F.when(own.isin("none", "inform"), own).otherwise(F.lit("caution")))
             .otherwise(own),
         }
-    ).drop("_weak", "independent_sources")
+    ).drop("_weak").withColumn("independent_sources", F.coalesce("independent_sources", F.lit(0)))
 
 
 def evaluate_components(assessed: DataFrame, evaluated_at: Column, stale_days: float, grace_days: float = 0.0) -> DataFrame:

@@ -107,3 +107,58 @@ def enumerate_banks(units: DataFrame) -> DataFrame:
             "bank_ah": F.col("parallel") * F.col("unit_ah"),
         }
     )
+
+
+def bank_checks(banks: DataFrame) -> DataFrame:
+    """Banks (``series, parallel, max_series, max_parallel, unit_v, unit_ah, unit_a, peak_a, peak_s``) against what is asked of
+    them (``need_v, need_wh, need_a, surge_a, surge_s``): a code per check and ``severity``, the worst.
+
+    A bank beyond its limits is not permitted, which leaves every check CONDITIONAL; unknown ratings do too.  A check that
+    fails says whether a larger permitted bank would pass, whether none larger is permitted, or that even the largest is
+    too small.  Voltage must be met exactly.  A surge that is not asked for (both columns null) passes.
+    """
+    c = F.col
+    permitted = F.coalesce((c("series") >= 1) & (c("series") <= c("max_series")) & (c("parallel") >= 1) & (c("parallel") <= c("max_parallel")), F.lit(False))
+    code = lambda *steps: F.coalesce(*[F.when(when, F.lit(name)) for when, name in steps])
+    forbidden = (~permitted, "topology_not_permitted")
+    volts = c("series") * c("unit_v")
+    rises = F.round((c("need_v") / c("unit_v")), 0)
+    other_series = (rises > c("series")) & (rises <= c("max_series")) & (rises * c("unit_v") == c("need_v"))
+    amps = c("parallel") * c("unit_a")
+    more_amps = c("max_parallel") * c("unit_a") >= c("need_a")
+    wh = volts * c("parallel") * c("unit_ah")
+    most_wh = c("max_series") * c("max_parallel") * c("unit_v") * c("unit_ah")
+    peak = c("parallel") * c("peak_a")
+    no_surge = c("surge_a").isNull() & c("surge_s").isNull()
+    codes = {
+        "voltage_code": code(
+            (~F.coalesce(c("need_v") > 0, F.lit(False)), "voltage_requirement_invalid"), forbidden, (volts == c("need_v"), "voltage_requirement_pass"),
+            (other_series, "voltage_requirement_insufficient"), (c("max_series") <= c("series"), "series_not_permitted"), (F.lit(True), "max_series_insufficient"),
+        ),
+        "energy_code": code(
+            (~el.non_negative(c("need_wh")), "energy_requirement_invalid"), forbidden, (wh >= c("need_wh"), "energy_requirement_pass"),
+            (most_wh >= c("need_wh"), "energy_requirement_insufficient"), (F.lit(True), "max_bank_energy_insufficient"),
+        ),
+        "discharge_code": code(
+            (~el.non_negative(c("need_a")), "continuous_discharge_unknown"), forbidden, (c("unit_a").isNull(), "continuous_discharge_unknown"),
+            (amps >= c("need_a"), "continuous_discharge_pass"), (more_amps, "continuous_discharge_insufficient"),
+            (c("max_parallel") <= c("parallel"), "parallel_not_permitted"), (F.lit(True), "max_parallel_insufficient"),
+        ),
+        "surge_code": code(
+            (no_surge, "surge_not_requested"), (~(el.non_negative(c("surge_a")) & el.non_negative(c("surge_s"))), "surge_incomplete"), forbidden,
+            (c("peak_a").isNull(), "surge_unknown"), (c("surge_a") > peak, "surge_insufficient"), (c("peak_s").isNull(), "surge_duration_missing"),
+            (c("surge_s") > c("peak_s"), "surge_duration_insufficient"), (F.lit(True), "surge_pass"),
+        ),
+    }
+    out = banks.withColumns(codes)
+    passing = ("voltage_requirement_pass", "energy_requirement_pass", "continuous_discharge_pass", "surge_pass", "surge_not_requested")
+    open_ = ("topology_not_permitted", "voltage_requirement_invalid", "energy_requirement_invalid", "continuous_discharge_unknown", "surge_incomplete", "surge_unknown", "surge_duration_missing")
+    failed = F.greatest(*[~c(x).isin(*passing, *open_) for x in codes])
+    unsure = F.greatest(*[c(x).isin(*open_) for x in codes])
+    return out.withColumn("severity", F.when(failed, F.lit("FAIL")).when(unsure, F.lit("CONDITIONAL")).otherwise(F.lit("PASS")))
+
+
+def feasible_banks(units: DataFrame) -> DataFrame:
+    """All permitted banks of the units that pass every check, for units with the columns of ``bank_checks`` (but series and
+    parallel)."""
+    return bank_checks(enumerate_banks(units)).where(F.col("severity") == "PASS")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts, links, ranges, sequences
+from ..functions import text as tx
+from ..operators import battery, facts, links, ranges, sequences
 from ..operators import power as pw
 from ..operators import selection as sel
-from ..sources import html
+from ..sources import html, tables
 from ._registry import Tables, bind
 
 #: group_id, mode, battery_count, least_c, most_c, unit, limit, paths, excluded pairs, open conditions
@@ -237,3 +238,109 @@ FROM lineitem GROUP BY 1"""
 def first_by_tuple(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
     return sequences.first_of(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]).drop("l_suppkey")
+
+
+_BANKS_SQL = """
+u AS (SELECT p_partkey, CASE WHEN p_size % 13 <> 0 THEN 6.0::DOUBLE * (1 + p_partkey % 2) END AS uv, p_size::DOUBLE AS ah, CASE WHEN p_size % 11 <> 0 THEN p_size * 2.0::DOUBLE END AS ua, CASE WHEN p_size % 7 <> 0 THEN p_size * 5.0::DOUBLE END AS pk,
+  CASE WHEN p_size % 5 <> 0 THEN (p_size % 10)::DOUBLE END AS ps, 1 + p_size % 4 AS ms, 1 + p_size % 3 AS mp, 24.0::DOUBLE AS nv, p_retailprice AS nwh, CASE WHEN p_partkey % 9 <> 0 THEN 60.0::DOUBLE END AS na,
+  CASE WHEN p_partkey % 4 <> 0 THEN 150.0::DOUBLE END AS sa, CASE WHEN p_partkey % 6 <> 0 THEN 5.0::DOUBLE END AS ss FROM part)
+"""
+_BANK_CODES_SQL = """
+CASE WHEN s > ms OR p > mp THEN 'topology_not_permitted' WHEN s * uv = nv THEN 'voltage_requirement_pass'
+    WHEN uv IS NOT NULL AND nv / uv > s AND nv / uv <= ms AND nv / uv = round(nv / uv) THEN 'voltage_requirement_insufficient' WHEN ms <= s THEN 'series_not_permitted' ELSE 'max_series_insufficient' END AS voltage_code,
+  CASE WHEN s > ms OR p > mp THEN 'topology_not_permitted' WHEN s * uv * p * ah >= nwh THEN 'energy_requirement_pass' WHEN ms * mp * uv * ah >= nwh THEN 'energy_requirement_insufficient' ELSE 'max_bank_energy_insufficient' END AS energy_code,
+  CASE WHEN na IS NULL THEN 'continuous_discharge_unknown' WHEN s > ms OR p > mp THEN 'topology_not_permitted' WHEN ua IS NULL THEN 'continuous_discharge_unknown' WHEN p * ua >= na THEN 'continuous_discharge_pass'
+    WHEN mp * ua >= na THEN 'continuous_discharge_insufficient' WHEN mp <= p THEN 'parallel_not_permitted' ELSE 'max_parallel_insufficient' END AS discharge_code,
+  CASE WHEN sa IS NULL AND ss IS NULL THEN 'surge_not_requested' WHEN sa IS NULL OR ss IS NULL THEN 'surge_incomplete' WHEN s > ms OR p > mp THEN 'topology_not_permitted' WHEN pk IS NULL THEN 'surge_unknown' WHEN sa > p * pk THEN 'surge_insufficient'
+    WHEN ps IS NULL THEN 'surge_duration_missing' WHEN ss > ps THEN 'surge_duration_insufficient' ELSE 'surge_pass' END AS surge_code
+"""
+
+
+def _units(t: Tables) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    given = lambda when, x: F.when(when, x.cast("double"))
+    return t.part.select(
+        k, given(s % 13 != 0, 6 * (1 + k % 2)).alias("unit_v"), s.cast("double").alias("unit_ah"), given(s % 11 != 0, s * 2).alias("unit_a"),
+        given(s % 7 != 0, s * 5).alias("peak_a"), given(s % 5 != 0, s % 10).alias("peak_s"), (1 + s % 4).alias("max_series"), (1 + s % 3).alias("max_parallel"),
+        F.lit(24.0).alias("need_v"), F.col("p_retailprice").alias("need_wh"), given(k % 9 != 0, F.lit(60)).alias("need_a"),
+        given(k % 4 != 0, F.lit(150)).alias("surge_a"), given(k % 6 != 0, F.lit(5)).alias("surge_s"),
+    )
+
+
+@bind(
+    f"""WITH {_BANKS_SQL}, b AS (SELECT *, 1 + p_partkey % 5 AS s, 1 + p_partkey % 3 AS p FROM u), c AS (SELECT p_partkey, {_BANK_CODES_SQL} FROM b)
+SELECT *, CASE WHEN NOT (voltage_code IN ('voltage_requirement_pass', 'topology_not_permitted') AND energy_code IN ('energy_requirement_pass', 'topology_not_permitted')
+    AND discharge_code IN ('continuous_discharge_pass', 'topology_not_permitted', 'continuous_discharge_unknown')
+    AND surge_code IN ('surge_pass', 'surge_not_requested', 'topology_not_permitted', 'surge_incomplete', 'surge_unknown', 'surge_duration_missing')) THEN 'FAIL'
+  WHEN voltage_code = 'topology_not_permitted' OR discharge_code IN ('topology_not_permitted', 'continuous_discharge_unknown') OR surge_code IN ('topology_not_permitted', 'surge_incomplete', 'surge_unknown', 'surge_duration_missing') THEN 'CONDITIONAL' ELSE 'PASS' END AS severity FROM c"""
+)
+def bank_checks(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    banks = _units(t).withColumns({"series": 1 + k % 5, "parallel": 1 + k % 3})
+    return battery.bank_checks(banks).select("p_partkey", "voltage_code", "energy_code", "discharge_code", "surge_code", "severity")
+
+
+@bind(
+    f"""WITH {_BANKS_SQL}, b AS (SELECT * FROM u, range(1, 5) x(s), range(1, 4) y(p) WHERE s <= ms AND p <= mp), c AS (SELECT p_partkey, s, p, {_BANK_CODES_SQL} FROM b)
+SELECT p_partkey, s::INTEGER AS series, p::INTEGER AS parallel FROM c WHERE voltage_code = 'voltage_requirement_pass' AND energy_code = 'energy_requirement_pass' AND discharge_code = 'continuous_discharge_pass' AND surge_code IN ('surge_pass', 'surge_not_requested')"""
+)
+def feasible_banks(t: Tables) -> DataFrame:
+    return battery.feasible_banks(_units(t)).select("p_partkey", F.col("series").cast("int"), F.col("parallel").cast("int"))
+
+
+@bind(
+    """WITH f AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '  Rated  POWER' WHEN 1 THEN 'Voltage range' WHEN 2 THEN 'finish' ELSE 'note' END AS label,
+  CASE p_size % 5 WHEN 0 THEN p_size || ' W' WHEN 1 THEN p_size || ' - ' || (p_size + 4) || ' V' ELSE '  Some   ' || p_type END AS value, CASE WHEN p_partkey % 3 = 0 THEN 'inverter' WHEN p_partkey % 3 = 1 THEN 'battery' END AS role, 'eu' AS region FROM part),
+m AS (SELECT *, CASE label WHEN '  Rated  POWER' THEN CASE role WHEN 'inverter' THEN 'output_w' WHEN 'battery' THEN 'ambiguous' ELSE 'power_w' END WHEN 'Voltage range' THEN 'range_v' WHEN 'finish' THEN 'finish' END AS field FROM f),
+k AS (SELECT *, CASE WHEN field IN ('output_w', 'power_w') THEN 'measurement' WHEN field = 'range_v' THEN 'range' WHEN field = 'finish' THEN 'text' END AS kind FROM m),
+n AS (SELECT *, CASE kind WHEN 'measurement' THEN regexp_extract(value, '^([0-9]+) W$', 1) WHEN 'range' THEN regexp_extract(value, '^([0-9]+) - [0-9]+ V$', 1) WHEN 'text' THEN lower(trim(regexp_replace(value, ' +', ' ', 'g'))) END AS norm FROM k)
+SELECT p_partkey, CASE WHEN field IS NULL THEN 'unmapped' WHEN field = 'ambiguous' THEN 'ambiguous' WHEN norm = '' THEN 'invalid_value' ELSE 'mapped' END AS field_code, CASE WHEN field <> 'ambiguous' THEN field END AS canonical_field,
+  CASE WHEN norm <> '' AND kind = 'text' THEN norm WHEN norm <> '' THEN norm || '.0' END AS normalised FROM n"""
+)
+def field_mapping(t: Tables) -> DataFrame:
+    s, k = F.col("p_size"), F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    rows = t.part.select(
+        k,
+        F.when(s % 4 == 0, F.lit("  Rated  POWER")).when(s % 4 == 1, F.lit("Voltage range")).when(s % 4 == 2, F.lit("finish")).otherwise(F.lit("note")).alias("label"),
+        F.when(s % 5 == 0, F.concat(text(s), F.lit(" W"))).when(s % 5 == 1, F.concat(text(s), F.lit(" - "), text(s + 4), F.lit(" V"))).otherwise(F.concat(F.lit("  Some   "), F.col("p_type"))).alias("value"),
+        F.when(k % 3 == 0, F.lit("inverter")).when(k % 3 == 1, F.lit("battery")).alias("role"),
+        F.lit("eu").alias("region"),
+    )
+    mappings = t.spark.createDataFrame(
+        [
+            ("rated power", None, None, "power_w", "measurement"), ("Rated Power", "inverter", "eu", "output_w", "measurement"),
+            ("rated power", "battery", "eu", "charge_w", "measurement"), ("rated  power", "battery", "eu", "discharge_w", "measurement"),
+            ("voltage range", None, None, "range_v", "range"), ("Finish", None, None, "finish", "text"),
+        ],
+        "alias string, role string, region string, canonical_field string, value_kind string",
+    )
+    watts = lambda v: F.when(tx.parsed_quantity(v)["unit"] == "w", tx.parsed_quantity(v)["number"])
+    kinds = {"measurement": watts, "range": lambda v: tx.voltage_range(v)["low_v"], "text": tx.collapsed}
+    return facts.map_fields(rows, mappings, kinds).select("p_partkey", "field_code", "canonical_field", "normalised")
+
+
+@bind(
+    """WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id, octet_length(encode(html)) AS size, page_id % 4 = 0 AS official, page_id % 3 AS tier FROM pages),
+p AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN official THEN 0 ELSE 1 END, tier, page_id) AS place FROM r)
+SELECT host, page_id, place FROM p WHERE place <= 50"""
+)
+def capture_order(t: Tables) -> DataFrame:
+    """What is found of each host, official pages first; ``test_systems`` holds what is taken of it against a plain loop."""
+    rows = t.pages.select(
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), "page_id", F.octet_length("html").alias("size"), (F.col("page_id") % 4 == 0).alias("official"), (F.col("page_id") % 3).alias("tier")
+    )
+    out = facts.budgeted_captures(rows, ["host"], F.col("official"), ["tier", "page_id"], F.col("size"), 50, 20, 40_000)
+    return out.select("host", "page_id", F.col("place").cast("long").alias("place"))
+
+
+@bind(
+    """SELECT 'orders' AS collection, o_orderkey::VARCHAR AS record, 'price' AS code, 'o_totalprice' AS path FROM orders WHERE NOT coalesce(o_totalprice > 20000, false)
+UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'status', 'o_orderstatus' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'parts', p_partkey::VARCHAR, 'name', 'p_name' FROM part WHERE NOT regexp_matches(p_name, 'a')
+UNION ALL SELECT 'parts', p_partkey::VARCHAR, 'size', 'p_size' FROM part WHERE p_size > 40"""
+)
+def tree_issues(t: Tables) -> DataFrame:
+    orders = [(F.col("o_totalprice") > 20000, "price", "o_totalprice"), (F.col("o_orderstatus").isin("F", "O"), "status", "o_orderstatus")]
+    parts = [(F.col("p_name").contains("a"), "name", "p_name"), (F.col("p_size") <= 40, "size", "p_size")]
+    return tables.tree_issues([("orders", t.orders, F.col("o_orderkey"), orders), ("parts", t.part, F.col("p_partkey"), parts)])

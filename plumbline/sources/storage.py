@@ -45,3 +45,13 @@ def create_only(df: DataFrame, key: list[str], path: str) -> None:
     if not twice.isEmpty():
         raise ValueError(f"keys {key} are not unique")
     df.write.mode("errorifexists").parquet(path)
+
+
+def create_unless_colliding(df: DataFrame, keys: list[list[str]], stored: DataFrame, path: str) -> None:
+    """Write new records to a new table unless any of them agrees with another new one or a ``stored`` one in any of several
+    composite keys; a collision is an error, and nothing is written.  A key with a null part does not collide."""
+    for key in keys:
+        whole = df.dropna(subset=key)
+        if not whole.groupBy(*key).count().where(F.col("count") > 1).isEmpty() or not whole.join(stored.select(*key), key, "left_semi").isEmpty():
+            raise ValueError(f"records collide in {key}")
+    df.write.mode("errorifexists").parquet(path)

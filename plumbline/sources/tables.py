@@ -55,3 +55,14 @@ def issues(checks: list[tuple[Column, str, str]]) -> Column:
         for ok, code, path in checks
     ]
     return F.array_compact(F.array(*found))
+
+
+def tree_issues(collections: list[tuple[str, DataFrame, Column, list[tuple[Column, str, str]]]]) -> DataFrame:
+    """``collection, record, code, path`` of every violation in several collections, each (name, rows, record id, checks) with
+    checks of its own, as ``issues`` has them."""
+    found = None
+    for name, rows, record, checks in collections:
+        one = rows.select(F.lit(name).alias("collection"), record.cast("string").alias("record"), F.explode(issues(checks)).alias("i"))
+        one = one.select("collection", "record", "i.code", "i.path")
+        found = one if found is None else found.unionByName(one)
+    return found

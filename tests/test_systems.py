@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import aggregates, facts, joins, links, power, ranges, selection, sequences
-from plumbline.sources import html
+from plumbline.operators import advisories, aggregates, facts, joins, links, power, ranges, selection, sequences
+from plumbline.sources import html, storage
 
 GROUP = "group_id string, mode string, battery_count int, least_c double, most_c double, unit string, limit double, paths array<string>, excluded array<struct<a:string,b:string>>, open boolean"
 
@@ -156,3 +156,57 @@ def test_coded_left_and_required_sets(spark):
     assert {(r.k, r.x, r.code) for r in joins.coded_left(left, right, ["k"], "hit", "miss").collect()} == {(1, "v", "hit"), (2, None, "miss")}
     df = spark.createDataFrame([(["A ", "b"], ["a", "B", "c"]), (["a"], []), ([], [])], "n array<string>, o array<string>")
     assert [r[0] for r in df.select(selection.contains_all(F.col("n"), F.col("o"))).collect()] == [True, False, True]
+
+
+def test_taken_captures_are_the_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [(h, i, rng.random() < 0.3, rng.randint(0, 2), None if rng.random() < 0.05 else rng.randint(1, 60)) for h in "abc" for i in range(rng.randint(5, 40))]
+    df = spark.createDataFrame(rows, "h string, i int, o boolean, t int, s int")
+    got = {(r.h, r.i): (r.place, r.taken) for r in facts.budgeted_captures(df, ["h"], F.col("o"), ["t", "i"], F.col("s"), 25, 8, 150).collect()}
+    want = {}
+    for h in "abc":
+        n = used = 0
+        for place, r in enumerate(sorted((r for r in rows if r[0] == h), key=lambda r: (not r[2], r[3], r[1]))[:25], 1):
+            fits = n < 8 and used + (r[4] or 0) <= 150
+            n, used = n + fits, used + fits * (r[4] or 0)
+            want[h, r[1]] = (place, fits)
+    assert got == want and {True, False} == {t for _, t in want.values()}
+
+
+def test_fields_in_context(spark):
+    mappings = spark.createDataFrame(
+        [("a b", None, None, "x", "t"), ("A  B", "r", "e", "y", "t"), ("c", None, None, "p", "t"), ("C", None, None, "q", "t"), ("d", "r", "e", "z", "u"), ("a b", "s", "e", "x1", "t"), ("a b", "s", "e", "x2", "t")],
+        "alias string, role string, region string, canonical_field string, value_kind string",
+    )
+    rows = [(" A b", "v", None, None), ("a b", "v", "r", "e"), ("a b", "v", "r", "f"), ("a b", "v", "s", "e"), ("c", "v", None, None), ("d", "v", "r", "e"), ("d", "v", None, None), (None, "v", "r", "e"), ("a b", None, None, None)]
+    df = spark.createDataFrame(rows, "label string, value string, role string, region string").coalesce(1)
+    got = sorted((str(r.label), str(r.value), str(r.role), str(r.region), r.field_code, str(r.canonical_field)) for r in facts.map_fields(df, mappings, {"t": F.upper}).collect())
+    assert got == sorted([
+        (" A b", "v", "None", "None", "mapped", "x"), ("a b", "v", "r", "e", "mapped", "y"), ("a b", "v", "r", "f", "mapped", "x"), ("a b", "v", "s", "e", "ambiguous", "None"),
+        ("c", "v", "None", "None", "ambiguous", "None"), ("d", "v", "r", "e", "invalid_value", "z"), ("d", "v", "None", "None", "unmapped", "None"),
+        ("None", "v", "r", "e", "unmapped", "None"), ("a b", "None", "None", "None", "invalid_value", "x"),
+    ])
+
+
+def test_records_that_collide_are_not_written(spark, tmp_path):
+    stored = spark.createDataFrame([(1, "m", "p"), (2, "n", None)], "i int, maker string, part string")
+    new = spark.createDataFrame([(3, "m", "q"), (4, "n", None)], "i int, maker string, part string")
+    keys = [["i"], ["maker", "part"]]
+    for bad in (spark.createDataFrame([(1, "x", "y")], stored.schema), spark.createDataFrame([(9, "m", "p")], stored.schema), new.unionByName(new.where("i = 3").withColumn("i", F.lit(7)))):
+        with pytest.raises(ValueError, match="collide"):
+            storage.create_unless_colliding(bad, keys, stored, str(tmp_path / "new"))
+    storage.create_unless_colliding(new, keys, stored, str(tmp_path / "new"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 2
+
+
+def test_lists_hold_their_values(spark):
+    df = spark.createDataFrame([("list", [1, 2], 2), ("list", [1], 2), ("list", None, 2), ("scalar", [2], 2), ("other", [2], 2)], "k string, xs array<int>, v int")
+    none = F.lit(None).cast("int")
+    assert [r[0] for r in df.select(ranges.includes_value(F.col("k"), F.lit(2), none, none, F.col("v"), F.col("xs"))).collect()] == [True, False, None, True, None]
+
+
+def test_sources_of_one_event_count_once(spark):
+    adv = spark.createDataFrame([(1, ["a", "b", "c"])], "id int, evidence_ids array<string>").withColumn("policy_action", F.lit("caution"))
+    rows = [("a", "recall", "active", "verified", "e", "s1"), ("b", "recall", "active", "verified", "e", "s2"), ("c", "recall", "active", "verified", None, "s3")]
+    ev = spark.createDataFrame(rows, "id string, type string, status string, verification_status string, event_key string, source_key string")
+    assert advisories.assess(adv, ev).first().independent_sources == 2
