@@ -117,7 +117,24 @@ def slug(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+", -1), lambda t: t != "")
+    """Runs of letters and digits of any script, in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+
+
+def decoded(text: Column) -> Column:
+    """A text with its percent escapes resolved; one with a broken escape stays as it is, and so does a plus sign."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def contains_identity(text: Column, identity: Column) -> Column:
+    """Whether a text names an identity: as a whole, with no letter or digit next to it; case, and how its words are
+    separated, do not matter.  An empty or unknown identity is never named."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(decoded(c)), r"[-_\s]+", " "))
+    wanted = plain(identity)
+    # the identity as a literal between \\Q and \\E
+    literal = F.concat(F.lit("\\Q"), F.replace(wanted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    bounded = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), literal, F.lit(r"(?![\p{L}\p{N}])"))
+    return F.coalesce((wanted != "") & F.regexp_like(plain(text), bounded), F.lit(False))
 
 
 def fnv1a(text: Column) -> Column:

@@ -34,9 +34,13 @@ def dangling(child: DataFrame, parent: DataFrame, child_key: str, parent_key: st
 
 
 def either_key_semi(left: DataFrame, right: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """Rows of ``left`` that agree with ``right`` in any of several composite keys: one semi join per key."""
-    hits = [left.join(right.select(*k).distinct(), k, "left_semi") for k in keys]
-    return reduce(DataFrame.unionByName, hits).distinct()
+    """Rows of ``left``, repeated ones included, that agree with ``right`` in any of several composite keys: one join per key
+    with its distinct values."""
+    out = left
+    for i, k in enumerate(keys):
+        out = out.join(right.select(*k).distinct().withColumn(f"_hit{i}", F.lit(True)), k, "left")
+    any_hit = reduce(lambda a, b: a | b, [F.col(f"_hit{i}").isNotNull() for i in range(len(keys))])
+    return out.where(any_hit).select(*left.columns)
 
 
 def bounded_product(parts: list[DataFrame], bound: int) -> DataFrame:

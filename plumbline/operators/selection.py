@@ -104,6 +104,49 @@ def installation_envelope(df: DataFrame, size: tuple[Column, Column, Column], ax
     return df.withColumns({**out, "status": F.when(unknown, F.lit("unresolved")).otherwise(F.lit("valid"))})
 
 
+def source_applicable(there: Column, applicability: Column, legacy: bool = False) -> Column:
+    """Whether a source may be used: its applicability was established or reviewed.  One that says nothing about it is usable
+    only where older records are asked for (``legacy``); a source that is not there never is."""
+    known = applicability.isin("direct_identity", "explicitly_reviewed")
+    return F.coalesce(there, F.lit(False)) & F.when(applicability.isNull(), F.lit(legacy)).otherwise(known)
+
+
+def constraint_gate(kind: Column, evaluators: dict[str, Column]) -> Column:
+    """The gate of a constraint, by the evaluator of its kind: a Boolean column, null where it cannot say.  A kind without an
+    evaluator is unknown."""
+    verdict = F.lit(None).cast("boolean")
+    for name_, of in evaluators.items():
+        verdict = F.when(kind == name_, of).otherwise(verdict)
+    return F.when(verdict, F.lit("YES")).when(~verdict, F.lit("NO")).otherwise(F.lit("UNKNOWN"))
+
+
+def product_witnesses(
+    candidates: DataFrame, id_col: str, interfaces: list[str], path_rules: list[tuple[str, str, str]], ports: DataFrame, paths: DataFrame, bound: int
+) -> DataFrame:
+    """Every way to bind the interfaces of a role to the ports of a candidate, and its directed paths to paths between those
+    ports: ``id_col``, a column ``at_<interface>`` each and a column ``via_<path>`` each.
+
+    ``ports``: ``id_col, port``; ``paths``: ``id_col, source, target, path``; ``path_rules``: (path, from interface, to interface).
+    A candidate without ports, and ports without a path, keep one row with a null in that place.  More than ``bound``
+    bindings of one candidate are an error before they are made; nothing is truncated.
+    """
+    counts = ports.groupBy(id_col).count()
+    if not counts.where(F.pow("count", F.lit(len(interfaces))) > bound).isEmpty():
+        raise ValueError(f"a candidate has more than {bound} bindings of ports")
+    out = candidates.select(id_col)
+    for i in interfaces:
+        out = out.join(ports.select(id_col, F.col("port").alias(f"at_{i}")), id_col, "left")
+    for name_, a, b in sorted(path_rules):
+        own = paths.select(id_col, F.col("source").alias(f"at_{a}"), F.col("target").alias(f"at_{b}"), F.col("path").alias(f"via_{name_}"))
+        keys = [id_col, f"at_{a}", f"at_{b}"]
+        ways = own.groupBy(*keys).count()
+        many = out.join(ways, keys, "left").groupBy(id_col).agg(F.sum(F.coalesce("count", F.lit(1))).alias("n"))
+        if not many.where(F.col("n") > bound).isEmpty():
+            raise ValueError(f"a candidate has more than {bound} bindings of paths")
+        out = out.join(own, keys, "left")
+    return out.select(id_col, *[f"at_{i}" for i in interfaces], *[f"via_{n}" for n, _, _ in sorted(path_rules)])
+
+
 def enumerate_witnesses(bindings: DataFrame, ports: DataFrame, paths: DataFrame, binding: list[str], port: list[str]) -> DataFrame:
     """Every combination of a binding with one of its ports (``binding`` keys) and one of the port's paths (``port`` keys).
 

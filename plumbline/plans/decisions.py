@@ -16,7 +16,7 @@ from ._registry import Tables, bind
     """WITH c AS (SELECT p_partkey,
   CASE WHEN p_size % 5 = 0 THEN 'unknown' WHEN 24 BETWEEN p_size AND p_size + 10 THEN 'compatible' ELSE 'incompatible' END AS voltage,
   CASE WHEN p_retailprice >= 1000 THEN 'compatible' ELSE 'incompatible' END AS power,
-  CASE WHEN p_type LIKE '%BRASS%' THEN NULL WHEN p_name LIKE '%a%' THEN 'compatible' ELSE 'unknown' END AS interface FROM part)
+  CASE WHEN p_type LIKE '%PROMO%' THEN NULL WHEN p_name LIKE '%a%' THEN 'compatible' ELSE 'unknown' END AS interface FROM part)
 SELECT p_partkey, voltage, power, interface, CASE WHEN voltage = 'incompatible' OR power = 'incompatible' THEN 'incompatible'
   WHEN voltage = 'unknown' OR interface = 'unknown' THEN 'unknown' ELSE 'compatible' END AS status FROM c"""
 )
@@ -25,7 +25,7 @@ def component_compat(t: Tables) -> DataFrame:
     checks = {
         "voltage": sel.checked(F.lit(True), low.isNotNull(), sel.within(F.lit(24), low, low + 10)),
         "power": sel.checked(F.lit(True), F.lit(True), F.col("p_retailprice") >= 1000),
-        "interface": sel.checked(~F.col("p_type").like("%BRASS%"), F.col("p_name").like("%a%"), F.lit(True)),
+        "interface": sel.checked(~F.col("p_type").like("%PROMO%"), F.col("p_name").like("%a%"), F.lit(True)),
     }
     return sel.compatibility(t.part, checks).select("p_partkey", *checks, "status")
 

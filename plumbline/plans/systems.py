@@ -71,8 +71,8 @@ def shared_capacity_checks(t: Tables) -> DataFrame:
 
 
 @bind(
-    """WITH c AS (SELECT p_partkey, p_size, p_retailprice, string_split(p_type, ' ') AS need,
-  CASE p_partkey % 3 WHEN 0 THEN ['Standard', 'small', 'Anod-ized', 'BRASS!', 'steel', 'plated'] WHEN 1 THEN [] END AS have FROM part),
+    """WITH c AS (SELECT p_partkey, p_size, p_retailprice, string_split(p_name, ' ') AS need,
+  CASE p_partkey % 3 WHEN 0 THEN ['Red', 'plate', 'small', 'Wid-get', 'hot', 'RING!'] WHEN 1 THEN [] END AS have FROM part),
 v AS (SELECT *, list_filter(list_transform(need, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: x <> '') AS n, list_filter(list_transform(coalesce(have, []), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: x <> '') AS h FROM c),
 k AS (SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unknown' WHEN 40 <= p_size * 2 THEN 'compatible' ELSE 'incompatible' END AS "current",
   CASE WHEN len(n) = 0 OR have IS NULL THEN NULL WHEN len(h) = 0 THEN 'unknown' WHEN len(list_filter(n, lambda x: NOT list_contains(h, x))) = 0 THEN 'compatible' ELSE 'incompatible' END AS accessory,
@@ -83,11 +83,11 @@ SELECT *, CASE WHEN 'incompatible' IN ("current", coalesce(accessory, ''), coale
   WHEN 'unknown' IN ("current", coalesce(accessory, ''), coalesce(converter, ''), coalesce(fit, ''), coalesce(weight, '')) THEN 'unknown' ELSE 'compatible' END AS status FROM k"""
 )
 def component_checks(t: Tables) -> DataFrame:
-    """Current, accessory, converter, fit and weight; the words of a part's type stand for what it needs."""
+    """Current, accessory, converter, fit and weight; the words of a part's name stand for what it needs."""
     k, s = F.col("p_partkey"), F.col("p_size").cast("double")
     none = F.lit(None).cast("double")
-    have = F.when(k % 3 == 0, F.array(*map(F.lit, ("Standard", "small", "Anod-ized", "BRASS!", "steel", "plated")))).when(k % 3 == 1, F.array().cast("array<string>"))
-    need = F.split("p_type", " ")
+    have = F.when(k % 3 == 0, F.array(*map(F.lit, ("Red", "plate", "small", "Wid-get", "hot", "RING!")))).when(k % 3 == 1, F.array().cast("array<string>"))
+    need = F.split("p_name", " ")
     space = [F.when(k % 4 != 0, F.lit(v)) for v in (45.0, 40.0, 85.0)]
     installed = [s + 5, F.when(F.col("p_size") % 9 != 0, s), s * 2]
     checks = {
@@ -122,30 +122,30 @@ def witness_enumeration(t: Tables) -> DataFrame:
 
 
 _RULE_ROWS = (
-    ("r1", 2, "exact", "small plated brass", "power", "p.small"),
-    ("r2", 2, "pattern", "^(small|medium) .*steel$", None, "p.steel"),
-    ("r3", 2, "pattern", "brushed", "power", "p.brushed"),
-    ("r4", 2, "pattern", "brass$", "energy", "p.brass"),
-    ("r1", 3, "exact", "SMALL plated brass", None, "q.small"),
-    ("r5", 3, "pattern", "steel|nickel", "power", "q.metal"),
-    ("r6", 3, "pattern", "(^| )anodized ", "power", "q.anodized"),
+    ("r1", 2, "exact", "red plate", "power", "p.red"),
+    ("r2", 2, "pattern", "^(small|large|red) .*plate$", None, "p.plate"),
+    ("r3", 2, "pattern", "hot", "power", "p.hot"),
+    ("r4", 2, "pattern", "rod$", "energy", "p.rod"),
+    ("r1", 3, "exact", "RED plate", None, "q.red"),
+    ("r5", 3, "pattern", "gear|widget", "power", "q.moving"),
+    ("r6", 3, "pattern", "(^| )(old|blue) ", "power", "q.old"),
 )
 _RULES_SQL = ", ".join(f"({_text(a)}, {b}, {_text(c)}, {_text(d)}, {_text(e)}, {_text(f)})" for a, b, c, d, e, f in _RULE_ROWS)
 
 
 @bind(
     f"""WITH r(rule_id, revision, kind, pattern, dim, projection) AS (VALUES {_RULES_SQL}),
-f AS (SELECT p_partkey, lower(p_type) AS label, CASE WHEN p_size % 3 = 0 THEN 'energy' ELSE 'power' END AS dimension, 2 + p_partkey % 3 AS revision FROM part),
+f AS (SELECT p_partkey, lower(p_name) AS label, CASE WHEN p_size % 3 = 0 THEN 'energy' ELSE 'power' END AS dimension, 2 + p_partkey % 3 AS revision FROM part),
 h AS (SELECT p_partkey, rule_id, projection, dim IS NULL OR dim = dimension AS fits FROM f JOIN r ON r.revision = f.revision AND CASE kind WHEN 'exact' THEN label = lower(pattern) ELSE regexp_matches(label, pattern) END),
 c AS (SELECT p_partkey, count(*) FILTER (fits) AS n, min(rule_id) FILTER (fits) AS rule_id, min(projection) FILTER (fits) AS projection FROM h GROUP BY 1)
 SELECT f.p_partkey, CASE WHEN n IS NULL THEN 'unmapped' WHEN n = 0 THEN 'dimension_conflict' WHEN n = 1 THEN 'mapped' ELSE 'ambiguous' END AS rule_code,
   CASE WHEN n = 1 THEN rule_id END AS rule_id, CASE WHEN n = 1 THEN projection END AS projection FROM f LEFT JOIN c USING (p_partkey)"""
 )
 def semantic_rules(t: Tables) -> DataFrame:
-    """Part types as labels; revision 4 has no rules."""
+    """Part names as labels; revision 4 has no rules."""
     rules = t.spark.createDataFrame(list(_RULE_ROWS), "rule_id string, revision long, kind string, pattern string, dimension string, projection string")
     dimension = F.when(F.col("p_size") % 3 == 0, F.lit("energy")).otherwise(F.lit("power"))
-    rows = t.part.select("p_partkey", F.col("p_type").alias("label"), dimension.alias("dimension"), (2 + F.col("p_partkey") % 3).alias("revision"))
+    rows = t.part.select("p_partkey", F.col("p_name").alias("label"), dimension.alias("dimension"), (2 + F.col("p_partkey") % 3).alias("revision"))
     return facts.apply_rules(rows, rules).select("p_partkey", "rule_code", "rule_id", "projection")
 
 
@@ -344,3 +344,64 @@ def tree_issues(t: Tables) -> DataFrame:
     orders = [(F.col("o_totalprice") > 20000, "price", "o_totalprice"), (F.col("o_orderstatus").isin("F", "O"), "status", "o_orderstatus")]
     parts = [(F.col("p_name").contains("a"), "name", "p_name"), (F.col("p_size") <= 40, "size", "p_size")]
     return tables.tree_issues([("orders", t.orders, F.col("o_orderkey"), orders), ("parts", t.part, F.col("p_partkey"), parts)])
+
+
+@bind(
+    """WITH p AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders),
+a AS (SELECT c_custkey, x.o_orderkey AS i, y.o_orderkey AS o FROM customer LEFT JOIN orders x ON x.o_custkey = c_custkey LEFT JOIN orders y ON y.o_custkey = c_custkey),
+w AS (SELECT a.*, after AS path FROM a LEFT JOIN p ON p.o_custkey = c_custkey AND p.o_orderkey = i AND p.after = o)
+SELECT c_custkey, count(*) AS witnesses, count(*) FILTER (path IS NULL) AS without_path, count(*) FILTER (i IS NULL) AS without_port FROM w GROUP BY 1"""
+)
+def product_witnesses(t: Tables) -> DataFrame:
+    """Customers as candidates, their orders as ports, a path from each order to the next."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ports = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("port"))
+    paths = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(w).alias("target"))
+    paths = paths.where(F.col("target").isNotNull()).withColumn("path", F.col("target"))
+    every = sel.product_witnesses(t.customer, "c_custkey", ["in", "out"], [("main", "in", "out")], ports, paths, 4096)
+    return every.groupBy("c_custkey").agg(
+        F.count("*").alias("witnesses"), F.count_if(F.col("via_main").isNull()).alias("without_path"), F.count_if(F.col("at_in").isNull()).alias("without_port")
+    )
+
+
+@bind(
+    """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_quantity <= 30 THEN 'YES' ELSE 'NO' END WHEN 1 THEN CASE WHEN l_tax > 0.07 THEN 'UNKNOWN' WHEN l_returnflag = 'R' THEN 'NO' ELSE 'YES' END
+  WHEN 2 THEN CASE WHEN l_extendedprice BETWEEN 1000 AND 40000 THEN 'YES' ELSE 'NO' END ELSE 'UNKNOWN' END AS gate FROM lineitem"""
+)
+def constraint_gates(t: Tables) -> DataFrame:
+    kinds = F.get(F.array(*map(F.lit, ("at_most", "capability", "range", "interface"))), (F.col("l_linenumber") % 4).cast("int"))
+    price = F.col("l_extendedprice")
+    evaluators = {
+        "at_most": F.col("l_quantity") <= 30,
+        "capability": F.when(~(F.col("l_tax") > 0.07), F.col("l_returnflag") != "R"),
+        "range": sel.within(price, F.lit(1000), F.lit(40000)),
+    }
+    return t.lineitem.select("l_orderkey", "l_linenumber", sel.constraint_gate(kinds, evaluators).alias("gate"))
+
+
+@bind(
+    """SELECT doc_id, source IS NOT NULL AND CASE WHEN lang = 'fr' THEN true WHEN n_chars % 3 = 0 THEN true ELSE coalesce(lang = 'en', false) END AS applicable,
+  source IS NOT NULL AND CASE WHEN lang = 'fr' THEN false WHEN n_chars % 3 = 0 THEN true ELSE coalesce(lang = 'en', false) END AS strictly FROM documents"""
+)
+def source_applicability(t: Tables) -> DataFrame:
+    """French documents say nothing about their applicability."""
+    says = F.when(F.col("lang") == "fr", F.lit(None).cast("string")).when(F.col("n_chars") % 3 == 0, F.lit("explicitly_reviewed"))
+    says = says.when(F.col("lang") == "en", F.lit("direct_identity")).otherwise(F.lit("unrelated"))
+    there = F.col("source").isNotNull()
+    return t.documents.select("doc_id", sel.source_applicable(there, says, legacy=True).alias("applicable"), sel.source_applicable(there, says).alias("strictly"))
+
+
+@bind(
+    r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'the ' || p_name WHEN 1 THEN replace(p_name, ' ', '__') || 's' WHEN 2 THEN upper(replace(p_name, ' ', '%20')) || '-x' ELSE p_type END AS txt,
+  CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[2] WHEN 2 THEN ' - ' END AS want FROM part),
+n AS (SELECT p_partkey, trim(regexp_replace(lower(url_decode(txt)), '[-_\s]+', ' ', 'g')) AS txt, trim(regexp_replace(lower(want), '[-_\s]+', ' ', 'g')) AS want FROM t)
+SELECT p_partkey, coalesce(want <> '' AND regexp_matches(' ' || txt || ' ', '[^\p{L}\p{N}]' || regexp_escape(want) || '[^\p{L}\p{N}]'), false) AS named FROM n"""
+)
+def identity_named(t: Tables) -> DataFrame:
+    k, kind = F.col("p_partkey") % 4, F.col("p_name")
+    said = F.when(k == 0, F.concat(F.lit("the "), kind)).when(k == 1, F.concat(F.replace(kind, F.lit(" "), F.lit("__")), F.lit("s")))
+    said = said.when(k == 2, F.concat(F.upper(F.replace(kind, F.lit(" "), F.lit("%20"))), F.lit("-x"))).otherwise(F.col("p_type"))
+    want = F.when(F.col("p_size") % 3 == 0, kind).when(F.col("p_size") % 3 == 1, F.get(F.split(kind, " "), F.lit(1))).otherwise(F.lit(" - "))
+    return t.part.select("p_partkey", tx.contains_identity(said, want).alias("named"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as tx
 from plumbline.operators import advisories, aggregates, facts, joins, links, power, ranges, selection, sequences
 from plumbline.sources import html, storage
 
@@ -210,3 +211,31 @@ def test_sources_of_one_event_count_once(spark):
     rows = [("a", "recall", "active", "verified", "e", "s1"), ("b", "recall", "active", "verified", "e", "s2"), ("c", "recall", "active", "verified", None, "s3")]
     ev = spark.createDataFrame(rows, "id string, type string, status string, verification_status string, event_key string, source_key string")
     assert advisories.assess(adv, ev).first().independent_sources == 2
+
+
+def test_bindings_of_two_interfaces(spark):
+    candidates = spark.createDataFrame([(1,), (2,), (3,)], "i int")
+    ports = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r")], "i int, port string")
+    paths = spark.createDataFrame([(1, "p", "q", "x"), (1, "p", "q", "y"), (2, "z", "r", "w")], "i int, source string, target string, path string")
+    args = candidates, "i", ["a", "b"], [("m", "a", "b")], ports, paths
+    got = sorted((tuple(r) for r in selection.product_witnesses(*args, 5).collect()), key=str)
+    assert got == sorted(
+        [(1, "p", "p", None), (1, "p", "q", "x"), (1, "p", "q", "y"), (1, "q", "p", None), (1, "q", "q", None), (2, "r", "r", None), (3, None, None, None)], key=str
+    )
+    for bound in (3, 4):
+        with pytest.raises(ValueError, match=str(bound)):
+            selection.product_witnesses(*args, bound)
+
+
+def test_identities_are_bounded(spark):
+    rows = [("x MP-II 48/3000 y", "mp ii 48/3000", True), ("MPII", "MP", False), ("é-MP%20II", "mp_ii", True), ("amp", "mp", False), ("mp amp mp.", "MP", True), ("a.b", "a+b", False), ("axb", "a.b", False),
+            ("x", "", False), ("x", None, False), (None, "x", False), ("100% mp", "mp", True), ("a\\\\Eb c", "a\\\\Eb", True), ("éa", "a", False)]
+    df = spark.createDataFrame(rows, "t string, i string, want boolean").coalesce(1)
+    assert [r.got for r in df.select(tx.contains_identity(F.col("t"), F.col("i")).alias("got")).collect()] == [r[2] for r in rows]
+
+
+def test_semi_join_by_either_key_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, "a", 9), (1, "a", 9), (2, "b", 8), (None, "c", 7), (3, None, 6)], "k int, x string, y int")
+    right = spark.createDataFrame([(1, "q", 1), (5, "b", 8), (None, None, 6), (1, "a", 9)], "k int, x string, y int")
+    got = sorted(tuple(r) for r in joins.either_key_semi(left, right, [["k"], ["x", "y"]]).collect())
+    assert got == [(1, "a", 9), (1, "a", 9), (2, "b", 8)]
