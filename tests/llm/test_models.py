@@ -232,6 +232,39 @@ def test_further_spans_are_found_and_noise_is_left(spark):
     assert clean[0] == "please call my phone [LOCAL_PHONE] today" and clean[159] == "nothing to see here"
 
 
+def iban(country, body):
+    """A valid number of that country: its check digits are what makes the remainder by 97 one."""
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
+def test_further_kinds_and_their_look_alikes(spark):
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, want = [], {}
+
+    def put(text, span, kind):
+        if kind:
+            at = text.index(span)
+            want[len(rows)] = f"{kind}:{at}:{at + len(span)}"
+        rows.append((len(rows), text))
+
+    for k in range(60):
+        good = iban("DE", digits(18))
+        put(f"send it to my bank account {good} please", good, "iban")
+        bad = "ZZ" + good[2:4] + digits(18)
+        put(f"the model number {bad} is sold out", bad, None)
+        ssn = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+        put(f"his social security ssn {ssn} was lost", ssn, "national_id")
+        part = f"000-{rng.randint(10, 99)}-0000"
+        put(f"see section {part} of the order", part, None)
+        name = f"Dr. {rng.choice(['Anna', 'Peter', 'Maria', 'John'])} {rng.choice(['Stone', 'Rivers', 'Hill'])}"
+        put(f"the patient met {name} at noon", name, "person")
+        put(f"nothing personal in line {k}", "", None)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want.get(i, "") for i, _ in rows}
+
+
 def test_very_long_numbers_and_many_spans():
     assert pii.base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
     assert pii.base_spans("1.2.3." + "9" * 5000) == []
