@@ -153,6 +153,12 @@ def record_digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *marked), 256)
 
 
+def canonical_object(entries: Column) -> Column:
+    """JSON of a map with its keys in order, so that equal maps give equal text; null values stay."""
+    pairs = F.array_sort(F.map_entries(entries))
+    return F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
+
+
 def significant(x: Column, digits: int = 3) -> Column:
     """``x`` to that many significant digits; zero stays zero."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))

@@ -20,6 +20,12 @@ def checked(required: Column, known: Column, ok: Column) -> Column:
     )
 
 
+def inferred_checks(asked: Column, given: dict[str, Column]) -> Column:
+    """The names of the checks to make: those asked for, if any are; else those whose condition in ``given`` holds."""
+    held = F.array_compact(F.array(*[F.when(when, F.lit(name_)) for name_, when in given.items()]))
+    return F.when(F.coalesce(F.size(asked) > 0, F.lit(False)), asked).otherwise(held)
+
+
 def within(value: Column, low: Column, high: Column) -> Column:
     return (value >= low) & (value <= high)
 
@@ -250,9 +256,11 @@ def optional_capability(parts: DataFrame, key: list[str], state: str, value: str
     )
 
 
-def tradeoff_facts(parts: DataFrame, key: list[str], numbers: dict[str, str], quantity: str, unit: str, maker: str) -> DataFrame:
+def tradeoff_facts(
+    parts: DataFrame, key: list[str], numbers: dict[str, str], quantity: str, unit: str, maker: str, counts: dict[str, Column] | None = None
+) -> DataFrame:
     """Long facts ``kind, state, value`` per key: totals of value times quantity, unknown where a contributor or the
-    unit is; counts of units and of distinct makers."""
+    unit is; counts of units and of distinct makers; and plain totals of ``counts``, unknown where a contributor is."""
     aggs = []
     for kind, column in numbers.items():
         x = F.col(column) * F.col(quantity)
@@ -260,8 +268,10 @@ def tradeoff_facts(parts: DataFrame, key: list[str], numbers: dict[str, str], qu
         aggs.append(F.when(ok, F.sum(x)).alias(kind))
     aggs.append(F.sum(quantity).cast("double").alias("component_count"))
     aggs.append(F.when(F.count("*") == F.count(maker), F.count_distinct(maker)).cast("double").alias("manufacturer_count"))
+    counts = counts or {}
+    aggs += [F.when(F.count("*") == F.count(c), F.sum(c)).cast("double").alias(kind) for kind, c in counts.items()]
     wide = parts.groupBy(*key).agg(*aggs)
-    kinds = [*numbers, "component_count", "manufacturer_count"]
+    kinds = [*numbers, "component_count", "manufacturer_count", *counts]
     return wide.unpivot(key, kinds, "kind", "value").withColumn(
         "state", F.when(F.col("value").isNull(), F.lit("unknown")).otherwise(F.lit("known"))
     )

@@ -167,19 +167,21 @@ def recommendation_fronts(t: Tables) -> DataFrame:
 
 @bind(
     """WITH p AS (SELECT l_orderkey, CASE WHEN l_tax < 0.078 THEN l_extendedprice END AS cost, l_discount * 100 AS weight, l_quantity AS q, l_linestatus AS unit,
-  CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS maker FROM lineitem),
+  CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS maker, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity ELSE 0 END AS reused, CASE WHEN l_discount < 0.09 THEN l_linenumber END AS paths FROM lineitem),
 w AS (SELECT l_orderkey, CASE WHEN count(*) = count(cost) AND min(unit) = max(unit) THEN sum(cost * q) END AS purchase_cost,
   CASE WHEN min(unit) = max(unit) THEN sum(weight * q) END AS weight, sum(q) AS component_count,
-  CASE WHEN count(*) = count(maker) THEN count(DISTINCT maker) END::DOUBLE AS manufacturer_count FROM p GROUP BY 1),
-u AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR kind IN (purchase_cost, weight, component_count, manufacturer_count)))
+  CASE WHEN count(*) = count(maker) THEN count(DISTINCT maker) END::DOUBLE AS manufacturer_count, sum(reused) AS reuse_existing, CASE WHEN count(*) = count(paths) THEN sum(paths) END::DOUBLE AS selected_power_path_count FROM p GROUP BY 1),
+u AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR kind IN (purchase_cost, weight, component_count, manufacturer_count, reuse_existing, selected_power_path_count)))
 SELECT l_orderkey, kind, CASE WHEN value IS NULL THEN 'unknown' ELSE 'known' END AS state, round(value, 2) AS value FROM u"""
 )
 def tradeoff_facts_long(t: Tables) -> DataFrame:
     parts = t.lineitem.select(
         "l_orderkey", F.when(F.col("l_tax") < 0.078, F.col("l_extendedprice")).alias("cost"), (F.col("l_discount") * 100).alias("weight"),
         F.col("l_quantity").alias("q"), F.col("l_linestatus").alias("unit"), F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("maker"),
+        "l_linenumber", "l_discount",
     )
-    out = sel.tradeoff_facts(parts, ["l_orderkey"], {"purchase_cost": "cost", "weight": "weight"}, "q", "unit", "maker")
+    counts = {"reuse_existing": F.when(F.col("l_linenumber") % 3 == 0, F.col("q")).otherwise(F.lit(0.0)), "selected_power_path_count": F.when(F.col("l_discount") < 0.09, F.col("l_linenumber"))}
+    out = sel.tradeoff_facts(parts, ["l_orderkey"], {"purchase_cost": "cost", "weight": "weight"}, "q", "unit", "maker", counts)
     return out.select("l_orderkey", "kind", "state", F.round("value", 2).alias("value"))
 
 

@@ -405,3 +405,40 @@ def identity_named(t: Tables) -> DataFrame:
     said = said.when(k == 2, F.concat(F.upper(F.replace(kind, F.lit(" "), F.lit("%20"))), F.lit("-x"))).otherwise(F.col("p_type"))
     want = F.when(F.col("p_size") % 3 == 0, kind).when(F.col("p_size") % 3 == 1, F.get(F.split(kind, " "), F.lit(1))).otherwise(F.lit(" - "))
     return t.part.select("p_partkey", tx.contains_identity(said, want).alias("named"))
+
+
+@bind(
+    """WITH g AS (SELECT p_partkey, p_size, list_filter([CASE WHEN p_size % 2 = 0 THEN 'voltage' END, CASE WHEN p_size % 3 = 0 THEN 'current' END, CASE WHEN p_retailprice > 1000 THEN 'power' END,
+  CASE WHEN p_partkey % 5 = 0 THEN 'fit' END, CASE WHEN p_name LIKE '%plate' THEN 'accessory' END], lambda x: x IS NOT NULL) AS held FROM part)
+SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'fit,weight' ELSE array_to_string(held, ',') END AS checks FROM g"""
+)
+def required_checks(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    asked = F.when(s % 10 == 0, F.array(F.lit("fit"), F.lit("weight"))).when(s % 10 == 1, F.array().cast("array<string>"))
+    given = {
+        "voltage": s % 2 == 0, "current": s % 3 == 0, "power": F.col("p_retailprice") > 1000, "fit": F.col("p_partkey") % 5 == 0, "accessory": F.col("p_name").endswith("plate"),
+    }
+    return t.part.select("p_partkey", F.concat_ws(",", sel.inferred_checks(asked, given)).alias("checks"))
+
+
+@bind(
+    """SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda x: NOT list_contains(['hot', 'plate', 'ring', 'red'], x))) = 0 AS supplied,
+  array_to_string(list_filter(string_split(lower(p_name), ' '), lambda x: NOT list_contains(['hot', 'plate', 'ring', 'red'], x)), ',') AS missing FROM part"""
+)
+def required_sets(t: Tables) -> DataFrame:
+    offered = F.array(*map(F.lit, ("HOT", " plate", "Ring", "red")))
+    needed = F.split("p_name", " ")
+    missing = F.array_except(F.transform(needed, lambda x: F.lower(F.trim(x))), F.transform(offered, lambda x: F.lower(F.trim(x))))
+    return t.part.select("p_partkey", sel.contains_all(needed, offered).alias("supplied"), F.concat_ws(",", missing).alias("missing"))
+
+
+@bind(
+    """SELECT l_orderkey, l_linenumber, '{"flag":"' || l_returnflag || '","line":"' || l_linenumber || '","status":' || CASE WHEN l_tax > 0.05 THEN 'null' ELSE '"' || l_linestatus || '"' END || '}' AS canonical FROM lineitem"""
+)
+def canonical_objects(t: Tables) -> DataFrame:
+    status = F.when(~(F.col("l_tax") > 0.05), F.col("l_linestatus"))
+    line = F.col("l_linenumber").cast("string")
+    one = F.create_map(F.lit("status"), status, F.lit("line"), line, F.lit("flag"), F.col("l_returnflag"))
+    other = F.create_map(F.lit("line"), line, F.lit("flag"), F.col("l_returnflag"), F.lit("status"), status)
+    # one object, its members in either order
+    return t.lineitem.select("l_orderkey", "l_linenumber", tx.canonical_object(F.when(F.col("l_partkey") % 2 == 0, one).otherwise(other)).alias("canonical"))
