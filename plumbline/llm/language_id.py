@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,23 +163,30 @@ class Model:
 def fit(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> Model:
     """Learns from rows whose ``text`` and ``lang`` are not null.
 
-    The driver takes one cell per used bucket and language, as it has to hold the matrix that it broadcasts: 256 KB a
-    language.  The number of languages is counted first; a matrix of more than ``MOST_BYTES`` is an error.
+    Tasks turn the counts of one language each, at most one per bucket, into its log probabilities; the driver puts these
+    columns, 256 KB each, side by side, as it has to hold the matrix that it broadcasts.  The number of languages is counted
+    first; a matrix of more than ``MOST_BYTES`` is an error.
     """
-    counts = count_ngrams(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), bits)
-    counts = cut(counts)
+    counts = cut(count_ngrams(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), bits))
     texts = {r["lang"]: r["n"] for r in counts.where(F.col("bucket") == -1).limit(MOST_BYTES >> (bits + 2)).collect()}
     langs = sorted(texts)
     if (len(langs) + 1) << (bits + 2) > MOST_BYTES:
         raise ValueError(f"a matrix of {len(langs)} languages or more passes {MOST_BYTES} bytes; use fewer buckets")
-    matrix = np.full(((1 << bits) + 1, len(langs)), smoothing)
-    cells = counts.where(F.col("bucket") >= 0).toPandas()
-    matrix[cells["bucket"], pd.Categorical(cells["lang"], langs).codes] += cells["n"]
-    matrix[-1] = 0
-    total = matrix.sum(axis=0)
-    matrix[-1] = total  # so that its logarithm comes out as 0
+
+    def log_probabilities(cells: pa.Table) -> pa.Table:
+        n = np.full(1 << bits, smoothing)
+        bucket = cells["bucket"].to_numpy()
+        used = bucket >= 0
+        n[bucket[used]] += cells["n"].to_numpy()[used]
+        column = np.log(n / n.sum()).astype("<f4").tobytes()
+        return pa.table({"lang": cells["lang"][:1], "column": pa.array([column], pa.binary())})
+
+    weights = np.zeros(((1 << bits) + 1, len(langs)), np.float32)
+    at = {x: k for k, x in enumerate(langs)}
+    for r in counts.groupBy("lang").applyInArrow(log_probabilities, "lang string, column binary").toLocalIterator():
+        weights[:-1, at[r["lang"]]] = np.frombuffer(r["column"], "<f4")
     prior = np.array([texts[x] for x in langs], float) + smoothing
-    return Model(langs, np.log(prior / prior.sum()), (np.log(matrix) - np.log(total)).astype(np.float32))
+    return Model(langs, np.log(prior / prior.sum()), weights)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -214,3 +214,19 @@ def test_similar_pairs_with_passages_that_many_texts_share(spark):
     got = {(r.a, r.b) for r in spotsigs.similar_pairs(df).collect()}
     near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) - 1e-12
     assert got == {(b, a) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])}
+
+
+def test_windows_compared_by_words_give_the_same_counts(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(3, 40))) for _ in range(200)] + ["x y z", "x x x x", "a b c a b c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", qr._repeat_words_by_sorting(F.split("text", " ")).alias("slow")).collect()
+    assert [r.slow for r in got] == [measure(r.text)[4] for r in got]
+    # a hash of no bits makes all windows twins, so that the words decide
+    words, none = F.split("text", " "), F.lit(0).cast("long")
+    windows = qr._windows_of(words, none)
+    forced = df.withColumns({"w": words, "x": windows, "t": qr._twins_of(windows, none)}).withColumn("s", qr._starts_of(F.col("x"), F.col("t"), F.lit(-1).cast("long")))
+    out = forced.select("text", qr._repeat_words(F.col("w"), F.col("x"), F.col("t"), F.col("s"), F.lit(-1).cast("long")).alias("n")).collect()
+    assert [r.n for r in out] == [measure(r.text)[4] for r in out]
