@@ -125,7 +125,11 @@ def _repeat_words_by_sorting(words: Column) -> Column:
 
 def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the counts and ratios that rules speak of; names get ``prefix``.  Null text counts as empty; ratios
-    without a word are 0."""
+    without a word are 0.
+
+    The measures of a row leave through an array of one element, which no filter on them is pushed below: pushed down,
+    it would carry copies of the steps that it depends on, nested in each other.
+    """
     p = prefix
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [f"{p}_{c}" for c in ("words", "lines", "low", "high", "windows", "twins", "starts")]
@@ -155,7 +159,9 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     counted = docs
     for step in steps:
         counted = counted.withColumns(step)
-    counted = counted.drop(*own)
+    found = [c for step in steps for c in step if c not in own]
+    carried = [c for c in docs.columns if c not in found]
+    counted = counted.select(*carried, F.inline(F.array(F.struct(*found))))
 
     def ratio(over: str, under: str) -> Column:
         return F.coalesce(F.try_divide(F.col(p + over).cast("double"), F.col(p + under)), F.lit(0.0))
