@@ -36,7 +36,8 @@ INSULTS = frozenset(
     "jerk creep garbage filth vermin ugly hate kill shut idiotic imbecile".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_LONG_RUN = re.compile(r"([^\W\d_])\1{3}")
+_LETTER = re.compile(r"[^\W\d_]")
+_LONG_RUN = re.compile(r"(.)\1{3}")
 _SHOUT = re.compile(r"!{2,}")
 
 _SAMPLED = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
@@ -56,6 +57,11 @@ def _repeats(word: str) -> list[str]:
     return [f"m{k}:{word[:k]}" for k in (4, 5, 6, 7) if len(word) > k]
 
 
+def _stretched(text: str) -> bool:
+    """Whether a letter stands four times in a row."""
+    return any(_LETTER.match(m[1]) for m in _LONG_RUN.finditer(text))
+
+
 def _words(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
@@ -177,25 +183,29 @@ def vote(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = ()) -> Dat
             seen[kind] += 1
         first = len(_VOTER_OF)
         insult, aimed, twice, shout, stretched = (1 << (first + k) for k in range(5))
-        known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        # words looked up so far, and the places in the lexicon of those that have any
+        known: set[str] = set()
+        hitting: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
         out = Writer(schema)
         for doc_id, out_of_fit, text, *kept in rows(batches, "doc_id", "held_out", "text", *keep):
             words = _words(text)
+            distinct = set(words)
+            new = distinct - known
+            if len(known) + len(new) > 1_000_000:
+                known, new, hitting = set(), distinct, {}
+            known |= new
+            for w in new:
+                own = tuple(place[f] for f in _features(w) if f in place)
+                again = tuple(place[f] for f in _repeats(w) if f in place)
+                if own or again:
+                    hitting[w] = own, again
             hits: set[int] = set()
             repeats: Counter = Counter()
-            for w, n in words.items():
-                at = known.get(w)
-                if at is None:
-                    if len(known) >= 500_000:
-                        known.clear()
-                    at = known[w] = (
-                        tuple(place[f] for f in _features(w) if f in place),
-                        tuple(place[f] for f in _repeats(w) if f in place),
-                    )
-                if at[0]:
-                    hits.update(at[0])
-                for i in at[1]:
-                    repeats[i] += n
+            for w in distinct & hitting.keys():
+                own, again = hitting[w]
+                hits.update(own)
+                for i in again:
+                    repeats[i] += words[w]
             hits.update(i for i, n in repeats.items() if n > 1)
             votes = 0
             for i in hits:
@@ -206,7 +216,7 @@ def vote(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = ()) -> Dat
                 votes |= twice
             if len(_SHOUT.findall(text)) > 2:
                 votes |= shout
-            if _LONG_RUN.search(text):
+            if _stretched(text):
                 votes |= stretched
             yield from out.add((doc_id, out_of_fit, votes, sorted(hits), *kept))
         yield from out.flush()
