@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     best_fit_packing,
     byte_bpe,
+    centroid_clustering,
+    chat_formatting,
     histogram_sharding,
     language_id,
     ngram_jaccard_join,
+    periodic_runs,
     pii,
     quality_classifier,
     quality_rules,
@@ -32,8 +35,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_ngram_jaccard_join": ngram_jaccard_join.op9_ngram_jaccard_join,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_chat_formatting": chat_formatting.op12_chat_formatting,
+        "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+        "op12_chat_formatting": chat_formatting.ORACLE_SQL,
+        "op13_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    }

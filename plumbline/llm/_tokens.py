@@ -7,11 +7,14 @@ import hashlib
 from dataclasses import dataclass
 
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 PATTERN = public_tokenizers.PATTERN
+#: Code points from which on a text is encoded match by match: the encoder's own splitter may overflow its stack on a long run.
+LONG = 100_000
 _encoders: dict[tuple, tiktoken.Encoding] = {}
 
 
@@ -44,3 +47,10 @@ def encoder(vocabulary: Broadcast, special: tuple[tuple[str, int], ...] = ()) ->
             "ranks", pat_str=PATTERN, mergeable_ranks=vocabulary.value.ranks, special_tokens=dict(special)
         )
     return _encoders[key]
+
+
+def ordinary_ids(text: str, bpe: tiktoken.Encoding) -> list[int]:
+    """The ids of a text of any length, each match of the pattern separately; control strings are ordinary text."""
+    if len(text) < LONG:
+        return bpe.encode_ordinary(text)
+    return [i for m in regex.finditer(PATTERN, text) for i in bpe._encode_single_piece(m[0])]
