@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._labels import SAMPLE, logistic, sample_labels
+from ._labels import SAMPLE, logistic, sample_labels, share
 from ._storage import cut, held_out, table
 from .quality_rules import measures
 
@@ -105,7 +105,7 @@ def classify(
     """``doc_id, held_out, score, predicted, evidence, host_posterior, site_posterior`` of every row of ``docs``.
 
     ``score`` is the probability of good quality, ``evidence`` the classifier's alone, fitted on about ``sample``
-    labelled rows outside the held-out fold; the posteriors are those of a document's host and site without the document.
+    labelled rows (that differ in id or features) outside the held-out fold; the posteriors are those of a document's host and site without the document.
     ``host`` and ``path`` are columns of ``docs``; rows with a null host or
     path form sites of their own.  Null text is empty.  Without labels the evidence is 0.5.  Repeated rows are scored
     alike.  An empty table gives an empty result; further columns are not read.
@@ -125,14 +125,17 @@ def classify(
             *[F.expr(f).cast("double").alias(f"f{i}") for i, f in enumerate(FEATURES)],
         )
     )
-    # about `sample` rows of two numbers, whatever the size of the tables
+    # about `sample` rows of two numbers, one for each id; of an id's rows, equal ones are one row with a weight
     chosen = F.broadcast(sample_labels(labels, "quality", sample))
     names = [f"f{i}" for i in range(len(FEATURES))]
-    rows = measured.join(chosen, "doc_id").select("label", *names).toPandas()
+    labelled = measured.join(chosen, "doc_id").groupBy("doc_id", "label", *names).agg(F.count("*").alias("n"))
+    labelled = labelled.where(share(sample, labelled.count(), "doc_id", *names))
+    rows = labelled.groupBy("label", *names).agg(F.sum("n").alias("n")).toPandas()
     if rows["label"].nunique() == 2:
-        x = rows[names].to_numpy()
-        center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        w = logistic(np.column_stack([np.ones(len(x)), (x - center) / scale]), rows["label"].to_numpy(float), np.ones(len(x)))
+        x, n = rows[names].to_numpy(), rows["n"].to_numpy(float)
+        center = np.average(x, axis=0, weights=n)
+        scale = np.sqrt(np.average((x - center) ** 2, axis=0, weights=n)) + 1e-9
+        w = logistic(np.column_stack([np.ones(len(x)), (x - center) / scale]), rows["label"].to_numpy(float), n)
         slope, constant = w[1:] / scale, w[0] - (w[1:] / scale) @ center
     else:
         slope, constant = np.zeros(len(names)), 0.0

@@ -7,7 +7,6 @@ other, from the votes on all documents; a linear classifier is trained on its po
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,12 +21,11 @@ from ._labels import SAMPLE, sample_labels, share
 from ._storage import cut, held_out, table
 from .ngram_jaccard_join import shingles
 
-#: Entries of the learned lexicon; their least log odds; the share of entries that may be there by chance.
-LEXICON = 4096
+#: Least log odds of entries of the learned lexicon; the share of entries that may be there by chance.
 LOG_ODDS = 2.5
 CHANCE = 0.1
-#: Entries found in more documents of the sample than that are typical or not by their log odds alone.
-COMMON = 100
+#: Entries that a lexicon may have, as it is broadcast; more are an error.
+MOST_ENTRIES = 1 << 20
 #: Voters over the learned lexicon: entries of each kind are dealt to that many voters, the most typical to the first.
 FOLDS_OF = {"w": 4, "b4": 2, "b5": 3, "b6": 3, "b7": 2, "b8": 2, "m4": 2, "m5": 2, "m6": 2, "m7": 2}
 #: Plain insults of general English, a voter of its own.
@@ -79,8 +77,9 @@ _VOTER_OF = _voter_of()
 VOTERS = len(_VOTER_OF) + 5
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> list[str]:
-    """The features most typical of toxic rows of ``sample`` (``doc_id, text, label``), most typical first.
+def learn_lexicon(sample: DataFrame) -> list[str]:
+    """The features typical of toxic rows of ``sample`` (``doc_id, text, label``), most typical first: those with log odds of at
+    least ``LOG_ODDS`` that, at their number of documents, no more than a share ``CHANCE`` would be by chance.
 
     Near copies would lend their every word the support of many documents, so one row is kept of those that share the
     least n-gram hash.
@@ -130,42 +129,49 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> list[str]:
     if totals is None or not totals["toxic"] or not totals["clean"]:
         return []
     found = found.where(F.col("feature") != "")
-    histogram = found.where(F.col("df") <= COMMON).groupBy("kind", "df", "toxic").count().collect()
+    histogram = found.groupBy("kind", "df", "toxic").count().collect()  # no more than the sample's features
     rate = totals["toxic"] / totals["df"]
-    least = {kind: [COMMON + 1] * (COMMON + 1) for kind in FOLDS_OF}
-    for kind, df, toxic in _beyond_chance([tuple(r) for r in histogram], rate):
-        least[kind][df] = toxic
-    need = F.lit(COMMON + 1)
-    for kind, by_df in least.items():
-        need = F.when(F.col("kind") == kind, F.get(F.array(*map(F.lit, by_df)), F.col("df").cast("int"))).otherwise(need)
+    least = found.sparkSession.createDataFrame(
+        _beyond_chance([tuple(r) for r in histogram], rate), "kind string, df long, least long"
+    )
     odds = F.log((F.col("toxic") + 0.1) / (totals["toxic"] + 0.2)) - F.log(
         (F.col("clean") + 0.1) / (totals["clean"] + 0.2)
     )
     chosen = (
-        found.withColumn("odds", odds)
-        .where((F.col("odds") >= LOG_ODDS) & ((F.col("df") > COMMON) | (F.col("toxic") >= need)))
-        .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature")
-        .limit(size)
+        found.join(least, ["kind", "df"])
+        .withColumn("odds", odds)
+        .where((F.col("odds") >= LOG_ODDS) & (F.col("toxic") >= F.col("least")))
+        .select("feature", (F.col("odds") * F.log1p("toxic")).alias("weight"))
     )
-    return [r["feature"] for r in chosen.collect()]
+    chosen = cut(chosen)
+    if (there := chosen.count()) > MOST_ENTRIES:
+        raise ValueError(f"a lexicon of {there} entries is too large to broadcast")
+    return [r["feature"] for r in chosen.orderBy(F.desc("weight"), "feature").collect()]
 
 
-def _beyond_chance(histogram: list[tuple[str, int, int, int]], rate: float) -> Iterator[tuple[str, int, int]]:
+def _beyond_chance(histogram: list[tuple[str, int, int, int]], rate: float) -> list[tuple[str, int, int]]:
     """(kind, df, least toxic documents): of the features of that kind and document frequency with as many toxic
     documents, no more than ``CHANCE`` would be expected if toxic documents, a share ``rate`` of all, were drawn blindly.
+    Tails are summed in logarithms, so one rule holds at every frequency.
     """
     by: dict[tuple[str, int], dict[int, int]] = {}
     for kind, df, toxic, n in histogram:
         by.setdefault((kind, df), {})[toxic] = n
+    most = max((df for _, df in by), default=0)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    found = []
     for (kind, df), counts in by.items():
-        there, tail, observed, least = sum(counts.values()), 0.0, 0, None
-        for t in range(df, 0, -1):
-            tail += math.comb(df, t) * rate**t * (1 - rate) ** (df - t)
-            observed += counts.get(t, 0)
-            if observed and there * tail <= CHANCE * observed:
-                least = t
+        t = np.arange(df + 1)
+        log = factorial[df] - factorial[t] - factorial[df - t] + t * np.log(rate) + (df - t) * np.log1p(-rate)
+        tail = np.exp(np.logaddexp.accumulate(log[::-1])[::-1])
+        there, observed, least = sum(counts.values()), 0, None
+        for toxic in sorted(counts, reverse=True):
+            observed += counts[toxic]
+            if toxic and there * tail[toxic] <= CHANCE * observed:
+                least = toxic
         if least:
-            yield kind, df, least
+            found.append((kind, df, least))
+    return found
 
 
 def vote(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -291,8 +297,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(log, -30, 30)))
 
 
-def train_linear(hits: list, y: np.ndarray, size: int, steps: int = 300, l2: float = 1e-5) -> tuple[float, np.ndarray]:
-    """Constant and weights of a logistic regression on the presence of lexicon entries, by Adam over all rows."""
+def train_linear(
+    hits: list, y: np.ndarray, size: int, n: np.ndarray | None = None, steps: int = 300, l2: float = 1e-5
+) -> tuple[float, np.ndarray]:
+    """Constant and weights of a logistic regression on the presence of lexicon entries, by Adam over all rows, each of
+    which stands for ``n`` (one, if not given)."""
+    share_of = np.full(len(hits), 1 / max(len(hits), 1)) if n is None else n / n.sum()
     lengths = np.array([len(h) for h in hits])
     column = np.concatenate([np.asarray(h, np.int64) for h in hits]) if lengths.sum() else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(hits)), lengths)
@@ -300,13 +310,33 @@ def train_linear(hits: list, y: np.ndarray, size: int, steps: int = 300, l2: flo
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         z = w[-1] + np.bincount(row, w[column], len(hits))
-        gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(np.bincount(column, gap[row], size), gap.sum()) / len(hits) + l2 * w
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share_of
+        g = np.append(np.bincount(column, gap[row], size), gap.sum()) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(w[-1]), w[:-1]
 
 
+def _linear_scores(voted: DataFrame, constant: float, weights: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+    """``voted`` with the classifier's ``score`` of its ``hits``; the weights are broadcast."""
+    shared = voted.sparkSession.sparkContext.broadcast(weights)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, hits = batch.columns
+            flat = hits.flatten().to_numpy(zero_copy_only=False)
+            lengths = np.diff(hits.offsets.to_numpy())
+            row = np.repeat(np.arange(len(hits)), lengths)
+            z = constant + np.bincount(row, shared.value[flat], len(hits))
+            score = pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            yield pa.RecordBatch.from_arrays([*others, score], names=[*batch.schema.names[:-1], "score"])
+
+    binary = "".join(f", {c} binary" for c in keep)
+    return voted.select("doc_id", "held_out", *keep, "hits").mapInArrow(
+        scores, f"doc_id long, held_out boolean{binary}, score double"
+    )
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -317,8 +347,8 @@ def score(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text; score is the probability of the label 1.
 
-    The lexicon and the classifier are fitted on about ``sample`` rows each, none of them held out; the label model on the votes
-    on all documents.  Null text is empty and, like any text without an entry of the lexicon, has the score of the
+    The lexicon is fitted on the rows of about ``sample`` labelled ids, the classifier on about ``sample`` rows that differ in id, votes
+    or hits, none of them held out; the label model on the votes on all documents.  Null text is empty and, like any text without an entry of the lexicon, has the score of the
     classifier's constant.  Without labels, or without toxic ones, every score is 0.  Repeated rows are scored alike; a
     null id counts as held out.  An empty table gives an empty result; further columns are not read, but the binary ones named by
     ``keep`` follow ``doc_id, held_out``.
@@ -329,7 +359,7 @@ def score(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *keep,
     )
-    # about `sample` rows of two numbers, whatever the size of the tables
+    # about `sample` rows of two numbers, one for each id
     chosen = F.broadcast(cut(sample_labels(labels, "toxic", sample)))
     lexicon = learn_lexicon(slim.join(chosen, "doc_id").select("doc_id", "text", "label"))
     voted = cut(vote(slim, lexicon, keep))
@@ -351,13 +381,13 @@ def score(
     model = LabelModel(n, pairs, hits1 / n1 - hits0 / n0, min(max(n1 / (n1 + n0), 1e-3), 0.5))
 
     fold = voted.where(~F.col("held_out"))
-    kept = fold.where(share(sample, int(n * 0.8), "doc_id")).select("votes", "hits").toPandas()
-    constant, weights = train_linear(kept["hits"].tolist(), model.posterior(kept["votes"].to_numpy()), len(lexicon))
-    table_of = F.array(*[F.lit(float(w)) for w in weights])
-    z = F.aggregate("hits", F.lit(constant), lambda s, i: s + F.get(table_of, i))
-    return voted.select("doc_id", "held_out", *keep, (1 / (1 + F.exp(-z))).alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    # repeated rows go or stay together and are one row with a weight, so that about `sample` rows reach the driver
+    key = ("doc_id", "votes", "hits")
+    there = fold.agg(F.approx_count_distinct(F.xxhash64(*key), 0.02).alias("n")).first()["n"]
+    kept = fold.where(share(sample, there, *key)).groupBy("votes", "hits").agg(F.count("*").alias("n")).toPandas()
+    posterior = model.posterior(kept["votes"].to_numpy())
+    constant, weights = train_linear(kept["hits"].tolist(), posterior, len(lexicon), kept["n"].to_numpy(float))
+    return _linear_scores(voted, constant, weights, keep).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
