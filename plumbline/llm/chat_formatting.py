@@ -319,9 +319,9 @@ def format_conversations(
     contents = encoded.groupBy("digest").agg(F.first(F.struct("ids", "loss_from", "loss_to")).alias("c"))
     nodes = laid.where(~F.col("leaf")).join(contents, "digest").select(*_NODE, "c.ids", "c.loss_from", "c.loss_to")
     places = laid.where("leaf").select("node", "tree", "places")
-    return nodes, listed.select("conv_id", "n_turns", "node").join(places, "node").select(
-        "conv_id", "n_turns", "tree", "node", "places"
-    )
+    where = listed.select("conv_id", "n_turns", "node").join(places, "node").select("conv_id", "n_turns", "tree", "node", "places")
+    # a table of its own, so that a conversation that very many share is a skewed join here and in what follows
+    return nodes, cut(where)
 
 
 def training_rows(nodes: DataFrame) -> DataFrame:
