@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,33 @@ def common_targets(df: DataFrame, key: list[str], member: str, target: str) -> D
     members = pairs.select(*key, member).distinct().groupBy(*key).agg(F.count("*").alias("_all"))
     have = pairs.where(F.col(target).isNotNull()).groupBy(*key, target).agg(F.count("*").alias("_n"))
     return have.join(members, key).where(F.col("_n") == F.col("_all")).select(*key, target)
+
+
+def verified_artifacts(artifacts: DataFrame, references: DataFrame, id_col: str, claimed: str, actual: str) -> DataFrame:
+    """``id_col, state`` and ``round`` of artifacts that name others by digest.
+
+    ``references`` are ``id_col, target, digest``.  An artifact is ``altered`` where its ``claimed`` digest is not the ``actual`` one (an unknown one
+    is none), ``dangling`` where a target is missing or now has another digest than the reference names, ``unsupported`` where one that it rests
+    on, at any distance, is none of the sound ones, and else ``verified``.  ``round`` is the distance of the nearest fault (0: its own; null: none).
+
+    One join per step away from a fault, of the artifacts reached last with the references; so rounds grow with the depth of
+    the graph only, and cycles end.  Repeated references count once; ids are unique.
+    """
+    links = cut(references.select(F.col(id_col).alias("id"), "target", "digest").distinct())
+    own = artifacts.select(F.col(id_col).alias("id"), F.coalesce(F.col(claimed) == F.col(actual), F.lit(False)).alias("whole"), F.col(actual).alias("is"))
+    targets = own.select(F.col("id").alias("target"), "is")
+    fits = F.coalesce(F.col("digest") == F.col("is"), F.lit(False))
+    loose = links.join(targets, "target", "left").where(~fits).select("id").distinct().withColumn("loose", F.lit(True))
+    first = F.when(~F.col("whole"), F.lit("altered")).when(F.col("loose"), F.lit("dangling"))
+    states = cut(own.join(loose, "id", "left").select("id", first.alias("state"), F.when(first.isNotNull(), 0).alias("round")))
+    found = reached = cut(states.where("round = 0").select("id"))
+    steps, distance = [], 0
+    while not reached.isEmpty():
+        distance += 1
+        above = links.join(reached.withColumnRenamed("id", "target"), "target").select("id").distinct()
+        reached = cut(above.join(found, "id", "left_anti"))
+        found = cut(found.unionByName(reached))
+        steps.append(reached.withColumn("away", F.lit(distance)))
+    away = reduce(DataFrame.unionByName, steps) if steps else found.withColumn("away", F.lit(None).cast("int"))
+    state = F.coalesce("state", F.when(F.col("away").isNotNull(), F.lit("unsupported")).otherwise(F.lit("verified")))
+    return states.join(away, "id", "left").select(F.col("id").alias(id_col), state.alias("state"), F.coalesce("round", "away").alias("round"))

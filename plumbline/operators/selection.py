@@ -176,13 +176,23 @@ def witness_status(witnesses: DataFrame, key: list[str], gates: list[str]) -> Da
     )
 
 
-def tiered_pairs(options: DataFrame, group: list[str], id_col: str, tiers: list[list[tuple[str, bool]]]) -> DataFrame:
-    """All pairs a < b of a group (which policy bounds), compared tier by tier: ``relation`` of a to b and
-    ``decisive_tier``.
+#: Options of a group that are compared with one another, at most.
+MOST_OPTIONS = 1024
+
+
+def tiered_pairs(
+    options: DataFrame, group: list[str], id_col: str, tiers: list[list[tuple[str, bool]]], most: int = MOST_OPTIONS
+) -> DataFrame:
+    """All pairs a < b of a group, compared tier by tier: ``relation`` of a to b and ``decisive_tier``.
+
+    A group of more than ``most`` options is an error, as its pairs grow with the square; the sizes are counted before.
 
     A criterion is (column, maximise).  In a tier, an unknown value or wins on both sides are incomparable; the first
     tier that is not tied decides.
     """
+    largest = options.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group of {largest} options is beyond the {most} that are compared pair by pair")
     facts = sorted({c for tier in tiers for c, _ in tier})
     left = options.select(*group, F.col(id_col).alias("a"), *[F.col(c).alias(f"_l_{c}") for c in facts])
     right = options.select(*group, F.col(id_col).alias("b"), *[F.col(c).alias(f"_r_{c}") for c in facts])

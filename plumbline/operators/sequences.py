@@ -203,3 +203,28 @@ def ordinals(df: DataFrame, parent: list[str], tag: str, order: list[str], name:
     """``df`` with the place of each row among those of its tag within its parent, from 1, in document order.  A parent is one
     page or conversation, whose rows of one tag are what a task sorts."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*parent, tag).orderBy(*order)))
+
+
+def demand_backwards(
+    edges: DataFrame, key: list[str], order: list[str], demand: str, usable: str, converts: str, efficiency: str, rating: str, to_limit: str, from_limit: str
+) -> DataFrame:
+    """Edges of routes with ``to_w, from_w`` and ``status``: what the demand at a route's end asks of both ends of each edge.
+
+    Along the route backwards, an edge that converts asks for its output over its efficiency; others pass on what they
+    get.  An edge that is not usable, an efficiency that is unknown or not in (0, 1], and an unknown demand make the power unknown there and in
+    all edges before.  An edge is ``blocked`` where a known power is beyond the limit of an end or a converter's rating, else ``unresolved`` where
+    the power, or the rating of a converter, is unknown; unknown limits of ends ask for nothing.  The edges of one route are in one task.
+    """
+    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    here, after = back.rowsBetween(Window.unboundedPreceding, 0), back.rowsBetween(Window.unboundedPreceding, -1)
+    converting = F.coalesce(F.col(converts), F.lit(False))
+    sound = F.coalesce((F.col(efficiency) > 0) & (F.col(efficiency) <= 1), F.lit(False)) | ~converting
+    out = edges.withColumns({"_factor": F.when(converting & sound, F.col(efficiency)).otherwise(F.lit(1.0)), "_sound": sound})
+    known = F.bool_and(F.coalesce(F.col(usable), F.lit(False))).over(here) & F.coalesce(F.bool_and("_sound").over(after), F.lit(True))
+    asked = F.col(demand) / F.coalesce(F.product("_factor").over(after), F.lit(1.0))
+    out = out.withColumn("to_w", F.when(known, asked)).withColumn("from_w", F.when(F.col("_sound"), F.col("to_w") / F.col("_factor")))
+    beyond = lambda w, limit: F.coalesce(F.col(w) > F.col(limit), F.lit(False))
+    blocked = beyond("to_w", to_limit) | beyond("from_w", from_limit) | (converting & beyond("to_w", rating))
+    open_ = F.col("from_w").isNull() | (converting & F.col(rating).isNull())
+    status = F.when(blocked, F.lit("blocked")).when(open_, F.lit("unresolved")).otherwise(F.lit("satisfied"))
+    return out.withColumn("status", status).drop("_factor", "_sound")

@@ -496,3 +496,29 @@ def system_worst_status(t: Tables) -> DataFrame:
     return parts.groupBy("c_custkey").agg(
         worst(F.col("severity"), SEVERITY, "CONDITIONAL").alias("severity"), F.count("severity").alias("subsystems")
     )
+
+
+@bind(
+    f"""WITH RECURSIVE {_EVENTS_SQL}, r AS (SELECT user_id, day, event_id, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS k, 100.0::DOUBLE + user_id % 50 AS demand,
+  event_id % 23 <> 0 AS usable, event_id % 3 = 0 AS converts, CASE WHEN event_id % 19 <> 0 THEN (80 + event_id % 22) / 100.0::DOUBLE END AS eff, CASE WHEN event_id % 5 <> 0 THEN 100.0 + event_id % 200 END AS rating,
+  CASE WHEN event_id % 2 = 0 THEN value * 4 END AS to_limit, CASE WHEN event_id % 4 = 1 THEN value * 5 END AS from_limit FROM e),
+w AS (
+  SELECT user_id, day, NULL::BIGINT AS event_id, 0::BIGINT AS k, NULL::DOUBLE AS to_w, demand AS from_w, NULL::VARCHAR AS status FROM r WHERE k = 1
+  UNION ALL
+  SELECT user_id, day, event_id, k, to_w, from_w, CASE WHEN coalesce(to_w > to_limit, false) OR coalesce(from_w > from_limit, false) OR (converts AND coalesce(to_w > rating, false)) THEN 'blocked'
+    WHEN from_w IS NULL OR (converts AND rating IS NULL) THEN 'unresolved' ELSE 'satisfied' END
+  FROM (SELECT *, CASE WHEN NOT converts THEN to_w WHEN eff > 0 AND eff <= 1 THEN to_w / eff END AS from_w
+    FROM (SELECT r.*, CASE WHEN usable THEN w.from_w END AS to_w FROM w JOIN r ON r.user_id = w.user_id AND r.day = w.day AND r.k = w.k + 1))
+)
+SELECT event_id, round(to_w, 6) AS to_w, round(from_w, 6) AS from_w, status FROM w WHERE k > 0"""
+)
+def backward_demand(t: Tables) -> DataFrame:
+    """Events of a user's day as the edges of a route."""
+    k = F.col("event_id")
+    edges = event_power(t.events).select(
+        *EVENT_KEY, *EVENT_ORDER, (F.lit(100.0) + F.col("user_id") % 50).alias("demand"), (k % 23 != 0).alias("usable"), (k % 3 == 0).alias("converts"),
+        F.when(k % 19 != 0, (80 + k % 22) / 100).alias("eff"), F.when(k % 5 != 0, 100.0 + k % 200).alias("rating"),
+        F.when(k % 2 == 0, F.col("value") * 4).alias("to_limit"), F.when(k % 4 == 1, F.col("value") * 5).alias("from_limit"),
+    )
+    out = sequences.demand_backwards(edges, EVENT_KEY, EVENT_ORDER, "demand", "usable", "converts", "eff", "rating", "to_limit", "from_limit")
+    return out.select("event_id", F.round("to_w", 6).alias("to_w"), F.round("from_w", 6).alias("from_w"), "status")
