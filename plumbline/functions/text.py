@@ -257,3 +257,64 @@ def read_only_url(url: Column) -> Column:
 
     in_query = F.exists(F.split(query, "&"), acts)
     return F.when(url.isNotNull(), absolute & ~F.coalesce(in_path, F.lit(True)) & ~in_query)
+
+
+#: Strings, numbers and what stands between them, in a JSON text.  No part goes back, so long strings take no stack.
+_JSON_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
+def _portable_numbers(tokens: Column) -> Column:
+    """The tokens, numbers among them as the fewest digits that name the same double: plain from 1e-6 to below 1e21, else with an
+    exponent.  Each step is an array of its own, so that nothing is worked out twice."""
+    lit = F.lit
+    read = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.when(t.rlike("^-?[0-9]"), t.try_cast("double")).alias("x")))
+    read = F.transform(read, lambda r: F.struct(r["t"].alias("t"), r["x"].alias("x"), F.format_string("%.16e", F.abs(r["x"])).alias("e")))
+    read = F.transform(
+        read,
+        lambda r: F.struct(
+            r["t"].alias("t"), r["x"].alias("x"), F.substring_index(r["e"], "e", -1).try_cast("int").alias("power"),
+            F.replace(F.substring_index(r["e"], "e", 1), lit("."), lit("")).try_cast("long").alias("all"),
+        ),
+    )
+
+    def fewest(r: Column) -> Column:
+        named = []
+        for n in (15, 16):
+            unit = 10 ** (17 - n)
+            low, rest = F.left(r["all"].cast("string"), lit(n)).try_cast("long"), r["all"] % unit
+            near = F.when(2 * rest >= unit, low + 1).otherwise(low)
+            for c in (near, 2 * low + 1 - near):
+                same = F.concat(c.cast("string"), lit("e"), r["power"] - n + 1).try_cast("double") == F.abs(r["x"])
+                named.append(F.when(same, c.cast("string")))
+        return F.regexp_replace(F.coalesce(*named, r["all"].cast("string")), "0+$", "")
+
+    read = F.transform(read, lambda r: F.struct(r["t"].alias("t"), r["x"].alias("x"), r["power"].alias("power"), fewest(r).alias("digits")))
+
+    def spelled(r: Column) -> Column:
+        digits, power, n = r["digits"], r["power"], F.length(r["digits"])
+        fraction = F.when(n > 1, F.concat(lit("."), F.substr(digits, lit(2)))).otherwise(lit(""))
+        plain = (
+            F.when(r["x"] == 0, lit("0"))
+            .when((power >= 21) | (power < -6), F.concat(F.left(digits, lit(1)), fraction, lit("e"), F.when(power > 0, lit("+")).otherwise(lit("")), power))
+            .when(power < 0, F.concat(lit("0."), F.repeat(lit("0"), -power - 1), digits))
+            .when(n - 1 <= power, F.concat(digits, F.repeat(lit("0"), power - n + 1)))
+            .otherwise(F.concat(F.substr(digits, lit(1), power + 1), lit("."), F.substr(digits, power + 2)))
+        )
+        return F.when(r["x"].isNull(), r["t"]).otherwise(F.concat(F.when(r["x"] < 0, lit("-")).otherwise(lit("")), plain))
+
+    return F.transform(read, spelled)
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of every object in order of their UTF-16 units, at every depth, without blanks, and with
+    one spelling of each number and string; so equal values have equal texts, whatever order and spelling they came in.
+
+    Arrays keep their order.  Null where the text is null, no JSON, deeper than 1,000 levels, has a key twice, or a number
+    beyond a double.  Numbers are doubles, as they are to most readers.
+    """
+    numeric = lambda t: t.rlike("^-?[0-9]")
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(_JSON_TOKENS), F.lit(0))
+    beyond = F.exists(tokens(text), lambda t: numeric(t) & (F.abs(t.try_cast("double")) == float("inf")))
+    sorted_keys = F.to_json(F.try_parse_json(text))
+    spelled = F.array_join(_portable_numbers(tokens(sorted_keys)), "")
+    return F.when(~beyond, spelled)

@@ -1,10 +1,11 @@
-"""Tables, lines and grids of pages, bound to the supplied tables."""
+"""Tables, lines and grids of pages, and nested JSON, bound to the supplied tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import layout
 from ._registry import Tables, bind
 
@@ -106,3 +107,22 @@ def grid_cells(t: Tables) -> DataFrame:
     sides = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
     boxes = _boxes(t).groupBy("l_suppkey", "id").agg(*sides)
     return layout.grid_cells(boxes, rules, ["l_suppkey"], 100.0).withColumn("items", F.array_join("items", ","))
+
+
+@bind(
+    """WITH e AS (SELECT event_id, user_id, event_type, json_extract(props, '$.k')::BIGINT AS k, regexp_replace(value::VARCHAR, '\\.0$', '') AS v FROM events),
+c AS (SELECT event_id, CASE WHEN event_id % 50 <> 9 THEN '{"a":{"x":' || user_id || ',"y":' || (k * 10) || '},"props":{"k":' || k || '},"z":[{"a":"' || event_type || ' 1.0","b":' || v || '},[],{},null,'
+  || (k * 100 + 50) || ']}' END AS canonical FROM e)
+SELECT event_id, canonical, sha256(canonical) AS digest FROM c"""
+)
+def nested_canonical(t: Tables) -> DataFrame:
+    """Events as nested objects, their keys in one of two orders and numbers in several spellings; some have a key twice."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    inner = F.concat(F.lit('[ {"b" : '), F.col("value"), F.lit(', "a":"'), F.col("event_type"), F.lit(' 1.0"} , [],{}, null, '), k, F.lit(".50E+2]"))
+    numbers = F.concat(F.lit('{"y":'), k, F.lit('e1,"x":'), F.col("user_id"), F.lit(".00}"))
+    one = F.concat(F.lit('{"z":'), inner, F.lit(',"props":'), "props", F.lit(',"a":'), numbers, F.lit("}"))
+    other = F.concat(F.lit('{"a":'), numbers, F.lit(',\n"z":'), inner, F.lit(',"props":'), "props", F.lit("}"))
+    twice = F.concat(F.lit('{"a":1,"a":'), numbers, F.lit("}"))
+    text = F.when(F.col("event_id") % 50 == 9, twice).when(F.col("event_id") % 2 == 0, one).otherwise(other)
+    found = t.events.select("event_id", tx.canonical_json(text).alias("canonical"))
+    return found.withColumn("digest", F.sha2(F.col("canonical").cast("binary"), 256))
