@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably, so that later steps survive the loss of any executor.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, one below the warehouse is used.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Where that is unset, a local session takes one below the warehouse; on a
+    cluster, whose executors may not share that, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(given or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager=True)
 
