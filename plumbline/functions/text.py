@@ -273,20 +273,21 @@ def _portable_numbers(tokens: Column) -> Column:
         read,
         lambda r: F.struct(
             r["t"].alias("t"), r["x"].alias("x"), F.substring_index(r["e"], "e", -1).try_cast("int").alias("power"),
-            F.replace(F.substring_index(r["e"], "e", 1), lit("."), lit("")).try_cast("long").alias("all"),
+            F.replace(F.substring_index(r["e"], "e", 1), lit("."), lit("")).alias("all"),
+            # whole numbers have exact digits to round
+            F.when((F.abs(r["x"]) < 9e18) & (r["x"] == F.rint(r["x"])), F.rpad(F.abs(r["x"]).cast("long").cast("string"), 17, "0")).alias("whole"),
         ),
     )
 
     def fewest(r: Column) -> Column:
-        named = []
+        named, exact = [], F.coalesce(r["whole"], r["all"])
         for n in (15, 16):
-            unit = 10 ** (17 - n)
-            low, rest = F.left(r["all"].cast("string"), lit(n)).try_cast("long"), r["all"] % unit
-            near = F.when(2 * rest >= unit, low + 1).otherwise(low)
+            low = F.left(exact, lit(n)).try_cast("long")
+            near = F.when(F.substr(exact, lit(n + 1)) >= "5", low + 1).otherwise(low)
             for c in (near, 2 * low + 1 - near):
                 same = F.concat(c.cast("string"), lit("e"), r["power"] - n + 1).try_cast("double") == F.abs(r["x"])
                 named.append(F.when(same, c.cast("string")))
-        return F.regexp_replace(F.coalesce(*named, r["all"].cast("string")), "0+$", "")
+        return F.regexp_replace(F.coalesce(*named, r["all"]), "0+$", "")
 
     read = F.transform(read, lambda r: F.struct(r["t"].alias("t"), r["x"].alias("x"), r["power"].alias("power"), fewest(r).alias("digits")))
 
