@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, energy, ingestion, layouts, matching, systems  # noqa: F401  they register their queries
+from . import decisions, energy, histories, ingestion, layouts, matching, systems  # noqa: F401  they register their queries
 from ._registry import ORACLE, QUERIES
 
 

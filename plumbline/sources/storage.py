@@ -58,3 +58,31 @@ def create_unless_colliding(df: DataFrame, keys: list[list[str]], stored: DataFr
         if not whole.groupBy(*key).count().where(F.col("count") > 1).isEmpty() or not whole.join(stored.select(*key), key, "left_semi").isEmpty():
             raise ValueError(f"records collide in {key}")
     df.write.mode("errorifexists").parquet(path)
+
+
+def partition_snapshots(df: DataFrame, parts: list[str]) -> DataFrame:
+    """``parts, rows, snapshot``: a digest of the rows of each partition that does not depend on their order.
+
+    The sum of 60 bits of each row's digest, so it is combined before the shuffle; repeated rows count as often as they are there.
+    """
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    bits = F.conv(F.substring(F.sha2(row.cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*parts).agg(F.count("*").alias("rows"), F.sum(bits).cast("string").alias("snapshot"))
+
+
+def replace_partitions(df: DataFrame, parts: list[str], expected: DataFrame, path: str) -> None:
+    """Replace the partitions of a table that ``df`` has rows of, if each still is what the writer has read.
+
+    ``expected`` are the ``partition_snapshots`` of the table as it was read.  If a partition of ``df`` is not the expected one now, was
+    not there then and is now, or is gone, that is an error, and nothing is written.  Other partitions keep their files.  Plain Parquet
+    has no locks, so a writer that comes between the comparison and the write is not seen: one writer at a time for a table.
+    """
+    fresh = cut(df)
+    touched = fresh.select(*parts).distinct()
+    stored = fresh.sparkSession.read.parquet(path)
+    now = partition_snapshots(stored.join(touched, parts, "left_semi"), parts)
+    before = expected.join(touched, parts, "left_semi").select(*parts, F.col("snapshot").alias("_before"))
+    stale = now.join(before, parts, "full").where(~F.col("snapshot").eqNullSafe(F.col("_before")))
+    if not stale.isEmpty():
+        raise ValueError("partitions have changed since they were read")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)

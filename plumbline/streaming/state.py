@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,3 +54,34 @@ def stored_energy_stream(events: DataFrame, key: str, order: list[str], energy:
     return events.groupBy(key).applyInPandasWithState(
         step, out, "x double, curtailed double, unmet double, unresolved long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def versioned_log_stream(
+    log: DataFrame, key: str, order: list[str], id_col: str, expected: str, state: str, transitions: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """``key, id, outcome, version`` of every write, as ``histories.versioned_log`` has them.
+
+    State per key is the current write, its state and its version.  Writes of one batch are applied in ``order``; batches arrive
+    in order of it.  Keys and ids are whole numbers; ids are kept as text, as pandas has nulls in doubles only.
+    """
+    allowed = {before: set(after) for before, after in transitions.items()}
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        current, now, version = kept.get if kept.exists else (None, "", 0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        out = []
+        for write, wanted, to in zip(rows[id_col], rows[expected], rows[state], strict=True):
+            if wanted != current:
+                out.append((keys[0], write, "conflict", None))
+            elif to not in allowed.get(now, ()):
+                out.append((keys[0], write, "illegal", None))
+            else:
+                current, now, version = str(write), to, version + 1
+                out.append((keys[0], write, "accepted", version))
+        kept.update((current, now, version))
+        yield pd.DataFrame(out, columns=[key, id_col, "outcome", "version"]).astype({"version": "Int64"})
+
+    named = [F.col(c) for c in dict.fromkeys([key, id_col, state, *order])]
+    return log.select(*named, F.col(expected).cast("string").alias(expected)).groupBy(key).applyInPandasWithState(
+        step, f"{key} long, {id_col} long, outcome string, version long", "current string, now string, version long", "append", GroupStateTimeout.NoTimeout
+    )
