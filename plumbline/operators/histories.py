@@ -131,7 +131,8 @@ def versioned_log(log: DataFrame, key: str, order: Sequence[str], id_col: str, e
 
     A write names the write (of its key) that it ``expected`` to be the current one, or null for the first.  It is ``accepted`` if that
     holds and its state may follow, ``illegal`` if only the former holds, and else a ``conflict``.  ``version`` counts accepted writes from 1.
-    Ids are unique in a key, ``order`` is total within it, and neither is null; the states of ``transitions`` have no empty name.
+    Ids are unique in a key, ``order`` is total within it, and neither is null; no state has the empty name.  Columns of the log that are
+    called ``outcome`` or ``version`` are replaced.
 
     No key is walked: the write that is accepted after another is the first legal one that expects it, which is an
     aggregate, and a write counts if its chain of those leads back to a first one, which is pointer doubling.  Rounds grow with the
@@ -160,4 +161,5 @@ def versioned_log(log: DataFrame, key: str, order: Sequence[str], id_col: str, e
         .otherwise(F.lit("conflict"))
     )
     found = judged.select(F.col("w.k").alias(key), F.col("w.id").alias(id_col), outcome.alias("outcome"), F.col("w.version").alias("version"))
-    return log.join(found, [key, id_col])
+    kept = [c for c in log.columns if c not in ("outcome", "version")]
+    return log.select(*kept).join(found, [key, id_col]).select(*kept, "outcome", "version")
