@@ -82,8 +82,7 @@ SELECT event_id, path, keyword FROM f"""
 def schema_issues(t: Tables) -> DataFrame:
     """Event records against a JSON Schema document."""
     records = t.events.select("event_id", _record(F.get_json_object("props", "$.k").cast("long")).alias("record"))
-    found = records.select("event_id", F.explode(schemas.schema_issues(F.col("record"), EVENT)).alias("i"))
-    return found.select("event_id", "i.path", "i.keyword")
+    return schemas.violations(records, "record", EVENT)
 
 
 def _proposals(t: Tables) -> DataFrame:

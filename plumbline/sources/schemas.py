@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keywords that check nothing.
@@ -24,34 +24,46 @@ _ISSUES = "array<struct<path:string,keyword:string>>"
 
 @dataclass(frozen=True)
 class _Place:
-    """A value: a path below a variant (the document or an element of an array), and its JSON pointer in the document."""
+    """A value, its kind, and its JSON pointer in the document."""
 
-    base: Column
-    path: str
+    value: Column
+    kind: Column
     pointer: Column
 
     def get(self, kind: str) -> Column:
-        return F.try_variant_get(self.base, self.path, kind)
-
-    def kind(self) -> Column:
-        return F.regexp_extract(F.schema_of_variant(self.get("variant")), "^[A-Z]+", 0)
+        return F.try_variant_get(self.value, "$", kind)
 
     def is_(self, name: str) -> Column:
-        found = self.kind().isin(*KINDS[name])
+        found = self.kind.isin(*KINDS[name])
         return found & (self.get("double") % 1 == 0) if name == "integer" else found
 
-    def child(self, key: str) -> _Place:
+    def field(self, key: str) -> Column:
+        """The value of a property, null where there is none."""
         quote = "'" if '"' in key else '"'
         if quote in key:
             raise ValueError(f"a property with both kinds of quotes: {key}")
+        return F.try_variant_get(self.value, f"$[{quote}{key}{quote}]", "variant")
+
+    def below(self, key: str) -> Column:
         said = key.replace("~", "~0").replace("/", "~1")
-        return replace(self, path=f"{self.path}[{quote}{key}{quote}]", pointer=F.concat(self.pointer, F.lit(f"/{said}")))
+        return F.concat(self.pointer, F.lit(f"/{said}"))
 
-    def issue(self, keyword: str, bad: Column) -> Column:
-        one = F.array(F.struct(self.pointer.alias("path"), F.lit(keyword).alias("keyword")))
+    def issue(self, keyword: str, bad: Column, pointer: Column | None = None) -> Column:
+        one = F.array(F.struct((self.pointer if pointer is None else pointer).alias("path"), F.lit(keyword).alias("keyword")))
         return F.when(F.coalesce(bad, F.lit(False)), one).otherwise(F.array().cast(_ISSUES))
 
 
+def _at(value: Column, pointer: Column, checks: Callable[[_Place], list[Column]]) -> Column:
+    """The issues of a value, none where it is null.
+
+    The value is the variable of a lambda function, so it is extracted and its kind is found once, however often the checks name them.
+    """
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    one = F.array(F.struct(value.alias("v"), kind.alias("k")))
+    each = F.transform(one, lambda n: F.when(n["k"].isNotNull(), _joined(checks(_Place(n["v"], n["k"], pointer)))).otherwise(F.array().cast(_ISSUES)))
+    return F.element_at(each, 1)
+
+
 def _joined(found: list[Column]) -> Column:
     return F.concat(*found) if found else F.array().cast(_ISSUES)
 
@@ -89,6 +101,7 @@ class _Compiler:
         if isinstance(schema, bool):
             return [] if schema else [at.issue("false", F.lit(True))]
         below = lambda place, sub: self.issues(place, sub, root, within)
+        value_of = lambda value, pointer, sub: _at(value, pointer, lambda place: below(place, sub))
         valid = lambda sub: F.size(_joined(below(at, sub))) == 0
         text, number, size = at.get("string"), at.get("double"), lambda kind: F.size(at.get(kind))
         fields, elements = "map<string,variant>", "array<variant>"
@@ -129,22 +142,19 @@ class _Compiler:
                     said = F.transform(at.get(elements), lambda e: F.to_json(e))
                     out.append(at.issue("uniqueItems", F.size(F.array_distinct(said)) < F.size(said)))
             elif keyword == "required":
-                out += [at.child(k).issue("required", at.is_("object") & at.child(k).get("variant").isNull()) for k in given]
+                out += [at.issue("required", at.is_("object") & at.field(k).isNull(), at.below(k)) for k in given]
             elif keyword == "dependentRequired":
                 for key, needed in given.items():
-                    there = at.child(key).get("variant").isNotNull()
-                    out += [at.child(k).issue("dependentRequired", there & at.child(k).get("variant").isNull()) for k in needed]
+                    there = at.field(key).isNotNull()
+                    out += [at.issue("dependentRequired", there & at.field(k).isNull(), at.below(k)) for k in needed]
             elif keyword == "properties":
-                for key, sub in given.items():
-                    place = at.child(key)
-                    if found := below(place, sub):
-                        out.append(F.when(place.get("variant").isNotNull(), _joined(found)).otherwise(F.array().cast(_ISSUES)))
+                out += [value_of(at.field(key), at.below(key), sub) for key, sub in given.items()]
             elif keyword in ("additionalProperties", "propertyNames"):
                 if given is not True:
-                    out.append(self._entries(at, keyword, given, known, below))
+                    out.append(self._entries(at, keyword, given, known, value_of))
             elif keyword == "items":
-                element = lambda e, i: _Place(e, "$", F.concat(at.pointer, F.lit("/"), i.cast("string")))
-                each = F.transform(at.get(elements), lambda e, i: _joined(below(element(e, i), given)))
+                place = lambda i: F.concat(at.pointer, F.lit("/"), i.cast("string"))
+                each = F.transform(at.get(elements), lambda e, i: value_of(e, place(i), given))
                 out.append(F.coalesce(F.flatten(each), F.array().cast(_ISSUES)))
             elif keyword == "allOf":
                 out += [c for sub in given for c in below(at, sub)]
@@ -165,7 +175,7 @@ class _Compiler:
                 raise ValueError(f"unknown keyword {keyword}")
         return out
 
-    def _entries(self, at: _Place, keyword: str, given: Mapping | bool, known: list[str], below: Callable) -> Column:
+    def _entries(self, at: _Place, keyword: str, given: Mapping | bool, known: list[str], value_of: Callable) -> Column:
         """Issues of the fields without a schema of their own, or of the names of all fields."""
         entries = F.map_entries(at.get("map<string,variant>"))
         if keyword == "additionalProperties" and known:
@@ -174,9 +184,9 @@ class _Compiler:
         pointer = lambda e: F.concat(at.pointer, F.lit("/"), said(e))
 
         def found(e: Column) -> Column:
-            value = e["key"].cast("variant") if keyword == "propertyNames" else e["value"]
-            place = _Place(value, "$", pointer(e))
-            return place.issue(keyword, F.lit(True)) if given is False else _joined(below(place, given))
+            if given is False:
+                return at.issue(keyword, F.lit(True), pointer(e))
+            return value_of(e["key"].cast("variant") if keyword == "propertyNames" else e["value"], pointer(e), given)
 
         return F.coalesce(F.flatten(F.transform(entries, found)), F.array().cast(_ISSUES))
 
@@ -197,7 +207,15 @@ def schema_issues(text: Column, schema: Mapping, documents: Mapping[str, Mapping
     or has a name twice in one object breaks ``json``.  Numbers are compared as doubles, patterns are those of Java.  A number in
     ``uniqueItems`` counts by its value, but 1 and 1e0 as two.
     """
-    document = F.try_parse_json(text)
-    checks = _Compiler(schema, documents or {}).issues(_Place(document, "$", F.lit("")), schema, schema, ("#",))
+    compiler = _Compiler(schema, documents or {})
     broken = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("keyword")))
-    return F.when(document.isNull(), broken).otherwise(F.array_sort(F.array_distinct(_joined(checks))))
+    parsed = F.transform(F.array(F.try_parse_json(text)), lambda d: F.when(d.isNull(), broken).otherwise(_at(d, F.lit(""), lambda at: compiler.issues(at, schema, schema, ("#",)))))
+    return F.array_sort(F.array_distinct(F.element_at(parsed, 1)))
+
+
+def violations(df: DataFrame, text: str, schema: Mapping, documents: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """The columns of ``df`` but ``text``, with a row per issue of its text: ``path, keyword``; columns of these names are replaced."""
+    kept = [c for c in df.columns if c not in (text, "path", "keyword")]
+    # an inner explode would have a filter on the size of the array put below it, which computes the array twice
+    found = df.select(*kept, F.explode_outer(schema_issues(F.col(text), schema, documents)).alias("_issue"))
+    return found.where(F.col("_issue").isNotNull()).select(*kept, "_issue.path", "_issue.keyword")

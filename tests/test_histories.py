@@ -71,6 +71,8 @@ def test_schema_issues_of_every_keyword(spark):
     got = {r.id: [f"{x.path}:{x.keyword}" for x in r.i] for r in found}
     assert {i: got[i] for i, _ in texts} == {i: sorted(want) for i, (_, want) in enumerate(CASES)}
     assert [got[i] for i in range(100, 106)] == [[":json"]] * 4 + [[":type"], ["/b/20000/x:minLength"]]
+    rows = schemas.violations(df.withColumn("path", F.lit("?")), "text", NODE, {"shared": SHARED})
+    assert rows.columns == ["id", "path", "keyword"] and rows.count() == sum(map(len, got.values()))
     assert df.where("id < 0").select(schemas.schema_issues(F.col("text"), NODE, {"shared": SHARED})).count() == 0
 
 
