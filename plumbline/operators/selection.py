@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lattices import COMPATIBILITY, ELIGIBILITY, GATE, name, rank, worst_of
 from ..sources.storage import cut
+from .fronts import tiered_fronts
 
 
 def checked(required: Column, known: Column, ok: Column) -> Column:
@@ -247,9 +248,7 @@ def recommendation_fronts(
     admitted = options.where(F.col(status).isin("satisfied", "unresolved"))
     if excluded is not None:
         admitted = admitted.where(~F.coalesce(excluded, F.lit(False)))
-    admitted = cut(admitted)
-    fronts = preference_fronts(admitted, tiered_pairs(admitted, [status], id_col, tiers), id_col)
-    return admitted.select(id_col, status).join(fronts, id_col)
+    return tiered_fronts(admitted, [status], id_col, tiers).select(id_col, status, "front")
 
 
 def optional_capability(parts: DataFrame, key: list[str], state: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advisories as adv
 from ..operators import aggregates as ag
-from ..operators import joins, links
+from ..operators import fronts, joins, links
 from ..operators import selection as sel
 from ._registry import Tables, bind
 
@@ -148,8 +148,26 @@ def tiered_pareto_pairs(t: Tables) -> DataFrame:
 SELECT n_nationkey, max(front)::INTEGER AS front FROM w GROUP BY 1"""
 )
 def pareto_fronts(t: Tables) -> DataFrame:
-    options = nation_options(t)
-    return sel.preference_fronts(options, sel.tiered_pairs(options, ["n_regionkey"], "n_nationkey", _TIERS), "n_nationkey")
+    return fronts.tiered_fronts(nation_options(t), ["n_regionkey"], "n_nationkey", _TIERS).select("n_nationkey", "front")
+
+
+@bind(
+    """WITH RECURSIVE o AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS size, p_retailprice AS price,
+  CASE WHEN p_partkey % 13 <> 0 THEN length(p_name) END AS long FROM part),
+d AS (SELECT a.p_partkey AS winner, b.p_partkey AS loser FROM o a JOIN o b ON a.p_brand = b.p_brand
+  WHERE a.size > b.size OR (a.size = b.size AND ((a.long < b.long AND a.price <= b.price) OR (a.long <= b.long AND a.price < b.price)))),
+w AS (SELECT p_partkey, 0 AS front FROM o UNION SELECT loser, front + 1 FROM w JOIN d ON winner = p_partkey)
+SELECT p_partkey, p_brand, max(front)::INTEGER AS front FROM w JOIN o USING (p_partkey) GROUP BY 1, 2"""
+)
+def part_fronts(t: Tables) -> DataFrame:
+    """Parts as options of their brand: large ones first, then short names at a low price; some sizes and names are unknown."""
+    k = F.col("p_partkey")
+    options = t.part.select(
+        "p_partkey", "p_brand", F.when(k % 11 != 0, F.col("p_size")).alias("size"), F.col("p_retailprice").alias("price"),
+        F.when(k % 13 != 0, F.length("p_name")).alias("long"),
+    )
+    tiers = [[("size", True)], [("long", False), ("price", False)]]
+    return fronts.tiered_fronts(options, ["p_brand"], "p_partkey", tiers).select("p_partkey", "p_brand", "front")
 
 
 @bind(
