@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import candidates, decisions, energy, histories, ingestion, layouts, matching, systems, tradeoffs  # noqa: F401  they register their queries
+from . import candidates, decisions, energy, histories, ingestion, interactions, layouts, matching, systems, tradeoffs  # noqa: F401  they register their queries
 from ._registry import ORACLE, QUERIES
 
 
