@@ -291,6 +291,18 @@ def scenario_envelope(t: Tables) -> DataFrame:
     )
 
 
+@bind(
+    """WITH s AS (SELECT o_orderpriority, o_custkey, CASE WHEN bool_and(o_orderstatus <> 'P') THEN max(floor(o_totalprice / 5000)) END AS peak FROM orders GROUP BY 1, 2),
+m AS (SELECT o_orderpriority, max(peak) AS top FROM s GROUP BY 1)
+SELECT o_orderpriority, o_custkey, peak::DOUBLE AS peak, CASE WHEN peak IS NULL THEN 'unresolved' ELSE 'governing' END AS role FROM s JOIN m USING (o_orderpriority) WHERE peak IS NULL OR peak = top"""
+)
+def scenario_governors(t: Tables) -> DataFrame:
+    """The scenarios that reach the peak of their priority, ties as rows, and those whose peak is unknown."""
+    peak = F.when(F.bool_and(F.col("o_orderstatus") != "P"), F.max(F.floor(F.col("o_totalprice") / 5000))).cast("double")
+    scenarios = t.orders.groupBy("o_orderpriority", "o_custkey").agg(peak.alias("peak"))
+    return ag.governor_rows(scenarios, ["o_orderpriority"], "peak")
+
+
 @bind(
     """SELECT p_partkey, p_brand, p_retailprice, p_size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand
   AND b.p_retailprice >= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice > a.p_retailprice OR b.p_size > a.p_size))"""

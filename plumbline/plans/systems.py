@@ -334,6 +334,24 @@ def capture_order(t: Tables) -> DataFrame:
     return out.select("host", "page_id", F.col("place").cast("long").alias("place"))
 
 
+@bind(
+    """WITH RECURSIVE p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id, octet_length(encode(html)) AS size,
+  row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END, page_id % 3, page_id) AS place FROM pages),
+f AS (SELECT * FROM p WHERE place <= 50),
+w AS (SELECT host, page_id, place, size <= 40000 AS taken, CASE WHEN size <= 40000 THEN 1 ELSE 0 END AS n, CASE WHEN size <= 40000 THEN size ELSE 0 END AS used FROM f WHERE place = 1
+  UNION ALL SELECT f.host, f.page_id, f.place, n < 20 AND used + size <= 40000, n + CASE WHEN n < 20 AND used + size <= 40000 THEN 1 ELSE 0 END, used + CASE WHEN n < 20 AND used + size <= 40000 THEN size ELSE 0 END
+  FROM w JOIN f ON f.host = w.host AND f.place = w.place + 1)
+SELECT host, page_id, place, taken FROM w"""
+)
+def captures_taken(t: Tables) -> DataFrame:
+    """What is taken of what is found of each host: in order, while it fits the number and the bytes."""
+    rows = t.pages.select(
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), "page_id", F.octet_length("html").alias("size"), (F.col("page_id") % 4 == 0).alias("official"), (F.col("page_id") % 3).alias("tier")
+    )
+    out = facts.budgeted_captures(rows, ["host"], F.col("official"), ["tier", "page_id"], F.col("size"), 50, 20, 40_000)
+    return out.select("host", "page_id", F.col("place").cast("long").alias("place"), "taken")
+
+
 @bind(
     """SELECT 'orders' AS collection, o_orderkey::VARCHAR AS record, 'price' AS code, 'o_totalprice' AS path FROM orders WHERE NOT coalesce(o_totalprice > 20000, false)
 UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'status', 'o_orderstatus' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
