@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
 from .sequences import first_of
 
 COMPONENT = ["option", "role", "component", "quantity"]
@@ -124,12 +125,21 @@ def system_facts(options: DataFrame, facts: DataFrame, asked: list[str], advisor
     (full names) that no component speaks of are not applicable.  ``advisories`` (``component``): the components for which advisories
     were evaluated; without them that context is unknown.  An option without components weighs nothing and has no known cost.
     """
-    unknown = F.col("value").isNull()
-    parts = facts.where(F.col("kind").isin("weight", "purchase_cost")).groupBy("option", "kind", "unit").agg(
-        F.sum(F.col("value") * F.col("quantity")).alias("_sum"), F.count("*").alias("_n"), F.count_if(unknown).alias("_open")
+    state_is = lambda name: F.col("state") == name
+    flag = lambda x: F.coalesce(F.col("value") == x, F.lit(False))
+    maker = F.when(F.col("kind") == "manufacturer", F.col("text")).alias("maker")
+    # one pass over the facts, combined before the shuffle; everything below reads this, a few rows for each option and kind
+    parts = cut(
+        facts.groupBy("option", "kind", "unit", maker).agg(
+            F.sum(F.col("value") * F.col("quantity")).alias("_sum"), F.sum("value").alias("_plain"), F.count("*").alias("_n"),
+            F.count_if(F.col("value").isNull()).alias("_open"), F.count_if(state_is("unknown")).alias("_unknown"),
+            F.count_if(~state_is("not_applicable")).alias("_applicable"), F.count_if(state_is("absent") | (state_is("known") & flag(0))).alias("_lack"),
+            F.bool_or(state_is("known") & flag(1)).alias("_any"),
+        )
     )
+    kind = lambda *names: parts.where(F.col("kind").isin(*names))
     priced = F.col("_sum").isNotNull() & F.col("unit").isNotNull()
-    totals = parts.groupBy("option", "kind").agg(
+    totals = kind("weight", "purchase_cost").groupBy("option", "kind").agg(
         F.count_if(priced).alias("_units"), F.sum(F.when(priced, F.col("_sum"))).alias("_total"), F.max(F.when(priced, F.col("unit"))).alias("_unit"),
         F.sum("_n").alias("_n"), F.sum("_open").alias("_open"),
     )
@@ -151,16 +161,13 @@ def system_facts(options: DataFrame, facts: DataFrame, asked: list[str], advisor
 
     out = shaped(bases.join(totals, ["option", "kind"], "left"), _stated(value.isNotNull()), reason, value, unit, still)
 
-    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0))
-    maker = F.col("kind") == "manufacturer"
-    sums = facts.where(F.col("kind").isin("physical_quantity", "fixed_existing_quantity", "selected_power_paths")).groupBy("option").agg(
+    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("_plain"))), F.lit(0.0))
+    sums = kind("physical_quantity", "fixed_existing_quantity", "selected_power_paths").groupBy("option").agg(
         total("physical_quantity").alias("component_count"), total("fixed_existing_quantity").alias("reuse_existing"),
         total("selected_power_paths").alias("selected_power_path_count"),
     )
-    # distinct first, so that a maker of very many parts is one row
-    makers = facts.where(maker).groupBy("option", "text").agg(F.count_if(F.col("state") != "known").alias("_open")).groupBy("option").agg(
-        F.count("text").cast("double").alias("_makers"), F.sum("_open").alias("_open")
-    )
+    # a maker is one row here
+    makers = kind("manufacturer").groupBy("option").agg(F.count("maker").cast("double").alias("_makers"), F.sum("_unknown").alias("_open"))
     kinds = ["component_count", "reuse_existing", "selected_power_path_count"]
     wide = options.select("option").join(sums, "option", "left").na.fill(0.0, kinds)
     out = out.unionByName(shaped(wide.unpivot("option", kinds, "kind", "value"), F.lit("known"), none, F.col("value"), F.lit("count"), F.lit(0)))
@@ -170,11 +177,8 @@ def system_facts(options: DataFrame, facts: DataFrame, asked: list[str], advisor
         shaped(counted, _stated(open_makers == 0), F.lit("manufacturer_missing"), F.when(open_makers == 0, F.coalesce("_makers", F.lit(0.0))), F.lit("count"), open_makers)
     )
 
-    optional = facts.where(F.col("kind").startswith("optional_")).groupBy("option", "kind").agg(
-        F.bool_or((F.col("state") == "known") & F.coalesce(F.col("value") == 1, F.lit(False))).alias("_any"),
-        F.count_if(F.col("state") != "not_applicable").alias("_applicable"),
-        F.count_if((F.col("state") == "absent") | ((F.col("state") == "known") & F.coalesce(F.col("value") == 0, F.lit(False)))).alias("_lack"),
-        F.count_if(F.col("state") == "unknown").alias("_open"),
+    optional = parts.where(F.col("kind").startswith("optional_")).groupBy("option", "kind").agg(
+        F.bool_or("_any").alias("_any"), F.sum("_applicable").alias("_applicable"), F.sum("_lack").alias("_lack"), F.sum("_unknown").alias("_open")
     )
     if asked:
         each = options.select("option", F.explode(F.array(*[F.lit(k) for k in asked])).alias("kind"))
@@ -189,7 +193,7 @@ def system_facts(options: DataFrame, facts: DataFrame, asked: list[str], advisor
     context = options.select("option", F.lit("advisory_context").alias("kind"))
     if advisories is None:
         return out.unionByName(shaped(context, F.lit("unknown"), F.lit("advisory_context_missing"), none, none, F.lit(0)))
-    chosen = facts.select("option", "component").distinct().join(advisories.select("component").distinct(), "component", "left_semi")
+    chosen = facts.where("kind = 'weight'").select("option", "component").distinct().join(advisories.select("component").distinct(), "component", "left_semi")
     evaluated = context.join(chosen.groupBy("option").agg(F.count("*").alias("_n")), "option", "left")
     return out.unionByName(shaped(evaluated, F.lit("known"), none, F.coalesce("_n", F.lit(0)), none, F.lit(0)))
 
@@ -203,7 +207,7 @@ def compared(pairs: DataFrame, facts: DataFrame, tiers: list[list[tuple[str, boo
     """
     criteria = [(k, kind, up) for k, tier in enumerate(tiers) for kind, up in tier]
     listed = F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(kind).alias("kind"), F.lit(up).alias("up")) for k, kind, up in criteria])
-    asked = facts.where(F.col("kind").isin(*[kind for _, kind, _ in criteria]))
+    asked = cut(facts.where(F.col("kind").isin(*[kind for _, kind, _ in criteria])))
     sides = pairs.select("a", "b", F.inline(listed))
     for side in ("a", "b"):
         value = F.when(F.col("state") == "absent", F.lit(0.0)).otherwise(F.col("value"))
