@@ -263,12 +263,23 @@ def read_only_url(url: Column) -> Column:
 _JSON_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
 
 
+#: Numbers of at most 15 digits that are spelled with the fewest already: what has so few digits names no other double.
+_PORTABLE = r"^(?:0|-?(?:[1-9][0-9]{0,6}(?:\.[0-9]{0,6}[1-9])?|[1-9][0-9]{7,14}|0\.[0-9]{0,4}[1-9]))$"
+_WHOLE = r"^(-?[1-9][0-9]{0,14})\.0$"
+
+
+def _unportable(token: Column) -> Column:
+    return token.rlike("^-?[0-9]") & ~token.rlike(_PORTABLE)
+
+
 def _portable_numbers(tokens: Column) -> Column:
     """The tokens, numbers among them as the fewest digits that name the same double: plain from 1e-6 to below 1e21, else with an
-    exponent.  Each step is an array of its own, so that nothing is worked out twice."""
+    exponent.  Each step is an array of its own, so that nothing is worked out twice.  What is no number, or is spelled so already, has
+    a null ``x``, and so nulls in every step: texts that are no numbers would each cost an exception in every cast."""
     lit = F.lit
-    read = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.when(t.rlike("^-?[0-9]"), t.try_cast("double")).alias("x")))
-    read = F.transform(read, lambda r: F.struct(r["t"].alias("t"), r["x"].alias("x"), F.format_string("%.16e", F.abs(r["x"])).alias("e")))
+    read = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.when(_unportable(t), t.try_cast("double")).alias("x")))
+    exact = lambda r: F.when(r["x"].isNotNull(), F.format_string("%.16e", F.abs(r["x"])))
+    read = F.transform(read, lambda r: F.struct(r["t"].alias("t"), r["x"].alias("x"), exact(r).alias("e")))
     read = F.transform(
         read,
         lambda r: F.struct(
@@ -279,12 +290,18 @@ def _portable_numbers(tokens: Column) -> Column:
         ),
     )
 
+    def cut_at(r: Column, n: int) -> list[Column]:
+        """The first ``n`` digits as a number, and whether the next one rounds them up."""
+        digits = F.coalesce(r["whole"], r["all"])
+        return [F.left(digits, lit(n)).try_cast("long").alias(f"low{n}"), (F.substr(digits, lit(n + 1)) >= "5").cast("int").alias(f"up{n}")]
+
+    kept = ("t", "x", "power", "all")
+    read = F.transform(read, lambda r: F.struct(*[r[k].alias(k) for k in kept], *cut_at(r, 15), *cut_at(r, 16)))
+
     def fewest(r: Column) -> Column:
-        named, exact = [], F.coalesce(r["whole"], r["all"])
+        named = []
         for n in (15, 16):
-            low = F.left(exact, lit(n)).try_cast("long")
-            near = F.when(F.substr(exact, lit(n + 1)) >= "5", low + 1).otherwise(low)
-            for c in (near, 2 * low + 1 - near):
+            for c in (r[f"low{n}"] + r[f"up{n}"], r[f"low{n}"] + 1 - r[f"up{n}"]):
                 same = F.concat(c.cast("string"), lit("e"), r["power"] - n + 1).try_cast("double") == F.abs(r["x"])
                 named.append(F.when(same, c.cast("string")))
         return F.regexp_replace(F.coalesce(*named, r["all"]), "0+$", "")
@@ -316,6 +333,10 @@ def canonical_json(text: Column) -> Column:
     numeric = lambda t: t.rlike("^-?[0-9]")
     tokens = lambda c: F.regexp_extract_all(c, F.lit(_JSON_TOKENS), F.lit(0))
     beyond = F.exists(tokens(text), lambda t: numeric(t) & (F.abs(t.try_cast("double")) == float("inf")))
+    # a number of less than 200 digits and an exponent below 100 is never beyond
+    beyond = text.rlike(r"[0-9.]{200}|[0-9.][eE]\+?[0-9]{3}") & beyond
     sorted_keys = F.to_json(F.try_parse_json(text))
-    spelled = F.array_join(_portable_numbers(tokens(sorted_keys)), "")
-    return F.when(~beyond, spelled)
+    whole = F.transform(tokens(sorted_keys), lambda t: F.when(t.rlike("^-?[1-9]"), F.regexp_replace(t, _WHOLE, "$1")).otherwise(t))
+    # an array of one, so that the tokens are a variable
+    spelled = F.transform(F.array(whole), lambda ts: F.array_join(F.when(F.exists(ts, _unportable), _portable_numbers(ts)).otherwise(ts), ""))
+    return F.when(~beyond, spelled[0])

@@ -124,5 +124,7 @@ def nested_canonical(t: Tables) -> DataFrame:
     other = F.concat(F.lit('{"a":'), numbers, F.lit(',\n"z":'), inner, F.lit(',"props":'), "props", F.lit("}"))
     twice = F.concat(F.lit('{"a":1,"a":'), numbers, F.lit("}"))
     text = F.when(F.col("event_id") % 50 == 9, twice).when(F.col("event_id") % 2 == 0, one).otherwise(other)
-    found = t.events.select("event_id", tx.canonical_json(text).alias("canonical"))
+    # few row groups are few tasks, and the text of a row costs much more than its way
+    events = t.events.select("event_id", "user_id", "event_type", "value", "props").repartition(t.spark.sparkContext.defaultParallelism * 4)
+    found = events.select("event_id", tx.canonical_json(text).alias("canonical"))
     return found.withColumn("digest", F.sha2(F.col("canonical").cast("binary"), 256))
