@@ -282,9 +282,9 @@ SELECT s.o_orderpriority, round(max(tp), 2) AS max_power, string_agg(o_orderstat
 FROM s JOIN m USING (o_orderpriority) GROUP BY 1"""
 )
 def scenario_envelope(t: Tables) -> DataFrame:
-    scenarios = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(
-        F.sum("o_totalprice").alias("p"), F.max("o_totalprice").alias("pk")
-    )
+    # sums of doubles differ with their order, and these are compared with their own maximum: exact ones do not
+    exact = F.sum(F.col("o_totalprice").cast("decimal(28,10)")).cast("double")
+    scenarios = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(exact.alias("p"), F.max("o_totalprice").alias("pk"))
     return pw.scenario_envelope(scenarios, "o_orderpriority", "o_orderstatus", "p", "pk").select(
         "o_orderpriority", F.round("max_power", 2).alias("max_power"), "power_governors",
         F.round("max_peak", 2).alias("max_peak"), "peak_governors", "voltage_conflict",

@@ -239,3 +239,15 @@ def test_semi_join_by_either_key_keeps_repeated_rows(spark):
     right = spark.createDataFrame([(1, "q", 1), (5, "b", 8), (None, None, 6), (1, "a", 9)], "k int, x string, y int")
     got = sorted(tuple(r) for r in joins.either_key_semi(left, right, [["k"], ["x", "y"]]).collect())
     assert got == [(1, "a", 9), (1, "a", 9), (2, "b", 8)]
+
+
+def test_scenario_envelope_sums_exactly(spark, tmp_path):
+    """Sums of doubles lose what is added to a large one: 10,000 cents beside 100,000,000,000 were off by some cents."""
+    import __spark_entry__
+
+    rows = spark.range(0, 10_001, 1, 1).selectExpr(
+        "id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "'O' AS o_orderstatus", "IF(id = 0, 100000000000D, 0.01D) AS o_totalprice"
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    (row,) = __spark_entry__.queries()["scenario_envelope"](spark, str(tmp_path)).collect()
+    assert (row.max_power, row.power_governors) == (100_000_000_100.0, "O")
