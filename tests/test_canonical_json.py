@@ -88,3 +88,12 @@ def test_texts_between_numbers_cost_no_exceptions(spark):
     spelled = ["7.0", "-7.0", "0.0", "-0.0", "-0", "1234567.7654321", "-0.00001", "0.10", "999999999999999.0", "1000000000000000.0", "0.000001", "0.0000001", "123456789012345678"]
     rows = spark.createDataFrame([(s,) for s in spelled], "x string").select("x", tx.canonical_json(F.col("x")).alias("c")).collect()
     assert all(r.c == number(float(r.x)) for r in rows)
+
+
+def test_one_row_group_is_many_tasks(spark, sf_dir):
+    """A file of one row group was one task, whatever the checks of a row cost."""
+    import __spark_entry__
+
+    for name in ("nested_canonical", "schema_issues"):
+        found = __spark_entry__.queries()[name](spark, sf_dir)
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
