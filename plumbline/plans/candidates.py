@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import architectures as arch
+from ..sources.storage import cut
 from ._registry import Tables, bind
 
 _GIVEN = """WITH p AS (SELECT o_orderkey AS project, CASE o_orderpriority WHEN '1-URGENT' THEN 24.0 WHEN '2-HIGH' THEN 36.0 END AS fixed FROM orders),
@@ -28,7 +29,9 @@ def _given(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     priority = F.col("o_orderpriority")
     projects = t.orders.select(F.col("o_orderkey").alias("project"), F.when(priority == "1-URGENT", 24.0).when(priority == "2-HIGH", 36.0).alias("fixed_voltage"))
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    lines = t.lineitem.withColumn("id", rank).withColumn("project", F.col("l_orderkey"))
+    asked = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    # read by every bound, group and route: numbered once
+    lines = cut(t.lineitem.select(F.col("l_orderkey").alias("project"), *asked, rank.alias("id")))
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     loads = lines.where(F.col("l_linenumber") < 6).select(
         "project", F.col("id").alias("load"), F.when(part % 4 == 0, "ac").otherwise("dc").alias("kind"),

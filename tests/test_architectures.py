@@ -85,3 +85,11 @@ def test_bounds_reject_and_empty_projects_have_storage_only(spark):
     candidates = arch.architecture_candidates(projects, lo.limit(0), so)
     assert candidates.count() == 3 and arch.candidate_edges(candidates, lo.limit(0), so).count() == 6
     assert {r.status for r in arch.candidate_status(arch.candidate_roles(candidates, lo.limit(0), so)).collect()} == {"eligible"}
+
+
+def test_lines_are_numbered_once(spark, sf_dir):
+    """The window over all lines was in every branch of the plan."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["architecture_edges"](spark, sf_dir)
+    assert not any("lineitem" in f for f in found.inputFiles())
