@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import interactions
+from ..sources.storage import cut
 from ._registry import Tables, bind
 
 _SQL = """
@@ -50,12 +51,12 @@ r AS (SELECT * FROM pr WHERE code IS NOT NULL UNION ALL SELECT * FROM ar UNION A
 def _tables(t: Tables) -> dict[str, DataFrame]:
     o, c, p, q = F.col("o_orderkey"), F.col("case"), F.col("participant"), F.col("q")
     orders = t.orders.select(o.alias("case"))
-    lines = (
+    # read by nearly every table below: made once
+    lines = cut(
         t.lineitem.groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").cast("long").alias("participant"))
         .agg(F.min(F.struct("l_partkey", "l_quantity")).alias("s"))
         .select("case", "participant", F.col("s.l_partkey").alias("part"), F.col("s.l_quantity").alias("q"))
-        .withColumn("e", F.concat(F.lit("e"), F.col("part") % 3))
-    )
+    ).withColumn("e", F.concat(F.lit("e"), F.col("part") % 3))
     state = F.when(o % 20 == 0, "provisional").when(o % 20 == 1, "conflicting").otherwise("verified")
     assertion = F.when(o % 17 == 1, "negative").when(o % 17 != 0, "positive")
     ref = F.when(p % 2 == 1, "component").when(q == 48, "unresolved_external").otherwise("interaction_endpoint")

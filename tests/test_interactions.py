@@ -115,3 +115,11 @@ def test_interpretation(spark):
         "c": ("unknown", "relationship_unresolved", ["assertion_content_unavailable"]),
         "d": ("explicit_negative", "explicit_negative_assertion", []),
     }
+
+
+def test_lines_are_grouped_once(spark, sf_dir):
+    """The groups of all lines were made anew in every branch of the plan."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["interaction_reasons"](spark, sf_dir)
+    assert not any("lineitem" in f for f in found.inputFiles())
