@@ -5,9 +5,11 @@ Everything is keyed by page; no page is compared as a whole.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,54 +162,117 @@ def text_lines(glyphs: DataFrame, key: list[str], id_col: str, bottom: str = "bo
     return counted.withColumn("line", own + F.col("_earlier") - 1).drop("_part", "_begins", "_earlier")
 
 
+class _Lines:
+    """Rules of any number of groups, and for an item of a group the nearest of them that covers it; all items at once.
+
+    Rules lie by (group, at, rule).  An item begins at the first one whose edge can be beyond it, and from a rule that does not cover it goes
+    on to the next one that is not within that rule's range, so rules that a nearer one covers are passed over together.
+    """
+
+    def __init__(self, group: np.ndarray, rule: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, edge: np.ndarray):
+        order = np.lexsort((rule, at, group))
+        self.group, self.rule, self.low, self.high, self.at, self.edge = (x[order] for x in (group, rule, low, high, at, edge))
+        self.edges, rank = np.unique(self.edge, return_inverse=True)
+        self.step = len(self.edges) + 1
+        # the highest edge so far in a group, as its place among all edges
+        self.reach = np.maximum.accumulate(self.group * self.step + rank) if len(order) else self.group
+        end = np.searchsorted(self.group, self.group, "right")
+        self.next = np.arange(1, len(order) + 1)
+        some = np.flatnonzero(self.next < end)
+        while len(some):
+            then = self.next[some]
+            some, then = (x[(self.low[then] >= self.low[some]) & (self.high[then] <= self.high[some])] for x in (some, then))
+            self.next[some] = self.next[then]
+            some = some[self.next[some] < end[some]]
+
+    def nearest(self, group: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The place of each item's rule, -1 where it has none."""
+        out = np.full(len(group), -1)
+        place = np.searchsorted(self.reach, group * self.step + np.searchsorted(self.edges, at, "left"), "left")
+        end = np.searchsorted(self.group, group, "right")
+        asked = np.flatnonzero(place < end)
+        place = place[asked]
+        while len(asked):
+            covers = (self.low[place] <= low[asked]) & (high[asked] <= self.high[place])
+            hit = covers & (self.edge[place] >= at[asked])
+            out[asked[hit]] = place[hit]
+            place = np.where(covers, place + 1, self.next[place])
+            on = ~hit & (place < end[asked])
+            asked, place = asked[on], place[on]
+        return out
+
+
+def _covers(items: DataFrame, rules: DataFrame, key: list[str], width: float, sides: tuple[str, str]) -> DataFrame:
+    """``items`` with ``<side>_rule, <side>_at, <side>_low, <side>_high`` of the nearest covering rule before and after them, ``sides`` being
+    the names of both; where one of these is empty, that side is not asked for.
+
+    ``items`` have ``_low, _high, _from, _to``, ``rules`` ``key, _id, _low, _high`` too and, of ``_from, _to``, where they stand.  Before an item is the nearest rule
+    whose ``_edge_from`` is at or below its ``_from``, after it the one whose ``_edge_to`` is at or beyond its ``_to``; all are doubles but ``_id``.  A covering
+    rule's range holds the item's.  Items that lack a rule on a side asked for have no row.
+
+    Both are dealt once for both sides: rules stand in every bucket of ``width`` that they cover, items in that of ``_low``.  Rows of a task are sorted by
+    one number, a hash of page and bucket with the rules first, which is much cheaper than by the keys themselves; pages and buckets of the same hash
+    are told apart by their keys.  A task holds the rules of one page and bucket.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    carried = items.columns
+    spread = rules.withColumns({"_bucket": F.explode(F.sequence(bucket("_low"), bucket("_high"))), "_kind": F.lit(0).cast("long")})
+    asked = items.withColumns({"_bucket": bucket("_low"), "_kind": F.lit(1).cast("long")})
+    both = spread.unionByName(asked, allowMissingColumns=True)
+    place = F.xxhash64(*key, "_bucket").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("_kind"))
+    dealt = both.withColumn("_place", place).drop("_kind").repartition(*key, "_bucket").sortWithinPartitions("_place")
+    names = [s for s in sides if s]
+    of_sides = {f"{s}_{c}": kind for s in names for c, kind in (("rule", "long"), ("at", "double"), ("low", "double"), ("high", "double"))}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the rules of the place that the batch before ended in
+        number = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            where = number(batch, "_place")
+            own, at = np.flatnonzero(where % 2 == 0), np.flatnonzero(where % 2)
+            held = batch.take(pa.array(own[where[own] == where[-1] // 2 * 2]))
+            if not len(own) or not len(at):
+                continue
+            group = np.zeros(batch.num_rows, np.int64)
+            for c in (*key, "_bucket"):
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+            lines, some = batch.take(pa.array(own)), batch.take(pa.array(at))
+            of, ends = [number(lines, c) for c in ("_id", "_low", "_high")], [number(some, c) for c in ("_low", "_high")]
+            found = {}
+            for name, c, sign in zip(sides, ("_from", "_to"), (-1, 1), strict=True):
+                if name:
+                    near = _Lines(group[own], *of, number(lines, c) * sign, number(lines, f"_edge{c}") * sign)
+                    found[name] = near, near.nearest(group[at], *ends, number(some, c) * sign), sign
+            whole = np.flatnonzero(np.logical_and.reduce([k >= 0 for _, k, _ in found.values()]))
+            answers = []
+            for near, k, sign in found.values():
+                answers += [pa.array(x) for x in (near.rule[k[whole]], near.at[k[whole]] * sign, near.low[k[whole]], near.high[k[whole]])]
+            some = some.take(pa.array(whole))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in carried), *answers], names=[*carried, *of_sides])
+
+    return dealt.mapInArrow(walk, _with(StructType([dealt.schema[c] for c in carried]), **of_sides))
+
+
 def nearest_cover(items: DataFrame, rules: DataFrame, key: list[str], width: float) -> DataFrame:
     """``key, id, rule, at``: for every item (``key, id, low, high, at``) the rule (``key, rule, low, high, at, edge``) that covers
     ``low`` to ``high``, has its ``edge`` at or beyond the item's ``at``, and of these the least ``at`` (equal ones: the least ``rule``).
 
-    Rules stand in every bucket of ``width`` that they cover, items in that of ``low``; each bucket is swept once downwards
-    from the highest edge.  Of the rules met, only those are remembered that no nearer one covers, so an item is compared with its
-    neighbours and not with its page.  Items without such a rule have no row; rows with an unknown number are left out.
+    Rules stand in every bucket of ``width`` that they cover, items in that of ``low``.  An item is compared with its neighbours and not with
+    its page: it begins at the first rule beyond it, and passes over those that a nearer one covers.  Items without such a rule have no
+    row; rows with an unknown number are left out.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    null = F.lit(None).cast("double")
+    double = lambda c: F.col(c).cast("double")
     known = items.where(F.col("low").isNotNull() & F.col("high").isNotNull() & F.col("at").isNotNull())
-    asked = known.select(
-        *key, bucket("low").alias("_bucket"), F.col("at").cast("double").alias("edge"), F.lit(1).alias("kind"),
-        F.col("id").cast("long").alias("id"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), null.alias("at"),
-    )
-    sound = rules.where((F.col("low") <= F.col("high")) & F.col("edge").isNotNull() & F.col("at").isNotNull())
-    spread = sound.withColumn("_bucket", F.explode(F.sequence(bucket("low"), bucket("high")))).select(
-        *key, "_bucket", F.col("edge").cast("double").alias("edge"), F.lit(0).alias("kind"), F.col("rule").cast("long").alias("id"),
-        F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col("at").cast("double").alias("at"),
-    )
-    both = spread.unionByName(asked).withColumn("_name", F.to_json(F.struct(*key, "_bucket")))
-    dealt = both.repartition(*key, "_bucket").sortWithinPartitions("_name", F.desc("edge"), "kind")
-    keys = both.select(*key).schema
-    place = [dealt.columns.index(c) for c in ("_name", "kind", "id", "low", "high", "at")]
-    key_at = [dealt.columns.index(c) for c in key]
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: str | None = None
-        near: list[tuple[float, int, float, float]] = []
-        for batch in batches:
-            hits, rule, at = [], [], []
-            for i, (name, kind, id_, low, high, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in place), strict=True)):
-                if name != current:
-                    current, near = name, []
-                if kind:
-                    best = next((r for r in near if r[2] <= low and high <= r[3]), None)
-                    if best:
-                        hits.append(i)
-                        at.append(best[0])
-                        rule.append(best[1])
-                elif not any(r[:2] <= (y, id_) and r[2] <= low and high <= r[3] for r in near):
-                    near = [r for r in near if not (r[:2] > (y, id_) and low <= r[2] and r[3] <= high)]
-                    insort(near, (y, id_, low, high))
-            found = batch.take(pa.array(hits, pa.int32()))
-            columns = [*(found.column(k) for k in key_at), found.column(place[2]), pa.array(rule, pa.int64()), pa.array(at, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*key, "id", "rule", "at"])
-
-    return dealt.mapInArrow(sweep, _with(keys, id="long", rule="long", at="double"))
+    asked = known.select(*key, F.col("id").cast("long").alias("id"), double("low").alias("_low"), double("high").alias("_high"), double("at").alias("_to"))
+    sound = rules.where((F.col("low") <= F.col("high")) & F.col("edge").isNotNull() & F.col("at").isNotNull()).select(
+        *key, F.col("rule").cast("long").alias("_id"), double("low").alias("_low"), double("high").alias("_high"), double("at").alias("_to"), double("edge").alias("_edge_to")
+    )
+    return _covers(asked, sound, key, width, ("", "far")).select(*key, "id", F.col("far_rule").alias("rule"), F.col("far_at").alias("at"))
 
 
 def grid_cells(boxes: DataFrame, rules: DataFrame, key: list[str], width: float) -> DataFrame:
@@ -219,42 +284,43 @@ def grid_cells(boxes: DataFrame, rules: DataFrame, key: list[str], width: float)
     that a box crosses, or that shares a box with another cell, is no cell: a part of a text gains no owner.  ``items`` are sorted.
     ``width`` is the bucket of all comparisons, about the width of a cell.
     """
-    level = rules.where(F.col("y0") == F.col("y1"))
-    upright = rules.where(F.col("x0") == F.col("x1"))
-
-    def lines(df: DataFrame, along: str, across: str, sign: int) -> DataFrame:
-        a, b, ink, at = F.col(f"{along}0"), F.col(f"{along}1"), F.col("ink"), F.col(f"{across}0") * sign
-        return df.select(*key, "rule", (F.least(a, b) - ink).alias("low"), (F.greatest(a, b) + ink).alias("high"), at.alias("at"), (at - ink).alias("edge"))
-
-    def nearest(asked: DataFrame, of: DataFrame, name: str, sign: int) -> DataFrame:
-        found = nearest_cover(asked, of, key, width)
-        return found.select(*key, "id", (F.col("at") * sign).alias(name), F.col("rule").alias(f"_{name}"))
-
-    ask = lambda df, low, high, at: df.select(*key, "id", F.col(low).alias("low"), F.col(high).alias("high"), at.alias("at"))
-    above = nearest(ask(boxes, "x0", "x1", F.col("y1")), lines(level, "x", "y", 1), "top", 1)
-    below = nearest(ask(boxes, "x0", "x1", -F.col("y0")), lines(level, "x", "y", -1), "bottom", -1)
-    held = cut(boxes.join(above, [*key, "id"]).join(below, [*key, "id"]))
-    left = nearest(ask(held, "bottom", "top", -F.col("x0")), lines(upright, "y", "x", -1), "left", -1)
-    right = nearest(ask(held, "bottom", "top", F.col("x1")), lines(upright, "y", "x", 1), "right", 1)
-    spans = level.select(*key, "rule", (F.least("x0", "x1") - F.col("ink")).alias("_from"), (F.greatest("x0", "x1") + F.col("ink")).alias("_to"))
-    sides = held.join(left, [*key, "id"]).join(right, [*key, "id"])
-    for side in ("top", "bottom"):
-        named = spans.withColumnsRenamed({"rule": f"_{side}", "_from": f"_{side}_from", "_to": f"_{side}_to"})
-        sides = sides.join(named, [*key, f"_{side}"]).where((F.col(f"_{side}_from") <= F.col("left")) & (F.col(f"_{side}_to") >= F.col("right")))
-    cells = cut(sides.select(*key, "left", "right", "bottom", "top").distinct())
-
-    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    double = lambda c: c.cast("double")
+
+    def lines(df: DataFrame, along: str, across: str) -> DataFrame:
+        a, b, ink, at = F.col(f"{along}0"), F.col(f"{along}1"), F.col("ink"), F.col(f"{across}0")
+        columns = {"_low": F.least(a, b) - ink, "_high": F.greatest(a, b) + ink, "_from": at, "_to": at, "_edge_from": at + ink, "_edge_to": at - ink}
+        found = df.select(*key, F.col("rule").cast("long").alias("_id"), *[double(c).alias(n) for n, c in columns.items()])
+        return found.where("_low <= _high AND _edge_to IS NOT NULL")
+
+    # without keys that meet nothing, both uses of the boxes are one
+    own = boxes.select(*key, "id", "x0", "x1", "y0", "y1").dropna(subset=key)
+    level, upright = lines(rules.where(F.col("y0") == F.col("y1")), "x", "y"), lines(rules.where(F.col("x0") == F.col("x1")), "y", "x")
+    ends = {"_low": "x0", "_high": "x1", "_from": "y0", "_to": "y1"}
+    asked = own.select(*key, *[double(F.col(c)).alias(n) for n, c in ends.items()]).dropna(subset=[*ends])
+    held = _covers(asked, level, key, width, ("bottom", "top")).select(
+        *key, F.col("bottom_at").alias("_low"), F.col("top_at").alias("_high"), F.col("_low").alias("_from"), F.col("_high").alias("_to"),
+        F.greatest("bottom_low", "top_low").alias("_least"), F.least("bottom_high", "top_high").alias("_most"),
+    )
+    sides = _covers(held, upright, key, width, ("left", "right")).where("_least <= left_at AND _most >= right_at")
+    cells = sides.select(*key, F.col("left_at").alias("left"), F.col("right_at").alias("right"), F.col("_low").alias("bottom"), F.col("_high").alias("top")).distinct()
+
+    at = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / width).cast("long")
     spread = lambda df, x0, x1, y0, y1: df.withColumn("_cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn(
         "_cy", F.explode(F.sequence(at(y0), at(y1)))
     )
-    met = spread(cells, "left", "right", "bottom", "top").join(spread(boxes, "x0", "x1", "y0", "y1"), [*key, "_cx", "_cy"])
+    # sorted and joined by one number, which is cheaper than by the keys; these decide
+    meeting = lambda df: df.withColumn("_place", F.xxhash64(*key, "_cx", "_cy"))
+    theirs = {c: f"_of_{c}" for c in (*key, "_cx", "_cy")}
+    around = meeting(spread(cells, "left", "right", "bottom", "top")).withColumnsRenamed(theirs)
+    met = around.join(meeting(spread(own, "x0", "x1", "y0", "y1")), "_place").where(reduce(and_, [F.col(c) == F.col(n) for c, n in theirs.items()]))
     touches = (F.col("y0") < F.col("top")) & (F.col("y1") > F.col("bottom")) & (F.col("x0") < F.col("right")) & (F.col("x1") > F.col("left"))
     starts_within = (F.col("y0") > F.col("bottom")) & (F.col("y0") < F.col("top")) & (F.col("x0") < F.col("right")) & (F.col("x1") > F.col("left"))
     inside = (F.col("x0") >= F.col("left")) & (F.col("x1") <= F.col("right")) & (F.col("y0") > F.col("bottom")) & (F.col("y1") < F.col("top"))
     place = ["left", "right", "bottom", "top"]
-    # a pair may meet in several buckets
-    pairs = cut(met.where(touches & (inside | starts_within)).select(*key, *place, "id", inside.alias("inside")).distinct())
-    shared = pairs.where("inside").groupBy(*key, "id").agg(F.count("*").alias("n")).where("n > 1").select(*key, "id")
-    bad = pairs.where(~F.col("inside")).select(*key, *place).unionByName(pairs.where("inside").join(shared, [*key, "id"], "left_semi").select(*key, *place))
-    owned = pairs.where("inside").groupBy(*key, *place).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("id")).alias("items"))
-    return owned.join(bad.distinct(), [*key, *place], "left_anti")
+    # a pair meets in several buckets and counts in that of the lower corner of what they share
+    here = (at(F.greatest("x0", "left")) == F.col("_cx")) & (at(F.greatest("y0", "bottom")) == F.col("_cy"))
+    pairs = met.where(touches & (inside | starts_within) & here).select(*key, *place, "id", inside.alias("inside"))
+    pairs = pairs.repartition(*key, "id").distinct().withColumn("_cells", F.count_if("inside").over(Window.partitionBy(*key, "id")))
+    bad = ~F.col("inside") | ((F.col("_cells") > 1) & F.col("id").isNotNull())
+    owned = pairs.groupBy(*key, *place).agg(F.bool_or(bad).alias("_bad"), F.count("*").alias("n_items"), F.array_sort(F.collect_list("id")).alias("items"))
+    return owned.where(~F.col("_bad")).drop("_bad")

@@ -94,6 +94,35 @@ def test_nearest_rules_are_those_of_a_plain_loop(spark):
     assert layout.nearest_cover(asked.where("false"), lines, ["page"], 5.0).count() == 0
 
 
+def test_nearest_rules_over_many_batches_and_with_equal_hashes(spark, monkeypatch):
+    rng = random.Random(9)
+    rules = [(p, k, *sorted((rng.randint(0, 60), rng.randint(0, 60))), y, y) for p in ("a", "b", None) for k, y in enumerate(rng.choices(range(40), k=60))]
+    items = [(p, k, x, x + rng.randint(0, 9), rng.randint(0, 40)) for p in ("a", "b", None) for k, x in enumerate(rng.choices(range(60), k=60))]
+    want = set()
+    for p, i, low, high, at in items:
+        fits = [(y, k) for q, k, a, b, y, edge in rules if q == p and a <= low and high <= b and edge >= at]
+        if fits:
+            want.add((p, i, min(fits)[1], float(min(fits)[0])))
+    asked = spark.createDataFrame(items, "page string, id long, low int, high int, at int")
+    lines = spark.createDataFrame(rules, "page string, rule long, low int, high int, at int, edge int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r) for r in layout.nearest_cover(asked, lines, ["page"], 9.0).collect()} == want
+        monkeypatch.setattr(layout.F, "xxhash64", lambda *_: F.lit(-6).cast("long"))
+        assert {tuple(r) for r in layout.nearest_cover(asked, lines, ["page"], 9.0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_boxes_go_to_python_once_for_two_sides(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(layout, "cut", lambda df: tables.append(1) or storage.cut(df))
+    rules = spark.createDataFrame([], "page string, rule long, x0 double, x1 double, y0 double, y1 double, ink double")
+    boxes = spark.createDataFrame([], "page string, id long, x0 double, x1 double, y0 double, y1 double")
+    plan = layout.grid_cells(boxes, rules, ["page"], 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and not tables
+
+
 def test_ruled_cells_by_hand(spark):
     """Four cells of a 2 x 2 grid: one with two boxes, one empty, one that a box crosses, one with one box."""
     level = [("p", k, 0.0, 20.0, y, y, 0.5) for k, y in enumerate((0.0, 10.0, 20.0))]
