@@ -38,42 +38,48 @@ def placed_cells(cells: DataFrame, table: list[str], row: str, seq: str, row_spa
     one task, one at a time.  Empty tables give empty tables; repeated rows are cells of their own.
     """
     whole = lambda c, most: F.least(F.greatest(F.coalesce(F.col(c).cast("int"), F.lit(1)), F.lit(1)), F.lit(most))
-    last = cells.groupBy(*table).agg(F.max(row).alias("_last"))
-    keyed = cells.withColumns({"_wide": whole(column_span, MOST_COLUMNS), "_high": whole(row_span, MOST_ROWS)}).withColumn(
-        "_table", F.struct(*table)
-    )
-    inner = keyed.select("*", F.to_json("_table").alias("_name"), F.col(row).cast("long").alias("_row")).drop("_table")
-    dealt = inner.repartition(*table).sortWithinPartitions("_name", "_row", seq)
-    names = dealt.columns
-    at = [names.index(c) for c in ("_name", "_row", "_wide", "_high")]
+    # the windows bring a table's rows to one task (no other shuffle, where the cells are dealt by their page already) and sort them for the walk
+    in_order = Window.partitionBy(*table).orderBy("_row", seq)
+    keyed = cells.withColumns({"_wide": whole(column_span, MOST_COLUMNS), "_high": whole(row_span, MOST_ROWS), "_row": F.col(row).cast("long")})
+    last = F.max("_row").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inner = keyed.withColumns({"_begins": F.row_number().over(in_order) == 1, "_last": last}).sortWithinPartitions(*table, "_row", seq)
+    names = inner.columns
+    at = [names.index(c) for c in ("_begins", "_row", "_wide", "_high")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, current_row, cursor, taken = None, None, 0, []
+        current_row, cursor, taken = None, 0, []
         for batch in batches:
             first, end, over = [], [], []
-            for name, r, wide, high in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
-                if name != current:
-                    current, current_row, taken = name, None, []
+            for begins, r, wide, high in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if begins:
+                    current_row, taken = None, []
                 if r != current_row:
                     current_row, cursor = r, 0
                 while cursor < len(taken) and taken[cursor] > r:
                     cursor += 1
-                taken += [0] * (cursor + wide - len(taken))
-                over.append(any(until > r for until in taken[cursor : cursor + wide]))
-                taken[cursor : cursor + wide] = [max(until, r + high) for until in taken[cursor : cursor + wide]]
                 first.append(cursor)
-                cursor += wide
-                end.append(cursor)
+                stop = cursor + wide
+                if stop > len(taken):
+                    taken += [0] * (stop - len(taken))
+                clash, until = False, r + high
+                for i in range(cursor, stop):
+                    if taken[i] > r:
+                        clash = True
+                    if taken[i] < until:
+                        taken[i] = until
+                over.append(clash)
+                cursor = stop
+                end.append(stop)
             grid = [pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(over, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *grid], names=[*names, "first_column", "end_column", "overlaps"])
 
-    schema = _with(dealt.schema, first_column="integer", end_column="integer", overlaps="boolean")
-    out = dealt.mapInArrow(walk, schema).join(last, table)
+    out = inner.mapInArrow(walk, _with(inner.schema, first_column="integer", end_column="integer", overlaps="boolean"))
+    out = out.dropna(subset=table)
     end_row = F.least(F.col("_row") + F.col("_high"), F.col("_last") + 1).cast("long")
-    return out.withColumn("end_row", end_row).drop("_wide", "_high", "_name", "_row", "_last")
+    return out.withColumn("end_row", end_row).drop("_wide", "_high", "_begins", "_row", "_last")
 
 
-_TAG = r"(?i)^<(/?)(table|tr|td|th)\b([^>]*)>"
+_TAG = r"(?i)^<(/?(?:table|tr|td|th))\b"
 _SCRIPTS = r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>"
 #: Entities that texts of cells are read with, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -87,9 +93,13 @@ def _plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+def _attributes(tags: DataFrame, tag: str, names: list[str]) -> DataFrame:
+    """``tags`` with the values of attributes as columns of their names, empty where a tag has none."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    raw = tags.withColumns({n: F.regexp_extract(tag, rf"(?is)(?:^|\s){n}\s*=\s*{value}", 1) for n in names})
+    # the value without its quotes
+    quoted = lambda n: F.left(n, F.lit(1)).isin("'", '"')
+    return raw.withColumns({n: F.when(quoted(n), F.substr(n, F.lit(2), F.length(n) - 2)).otherwise(F.col(n)) for n in names})
 
 
 def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -103,8 +113,9 @@ def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """
     clean = F.regexp_replace(F.col(html_col), _SCRIPTS, "")
     pieces = pages.select(id_col, F.posexplode(F.split(clean, r"(?i)(?=</?(?:table|tr|td|th)\b)")).alias("k", "piece"))
-    tag = lambda k: F.regexp_extract("piece", _TAG, k)
-    pieces = pieces.where(F.col("piece").rlike(_TAG)).withColumns({"name": F.lower(tag(2)), "start": tag(1) == "", "attributes": tag(3)})
+    # one search a piece; the rest of a tag is read where it is a cell's
+    pieces = pieces.withColumn("tag", F.lower(F.regexp_extract("piece", _TAG, 1))).where((F.col("tag") != "") & F.col("piece").contains(">"))
+    pieces = pieces.withColumns({"name": F.ltrim("tag", F.lit("/")), "start": ~F.col("tag").startswith("/")}).drop("tag")
     by_page = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when(F.col("name") == "table", F.when(F.col("start"), 1).otherwise(-1)).otherwise(0)
     pieces = pieces.withColumn("depth", F.sum(opens).over(by_page))
@@ -117,11 +128,13 @@ def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     # the cell that is open: begun by its tag, ended by its end tag or by a tag of a row
     cell = F.last(F.when(is_cell, F.col("k")).when(F.col("name") != "table", F.lit(-1)), ignorenulls=True).over(in_table)
     inside = pieces.withColumns({"row": row, "cell": cell}).where("row >= 0 AND cell >= 0")
-    head = F.min_by(F.struct("name", "attributes"), "k")
-    body = F.array_sort(F.collect_list(F.struct("k", F.regexp_replace("piece", _TAG, "").alias("html"))))
+    body = F.array_sort(F.collect_list(F.struct("k", F.substr("piece", F.locate(">", "piece") + 1).alias("html"))))
+    head = F.min_by(F.struct("name", F.substring_index("piece", ">", 1).alias("tag")), "k")
     found = inside.groupBy(id_col, "table", "row", F.col("cell").alias("seq")).agg(head.alias("head"), F.array_join(body["html"], "").alias("body"))
-    declared = lambda n: F.nullif(F.regexp_extract(F.trim(_attribute(F.col("head.attributes"), n)), r"^\d{1,9}$", 0).try_cast("int"), F.lit(0))
-    scope = F.lower(_attribute(F.col("head.attributes"), "scope"))
+    found = found.withColumn("tag", F.substr("head.tag", F.length("head.name") + 2))
+    found = _attributes(found, "tag", ["scope", "rowspan", "colspan"])
+    declared = lambda n: F.nullif(F.regexp_extract(F.trim(n), r"^\d{1,9}$", 0).try_cast("int"), F.lit(0))
+    scope = F.lower("scope")
     parts = F.split("body", r"(?i)(?=</?(?:sup|sub)\b)")
     kind = lambda p: F.when(p.rlike("(?i)^<sup"), "superscript").when(p.rlike("(?i)^<sub"), "subscript").otherwise("text")
     runs = F.filter(F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), _plain(p).alias("text"))), lambda r: r["text"] != "")

@@ -56,11 +56,12 @@ def table_cells(t: Tables) -> DataFrame:
     html = F.concat(F.lit("<p>before</p><!-- <table> --><table border=1>"), F.col("rows"), F.lit("</table><p>after"))
     pages = joined.select("l_orderkey", html.alias("html")).unionByName(t.pages.select((-F.col("page_id") - 1).alias("l_orderkey"), "html"))
     cells = layout.table_cells(pages, "l_orderkey")
-    placed = layout.placed_cells(cells, ["l_orderkey", "table"], "row", "seq", "row_span", "column_span")
-    runs = F.array_join(F.transform("runs", lambda r: F.concat(r["kind"], F.lit(":"), r["text"])), "|")
+    # counted before they are placed, where the cells of a page are in one task already
     rank = F.row_number().over(Window.partitionBy("l_orderkey", "table", "row").orderBy("seq"))
+    placed = layout.placed_cells(cells.withColumn("cell", rank - 1), ["l_orderkey", "table"], "row", "seq", "row_span", "column_span")
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(r["kind"], F.lit(":"), r["text"])), "|")
     return placed.select(
-        "l_orderkey", F.col("row").cast("long").alias("row"), (rank - 1).cast("long").alias("cell"), "first_column", "end_column", "end_row", "overlaps",
+        "l_orderkey", F.col("row").cast("long").alias("row"), F.col("cell").cast("long").alias("cell"), "first_column", "end_column", "end_row", "overlaps",
         "header", "scope", "text", runs.alias("runs"),
     )
 

@@ -40,6 +40,19 @@ def test_cells_that_cross_are_marked(spark):
     assert layout.placed_cells(cells.where("false"), ["name"], "row", "seq", "high", "wide").count() == 0
 
 
+def test_pages_are_parsed_once_and_dealt_once(spark):
+    pages = spark.createDataFrame([(1, PAGE)], "page_id long, html string")
+    placed = layout.placed_cells(layout.table_cells(pages), ["page_id", "table"], "row", "seq", "row_span", "column_span")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("Exchange ") == 1
+
+
+def test_spans_in_any_quotes(spark):
+    tags = """<table><tr><td rowspan=2 colspan='3'>a<TD data-colspan="7" COLSPAN = "4">b<td rowspan='"2"' scope="">c<td colspan=''>d<td colspan="5>e</table>"""
+    got = layout.table_cells(spark.createDataFrame([(1, tags)], "page_id long, html string")).orderBy("seq").collect()
+    assert [(r.text, r.row_span, r.column_span, r.scope) for r in got] == [("a", 2, 3, None), ("b", None, 4, None), ("c", None, None, None), ("d", None, None, None), ("e", None, None, None)]
+
+
 def test_html_blocks_by_hand(spark):
     """Rows written by hand, not by the parser."""
     got = html.html_blocks(spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")).orderBy("seq").collect()
