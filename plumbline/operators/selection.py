@@ -127,6 +127,20 @@ def constraint_gate(kind: Column, evaluators: dict[str, Column]) -> Column:
     return F.when(verdict, F.lit("YES")).when(~verdict, F.lit("NO")).otherwise(F.lit("UNKNOWN"))
 
 
+def _bindings(candidates: DataFrame, id_col: str, interfaces: list[str], rules: list[tuple[str, str, str]], ports: DataFrame, ways: DataFrame) -> DataFrame:
+    """A row per way to bind the interfaces (``at_<interface>``), with the list ``_of_<path>`` of the ways between the ports of each
+    rule.  ``ports`` and ``ways`` are one row per candidate, with the lists ``_ports`` and ``_ways``."""
+    out = candidates.select(id_col).join(ports, id_col, "left").join(ways, id_col, "left")
+    out = out.select(id_col, "_ports", *[F.col("_ways").alias(f"_of_{n}") for n, _, _ in rules])
+    for i in interfaces:
+        out = out.select("*", F.explode_outer("_ports").alias("_one")).withColumn(f"at_{i}", F.col("_one.port")).drop("_one")
+        for name_, a, b in rules:
+            for end, of in (("source", a), ("target", b)):
+                if of == i:
+                    out = out.withColumn(f"_of_{name_}", F.filter(f"_of_{name_}", lambda w: w[end] == F.col(f"at_{i}")))  # noqa: B023
+    return out.drop("_ports")
+
+
 def product_witnesses(
     candidates: DataFrame, id_col: str, interfaces: list[str], path_rules: list[tuple[str, str, str]], ports: DataFrame, paths: DataFrame, bound: int
 ) -> DataFrame:
@@ -136,22 +150,32 @@ def product_witnesses(
     ``ports``: ``id_col, port``; ``paths``: ``id_col, source, target, path``; ``path_rules``: (path, from interface, to interface).
     A candidate without ports, and ports without a path, keep one row with a null in that place.  More than ``bound``
     bindings of one candidate are an error before they are made; nothing is truncated.
+
+    Ports and paths of a candidate meet as lists, once their number is known to be within the bound, and are bound in place, so what is
+    shuffled are ports and paths, never bindings.
     """
     counts = ports.groupBy(id_col).count()
     if not counts.where(F.pow("count", F.lit(len(interfaces))) > bound).isEmpty():
         raise ValueError(f"a candidate has more than {bound} bindings of ports")
-    out = candidates.select(id_col)
-    for i in interfaces:
-        out = out.join(ports.select(id_col, F.col("port").alias(f"at_{i}")), id_col, "left")
-    for name_, a, b in sorted(path_rules):
-        own = paths.select(id_col, F.col("source").alias(f"at_{a}"), F.col("target").alias(f"at_{b}"), F.col("path").alias(f"via_{name_}"))
-        keys = [id_col, f"at_{a}", f"at_{b}"]
-        ways = own.groupBy(*keys).count()
-        many = out.join(ways, keys, "left").groupBy(id_col).agg(F.sum(F.coalesce("count", F.lit(1))).alias("n"))
-        if not many.where(F.col("n") > bound).isEmpty():
+    rules = sorted(path_rules)
+    if not {i for _, *ends in rules for i in ends} <= set(interfaces):
+        raise ValueError("a path is between interfaces that the role does not have")
+    own = ports.groupBy(id_col).agg(F.collect_list(F.struct("port")).alias("_ports")).join(candidates.select(id_col), id_col, "left_semi")
+    between = F.array_contains("_ports.port", F.col("source")) & F.array_contains("_ports.port", F.col("target"))
+    listed = lambda df, has, by: df.join(has, id_col).where(between).groupBy(id_col).agg(F.collect_list(F.struct("source", "target", by)).alias("_ways"))
+    # where no two paths have the same ends, paths do not multiply bindings
+    ways = paths.groupBy(id_col, "source", "target").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if rules and not ways.isEmpty():
+        most = ways.groupBy(id_col).agg(F.max("n").alias("_most"))
+        doubtful = own.join(most, id_col).where(F.pow(F.size("_ports"), F.lit(len(interfaces))) * F.pow("_most", F.lit(len(rules))) > bound).drop("_most")
+        rows = _bindings(doubtful, id_col, interfaces, rules, doubtful, listed(ways, doubtful, "n"))
+        each = [F.coalesce(F.get(f"_of_{n}", F.lit(0))["n"], F.lit(1)).cast("double") for n, _, _ in rules]
+        if not rows.groupBy(id_col).agg(F.sum(reduce(lambda x, y: x * y, each)).alias("n")).where(F.col("n") > bound).isEmpty():
             raise ValueError(f"a candidate has more than {bound} bindings of paths")
-        out = out.join(own, keys, "left")
-    return out.select(id_col, *[f"at_{i}" for i in interfaces], *[f"via_{n}" for n, _, _ in sorted(path_rules)])
+    out = _bindings(candidates, id_col, interfaces, rules, own, listed(paths, own, "path"))
+    for name_, _, _ in rules:
+        out = out.select("*", F.explode_outer(f"_of_{name_}").alias("_one")).withColumn(f"via_{name_}", F.col("_one.path")).drop("_one", f"_of_{name_}")
+    return out.select(id_col, *[f"at_{i}" for i in interfaces], *[f"via_{n}" for n, _, _ in rules])
 
 
 def enumerate_witnesses(bindings: DataFrame, ports: DataFrame, paths: DataFrame, binding: list[str], port: list[str]) -> DataFrame:

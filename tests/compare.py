@@ -26,3 +26,11 @@ def rows_of_duck(con, sql):
     names = sorted(rel.columns)
     at = [rel.columns.index(n) for n in names]
     return names, sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles by the session so far."""
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from compare import shuffled_rows
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -227,6 +228,36 @@ def test_bindings_of_two_interfaces(spark):
             selection.product_witnesses(*args, bound)
 
 
+def test_bindings_of_ports_are_not_shuffled(spark):
+    """Ports and paths are; their combinations are not, and two paths with the same ends, or ports told twice, count each."""
+    n, width = 200, 30
+    candidates = spark.range(n + 1).withColumnRenamed("id", "i")
+    ports = spark.range(n * width).select((F.col("id") % n).alias("i"), F.col("id").alias("port"))
+    paths = ports.select("i", F.col("port").alias("source"), (F.col("port") + n).alias("target"), F.lit("x").alias("path"))
+    given = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in given:
+        spark.conf.set(k, "-1")
+    before = shuffled_rows(spark)
+    out = selection.product_witnesses(candidates, "i", ["a", "b"], [("m", "a", "b")], ports, paths, width * width)
+    got = out.groupBy("i").agg(F.count("*").alias("n"), F.count("via_m").alias("m")).groupBy("n", "m").count().collect()
+    moved = shuffled_rows(spark) - before
+    for k, v in given.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {tuple(r) for r in got} == {(1, 0, 1), (width * width, width - 1, n)}
+    assert moved < n * width * width / 2
+
+    one = spark.createDataFrame([(1,), (1,), (None,), (None,)], "i int")
+    twice = spark.createDataFrame([(1, "p"), (1, "p"), (1, None), (None, "p"), (5, "p")], "i int, port string")
+    many = spark.createDataFrame([(1, "p", "p", None), (1, "p", "p", "y"), (5, "p", "p", "a"), (5, "p", "p", "b")] + [(1, "p", "z", "w")] * 99, "i int, source string, target string, path string")
+    for rules, rows in (([("m", "a", "b")], 13), ([("m", "a", "b"), ("k", "b", "a")], 21), ([("m", "a", "a")], 15)):
+        assert selection.product_witnesses(one, "i", ["a", "b"], rules, twice, many, rows).where("i = 1").count() == 2 * rows
+        with pytest.raises(ValueError, match="paths"):
+            selection.product_witnesses(one, "i", ["a", "b"], rules, twice, many, rows - 1)
+    assert selection.product_witnesses(one, "i", ["a", "b"], [("m", "a", "b")], twice, many, 13).where("i is null").count() == 2
+    with pytest.raises(ValueError, match="interfaces"):
+        selection.product_witnesses(one, "i", ["a", "b"], [("m", "a", "c")], twice, many, 99)
+
+
 def test_identities_are_bounded(spark):
     rows = [("x MP-II 48/3000 y", "mp ii 48/3000", True), ("MPII", "MP", False), ("é-MP%20II", "mp_ii", True), ("amp", "mp", False), ("mp amp mp.", "MP", True), ("a.b", "a+b", False), ("axb", "a.b", False),
             ("x", "", False), ("x", None, False), (None, "x", False), ("100% mp", "mp", True), ("a\\\\Eb c", "a\\\\Eb", True), ("éa", "a", False)]
