@@ -12,15 +12,25 @@ from ..sources.storage import cut
 
 
 def _chains(decisions: DataFrame) -> DataFrame:
-    """Per proposal: its number of decisions, whether they are a chain, and the last one."""
-    own = F.struct("id", "digest", "previous", "previous_digest", "proposal_digest", "snapshot", "outcome", "value")
-    steps = decisions.groupBy("proposal", "revision").agg(F.count("*").alias("n"), F.min(own).alias("at"))
-    before = steps.select("proposal", (F.col("revision") + 1).alias("revision"), F.col("at.id").alias("prior"), F.col("at.digest").alias("prior_digest"))
-    linked = steps.join(before, ["proposal", "revision"], "left")
-    first = (F.col("revision") == 1) & F.col("at.previous").isNull() & F.col("at.previous_digest").isNull()
-    follows = (F.col("at.previous") == F.col("prior")) & (F.col("at.previous_digest") == F.col("prior_digest"))
+    """Per proposal: its number of decisions, whether they are a chain, and the last one.
+
+    A decision stands at its own revision with what it refers to, and at the next one with what is to be referred to there, so the two
+    meet by aggregation.  Rows that are together by proposal already stay where they are; others are dealt by proposal and revision.
+    """
+    ahead = F.col("_ahead")
+    told = decisions.withColumn("_ahead", F.explode(F.array(F.lit(False), F.lit(True)))).select(
+        "proposal", (F.col("revision") + ahead.cast("int")).alias("revision"), "_ahead",
+        F.struct(F.when(ahead, F.col("id")).otherwise(F.col("previous")).alias("id"), F.when(ahead, F.col("digest")).otherwise(F.col("previous_digest")).alias("digest")).alias("link"),
+        F.when(~ahead, F.struct("id", "proposal_digest", "snapshot", "outcome", "value")).alias("own"),
+    )
+    steps = told.groupBy("proposal", "revision").agg(
+        F.count_if(~ahead).alias("n"), F.min("own").alias("at"), F.min(F.when(~ahead, F.col("link"))).alias("named"), F.min(F.when(ahead, F.col("link"))).alias("prior")
+    )
+    first = (F.col("revision") == 1) & F.col("named.id").isNull() & F.col("named.digest").isNull()
+    follows = (F.col("named.id") == F.col("prior.id")) & (F.col("named.digest") == F.col("prior.digest"))
     good = F.coalesce((F.col("n") == 1) & (first | follows), F.lit(False))
-    return linked.groupBy("proposal").agg(F.sum("n").alias("decisions"), F.bool_and(good).alias("chained"), F.max_by("at", "revision").alias("last"))
+    whole = steps.where(F.col("n") > 0).groupBy("proposal")
+    return whole.agg(F.sum("n").alias("decisions"), F.bool_and(good).alias("chained"), F.max_by("at", "revision").alias("last"))
 
 
 def replayed_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -33,7 +43,7 @@ def replayed_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     last one's outcome is the state.  ``effective`` is the decided value for ``map``, the proposal's own for ``automatic`` and ``stale``,
     and null otherwise.  ``inert`` counts the decisions that have no effect.  Decisions without a proposal or revision are not seen.
 
-    Links are checked by a join on proposal and revision, and the rest by aggregation, so that a proposal with very many decisions is
+    Links are checked by aggregation per proposal and revision, combined per proposal, so that a proposal with very many decisions is
     no hot key.
     """
     chains = _chains(decisions.where(F.col("proposal").isNotNull() & F.col("revision").isNotNull()))

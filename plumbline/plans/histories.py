@@ -87,8 +87,13 @@ def schema_issues(t: Tables) -> DataFrame:
     return schemas.violations(records, "record", EVENT)
 
 
+def _digest(*parts: str | Column) -> Column:
+    """In bytes, half as wide as in digits."""
+    return F.unhex(F.sha2(F.concat_ws(":", *parts).cast("binary"), 256))
+
+
 def _proposals(t: Tables) -> DataFrame:
-    digest = F.sha2(F.concat_ws(":", "o_orderkey", "o_orderstatus").cast("binary"), 256)
+    digest = _digest("o_orderkey", "o_orderstatus")
     return t.orders.select(F.col("o_orderkey").alias("proposal"), digest.alias("digest"), F.substring("o_orderpriority", 1, 1).alias("snapshot"), F.col("o_custkey").alias("value"))
 
 
@@ -97,15 +102,14 @@ def _decisions(t: Tables) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rank = F.row_number().over(order).cast("long")
     number = t.lineitem.withColumn("rank", rank).withColumn("id", F.col("l_orderkey") * 1000 + F.col("rank"))
-    digest = F.sha2(F.concat_ws(":", "id", "l_partkey").cast("binary"), 256)
-    number = number.withColumn("own", digest).withColumn("before", F.lag("own").over(order))
+    number = number.withColumn("own", _digest("id", "l_partkey")).withColumn("before", F.lag("own").over(order))
     status = F.when(F.col("l_linestatus") == "O", "O").when(F.col("l_quantity") < 25, "F").otherwise("P")
     outcome = F.when(F.col("l_returnflag") == "A", "map").when(F.col("l_returnflag") == "N", "reject").otherwise("defer")
     twice = (F.col("l_partkey") % 41 == 0) & (F.col("rank") > 1)
     return number.select(
         "id", F.col("l_orderkey").alias("proposal"), F.when(twice, F.col("rank") - 1).otherwise(F.col("rank")).alias("revision"),
         F.when(F.col("rank") > 1, F.col("id") - 1).alias("previous"), F.when(F.col("l_quantity") != 13, F.col("before")).alias("previous_digest"),
-        F.col("own").alias("digest"), F.sha2(F.concat_ws(":", "l_orderkey", status).cast("binary"), 256).alias("proposal_digest"),
+        F.col("own").alias("digest"), _digest("l_orderkey", status).alias("proposal_digest"),
         (1 + F.col("l_suppkey") % 5).cast("string").alias("snapshot"), outcome.alias("outcome"), F.col("l_partkey").alias("value"),
     )
 

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from compare import shuffled_rows
 from pyspark.sql import functions as F
 
 from plumbline.operators import histories
@@ -113,6 +114,29 @@ def test_replay_keeps_stale_and_broken_decisions_inert(spark):
     assert events[90] is None
 
 
+def test_decisions_that_are_together_stay_where_they_are(spark):
+    n, width = 20_000, 5
+    k, place = F.col("id"), F.col("id") % width
+    decisions = spark.range(n).repartition(4).select(
+        k, (k / width).cast("long").alias("proposal"), (place + 1).alias("revision"), F.when(place > 0, k - 1).alias("previous"),
+        F.when(place > 0, F.concat(F.lit("d"), k - 1)).alias("previous_digest"), F.concat(F.lit("d"), k).alias("digest"), F.lit("now").alias("proposal_digest"),
+        F.lit("s").alias("snapshot"), F.lit("map").alias("outcome"), k.alias("value"),
+    )
+    proposals = decisions.where("revision = 1").select("proposal", F.col("proposal_digest").alias("digest"), "snapshot", F.lit(0).cast("long").alias("value"))
+    given = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for c in given:
+        spark.conf.set(c, "-1")
+    stored = {"p": storage.cut(proposals), "d": storage.cut(decisions)}
+    before = shuffled_rows(spark)
+    got = histories.replayed_decisions(stored["p"], stored["d"].repartition("proposal")).groupBy("state", "decisions", "inert", F.col("effective") % width).count().collect()
+    moved = shuffled_rows(spark) - before
+    for c, v in given.items():
+        spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert [tuple(r) for r in got] == [("map", width, width - 1, width - 1, n // width)]
+    # all decisions once, all proposals once and a few sums
+    assert moved < 1.5 * n
+
+
 def test_one_proposal_with_most_decisions(spark):
     many = spark.range(1, 50_001).select(
         F.col("id"), F.lit(1).cast("long").alias("proposal"), F.col("id").alias("revision"), F.when(F.col("id") > 1, F.col("id") - 1).alias("previous"),
