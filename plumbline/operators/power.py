@@ -171,7 +171,7 @@ def shared_capacity(demands: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def shared_capacity_checks(operations: DataFrame, demands: DataFrame, groups: DataFrame) -> DataFrame:
+def shared_capacity_checks(operations: DataFrame, demands: DataFrame, groups: DataFrame, most: int = 10_000) -> DataFrame:
     """Per operation and subject one ``check`` and its ``status``, with the summed ``demand`` where there is one.
 
     ``operations``: ``op_id, mode, battery_count, temperature_c, required`` (group ids); ``demands``: ``op_id, path_id,
@@ -181,57 +181,60 @@ def shared_capacity_checks(operations: DataFrame, demands: DataFrame, groups: Da
     Groups that an operation requires, and all that are declared for its mode, must fit it exactly once.  Demands in
     another unit leave a group unresolved; two paths that exclude each other may not both have a demand; the sum of a
     group may reach its limit.  A demand that no required group of the mode covers is unresolved.
+
+    Groups are a reviewed table of at most ``most`` rows, which is checked, so they are broadcast by mode.  An operation meets its demands on
+    the paths of groups, summed by path and unit, as one list and is judged in place; demands that nothing covers are told one by one.
     """
-    g = groups.select("group_id", *[F.col(c).alias(f"_g_{c}") for c in groups.columns if c != "group_id"])
-    required = operations.select("op_id", F.explode("required").alias("group_id"))
-    declared = operations.join(g.select("group_id", F.col("_g_mode").alias("mode")), "mode").select("op_id", "group_id")
-    wanted = required.unionByName(declared).distinct().join(operations.drop("required"), "op_id")
-    count_fits = F.col("_g_battery_count").isNull() | F.col("_g_battery_count").eqNullSafe(F.col("battery_count"))
-    bounded = F.col("_g_least_c").isNotNull() | F.col("_g_most_c").isNotNull()
-    inside = (F.coalesce(F.col("temperature_c") >= F.col("_g_least_c"), F.col("_g_least_c").isNull())) & (
-        F.coalesce(F.col("temperature_c") <= F.col("_g_most_c"), F.col("_g_most_c").isNull())
-    )
-    fits = (F.col("_g_mode") == F.col("mode")) & count_fits & (~bounded | (F.col("temperature_c").isNotNull() & inside))
-    own = [c for c in g.columns if c != "group_id"]
-    joined = wanted.join(g, "group_id", "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    one = joined.groupBy("op_id", "group_id").agg(
-        F.count_if("_fits").alias("_n"), F.first(F.when(F.col("_fits"), F.struct(*own)), ignorenulls=True).alias("_g")
-    )
-    one = one.select("op_id", "group_id", "_n", "_g.*")
-    unknown = (F.col("_n") != 1) | F.coalesce(F.col("_g_open"), F.lit(False))
+    n = groups.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} groups")
+    moded = groups.where(F.col("mode").isNotNull()).groupBy("mode").agg(F.collect_list(F.struct(*groups.columns)).alias("all"))
+    by_mode = F.broadcast(moded.agg(F.map_from_entries(F.collect_list(F.struct("mode", "all"))).alias("_by_mode")))
+    joined = lambda arrays: F.flatten(F.array_compact(arrays))
+    own = operations.where(F.col("op_id").isNotNull()).groupBy("op_id").agg(F.collect_list(F.struct("mode", "battery_count", "temperature_c", "required")).alias("_ops"))
+    own = own.select("op_id", "_ops", joined(F.col("_ops.required")).alias("_required")).crossJoin(by_mode)
+    own = own.withColumn("_groups", joined(F.transform(F.array_distinct("_ops.mode"), lambda m: F.try_element_at("_by_mode", m)))).drop("_by_mode")
+    paths = F.broadcast(groups.select(F.explode("paths").alias("path_id")).distinct())
+    sums = demands.join(paths, "path_id", "left_semi").groupBy("op_id", "path_id", "unit")
+    sums = sums.agg(F.sum("value").cast("double").alias("sum"), F.bool_or(F.col("value") > 0).alias("positive"))
+    lists = sums.groupBy("op_id").agg(F.collect_list(F.struct("path_id", "unit", "sum", "positive")).alias("_demands"))
+    wanted = F.explode(F.array_distinct(F.concat("_required", "_groups.group_id")))
+    asked = own.join(lists, "op_id", "left").select("op_id", "_ops", "_groups", "_demands", wanted.alias("group_id"))
+
+    def fits(g: Column, o: Column) -> Column:
+        warm, cool = o["temperature_c"] >= g["least_c"], o["temperature_c"] <= g["most_c"]
+        inside = F.coalesce(warm, g["least_c"].isNull()) & F.coalesce(cool, g["most_c"].isNull())
+        bounded = g["least_c"].isNotNull() | g["most_c"].isNotNull()
+        counted = g["battery_count"].isNull() | g["battery_count"].eqNullSafe(o["battery_count"])
+        return (g["group_id"] == F.col("group_id")) & (g["mode"] == o["mode"]) & counted & (~bounded | (o["temperature_c"].isNotNull() & inside))
+
+    fitting = F.flatten(F.transform("_ops", lambda o: F.filter("_groups", lambda g: fits(g, o))))
+    one = asked.select("op_id", "group_id", "_demands", fitting.alias("_fitting"))
+    one = one.select("op_id", "group_id", F.size("_fitting").alias("_n"), F.get("_fitting", F.lit(0)).alias("_g"), "_demands")
+    one = one.withColumn("_met", F.filter("_demands", lambda d: F.array_contains("_g.paths", d["path_id"]))).drop("_demands")
+    unknown = (F.col("_n") != 1) | F.coalesce("_g.open", F.lit(False))
+    mixed = F.coalesce(F.exists("_met", lambda d: d["unit"] != F.col("_g.unit")), F.lit(False))
+    total = F.coalesce(F.aggregate("_met", F.lit(0.0), lambda x, d: x + F.coalesce(d["sum"], F.lit(0.0))), F.lit(0.0))
+    one = one.select("op_id", "group_id", "_g", "_met", unknown.alias("_unknown"), mixed.alias("_mixed"), total.alias("_total"))
+
     none = F.lit(None).cast("double")
-    rows = lambda df, check, subject, status, demand=none: df.select(
-        "op_id", F.lit(check).alias("check"), subject.cast("string").alias("subject"), status.alias("status"), demand.alias("demand")
-    )
-    open_ = rows(one.where(unknown), "capacity_condition_unknown", F.col("group_id"), F.lit("UNRESOLVED"))
-    known = one.where(~unknown)
-    # a path stands in a group once, so a demand meets the group once
-    paths = known.select("op_id", "group_id", F.explode(F.array_distinct("_g_paths")).alias("path_id"))
-    met = paths.join(demands, ["op_id", "path_id"])
-    positive = F.collect_set(F.when(F.col("value") > 0, F.col("path_id")))
-    sums = met.groupBy("op_id", "group_id").agg(
-        F.sum("value").alias("_sum"), F.min("unit").alias("_u0"), F.max("unit").alias("_u1"), positive.alias("_active")
-    )
-    summed = known.join(sums, ["op_id", "group_id"], "left")
-    mixed = F.coalesce((F.col("_u0") != F.col("_g_unit")) | (F.col("_u1") != F.col("_g_unit")), F.lit(False))
-    clash = rows(summed.where(mixed), "capacity_unit_mismatch", F.col("group_id"), F.lit("UNRESOLVED"))
-    total = F.coalesce("_sum", F.lit(0.0))
-    status = F.when(total <= F.col("_g_limit"), F.lit("ELIGIBLE")).otherwise(F.lit("BLOCKED"))
-    sound = summed.where(~mixed)
-    held = rows(sound, "combined_capacity", F.col("group_id"), status, total)
-    active = F.coalesce("_active", F.array().cast("array<string>"))
-    pairs = sound.withColumn("_pair", F.explode("_g_excluded"))
-    both = F.array_contains(active, F.col("_pair.a")) & F.array_contains(active, F.col("_pair.b"))
-    named = F.concat_ws("/", "group_id", "_pair.a", "_pair.b")
-    apart = rows(pairs, "simultaneous_exclusion", named, F.when(both, F.lit("BLOCKED")).otherwise(F.lit("ELIGIBLE")))
-    cover = (
-        required.join(g.select("group_id", F.col("_g_mode").alias("mode"), F.explode("_g_paths").alias("path_id")), "group_id")
-        .join(operations.select("op_id", "mode"), ["op_id", "mode"])
-        .select("op_id", "path_id")
-        .distinct()
-    )
-    bare = rows(demands.join(cover, ["op_id", "path_id"], "left_anti"), "demand_capacity_coverage", F.col("path_id"), F.lit("UNRESOLVED"))
-    return open_.unionByName(clash).unionByName(apart).unionByName(held).unionByName(bare)
+    say = lambda check, subject, status, demand=none: F.struct(
+        F.lit(check).alias("check"), subject.cast("string").alias("subject"), status.alias("status"), demand.alias("demand")
+    )
+    unresolved, group, eligible = F.lit("UNRESOLVED"), F.col("group_id"), F.lit("ELIGIBLE")
+    held = say("combined_capacity", group, F.when(F.col("_total") <= F.col("_g.limit"), eligible).otherwise(F.lit("BLOCKED")), F.col("_total"))
+    first = F.when(F.col("_unknown"), say("capacity_condition_unknown", group, unresolved)).when(F.col("_mixed"), say("capacity_unit_mismatch", group, unresolved)).otherwise(held)
+    active = lambda path: F.coalesce(F.exists("_met", lambda d: (d["path_id"] == path) & d["positive"]), F.lit(False))
+    apart = lambda x: say(
+        "simultaneous_exclusion", F.concat_ws("/", group, x["a"], x["b"]), F.when(active(x["a"]) & active(x["b"]), F.lit("BLOCKED")).otherwise(eligible)
+    )
+    pairs = F.when(~F.col("_unknown") & ~F.col("_mixed"), F.transform("_g.excluded", apart))
+    judged = one.select("op_id", F.inline(joined(F.array(F.array(first), pairs))))
+
+    covered = joined(F.transform(F.filter("_groups", lambda g: F.array_contains("_required", g["group_id"])), lambda g: g["paths"]))
+    cover = own.select(F.col("op_id").alias("_op"), F.array_distinct(covered).alias("_covered")).where(F.size("_covered") > 0)
+    bare = demands.join(cover, (F.col("op_id") == F.col("_op")) & F.array_contains("_covered", F.col("path_id")), "left_anti")
+    return judged.unionByName(bare.select("op_id", say("demand_capacity_coverage", F.col("path_id"), unresolved).alias("_row")).select("op_id", "_row.*"))
 
 
 def shared_edges(steps: DataFrame, edge: list[str], route: str) -> DataFrame:

@@ -61,7 +61,8 @@ def shared_capacity_checks(t: Tables) -> DataFrame:
         F.when(k % 4 == 0, ids("ac", "dc")).when(k % 4 == 1, ids("ac")).when(k % 4 == 2, ids("aux", "none")).otherwise(ids()).alias("required"),
     )
     unit = F.when(F.col("l_linenumber") == 5, F.lit("VA")).otherwise(F.lit("W"))
-    demands = t.lineitem.groupBy(F.col("l_orderkey").alias("op_id"), F.col("l_linenumber").cast("string").alias("path_id"), unit.alias("unit")).agg(F.sum("l_quantity").alias("value"))
+    # lines of an order are summed where they will meet it
+    demands = t.lineitem.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("op_id"), F.col("l_linenumber").cast("string").alias("path_id"), unit.alias("unit")).agg(F.sum("l_quantity").alias("value"))
     rows = t.spark.createDataFrame(
         list(_GROUPS), "group_id string, mode string, battery_count int, least_c double, most_c double, unit string, limit double, ps string, ex string, open boolean"
     )

@@ -13,6 +13,33 @@ from plumbline.sources import html, storage
 GROUP = "group_id string, mode string, battery_count int, least_c double, most_c double, unit string, limit double, paths array<string>, excluded array<struct<a:string,b:string>>, open boolean"
 
 
+def test_capacity_checks_shuffle_operations_and_demands_once(spark):
+    n, width = 4000, 5
+    rows = [(f"g{k}", "m", None, None, None, "W", 10.0, ["p0", f"p{k + 1}"], [("p0", f"p{k + 1}")], False) for k in range(3)]
+    groups = spark.createDataFrame(rows, GROUP)
+    operations = storage.cut(spark.range(n).select(
+        F.col("id").alias("op_id"), F.lit("m").alias("mode"), F.lit(1).alias("battery_count"), F.lit(1.0).alias("temperature_c"), F.array(F.lit("g0"), F.lit("x")).alias("required")
+    ))
+    demands = storage.cut(spark.range(n * width).repartition(4).select(
+        (F.col("id") / width).cast("long").alias("op_id"), F.concat(F.lit("p"), F.col("id") % width).alias("path_id"), F.lit(6.0).alias("value"), F.lit("W").alias("unit")
+    ))
+    given = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for c in given:
+        spark.conf.set(c, "-1")
+    before = shuffled_rows(spark)
+    got = power.shared_capacity_checks(operations, demands.repartition("op_id"), groups).groupBy("check", "status").count().collect()
+    moved = shuffled_rows(spark) - before
+    for c, v in given.items():
+        spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert sorted(tuple(r) for r in got) == [
+        ("capacity_condition_unknown", "UNRESOLVED", n), ("combined_capacity", "BLOCKED", 3 * n), ("demand_capacity_coverage", "UNRESOLVED", 3 * n), ("simultaneous_exclusion", "BLOCKED", 3 * n)
+    ]
+    # demands and operations for the sums and for the coverage
+    assert moved < 2.2 * n * (width + 1)
+    with pytest.raises(ValueError, match="2 groups"):
+        power.shared_capacity_checks(operations, demands, groups, 2)
+
+
 def test_capacity_checks_of_every_kind(spark):
     groups = spark.createDataFrame(
         [
