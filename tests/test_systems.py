@@ -309,3 +309,29 @@ def test_scenario_envelope_sums_exactly(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     (row,) = __spark_entry__.queries()["scenario_envelope"](spark, str(tmp_path)).collect()
     assert (row.max_power, row.power_governors) == (100_000_000_100.0, "O")
+
+
+@pytest.mark.parametrize("share", [7, 25_000])
+def test_interval_join_is_brute_force(spark, monkeypatch, share):
+    """Unknown and touching ends, spans without an inside or over many buckets, copies, and buckets dealt over shares."""
+    monkeypatch.setattr(ranges, "SHARE", share)
+    rng = random.Random(5)
+    at = [(i, rng.choice([None, float("nan"), -0.0, 12.0, *(rng.randint(-80, 160) / 2 for _ in range(6))])) for i in range(300)]
+    spans = [(i, None if i % 41 == 0 else low, low + rng.choice([-1.0, 0.0, 0.5, 4.0, 9.5, 60.0])) for i in range(200) for low in [rng.randint(-80, 160) / 2]]
+    points = spark.createDataFrame(at, "i int, v double")
+    got = [tuple(r) for r in ranges.interval_join(points, "v", spark.createDataFrame(spans, "j int, lo double, hi double"), "lo", "hi", 10.0).collect()]
+    want = [(i, v, *s) for i, v in at for s in spans if None not in (v, s[1]) and s[1] <= v < s[2]]
+    assert sorted(got) == sorted(want) and len({r[0] for r in want}) > 100
+    kept = ranges.interval_join(points, "v", spark.createDataFrame(spans, "j int, lo double, hi double"), "lo", "hi", 10.0, ["i", "j"])
+    assert kept.columns == ["i", "j"] and sorted(map(tuple, kept.collect())) == sorted((r[0], r[2]) for r in want)
+
+
+def test_files_of_interval_pairs_stay_small(spark, tmp_path):
+    """Each copy of the tables multiplies the pairs; one took 1.5 bytes in a file here, as points came in no order."""
+    points = storage.cut(spark.range(3000).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100).alias("v")))
+    low = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).cast("double")
+    spans = storage.cut(spark.range(3000).select((F.col("id") * 7919 % 100_003).alias("j"), low.alias("lo"), (low + 30).alias("hi")))
+    ranges.interval_join(points, "v", spans, "lo", "hi", 50.0).select("i", "j").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs == points.join(spans, (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))).count() > 2_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * pairs
