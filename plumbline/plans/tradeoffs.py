@@ -61,7 +61,7 @@ UNION ALL SELECT option, 'advisory_context', 'known', NULL, v, NULL, 0 FROM aa)
 """
 
 
-def _component_facts(t: Tables) -> DataFrame:
+def _component_facts(t: Tables, kinds: list[str] | None = None) -> DataFrame:
     k, size, name = F.col("component"), F.col("p_size"), F.col("p_name")
     part = t.part.withColumnRenamed("p_partkey", "component")
     dims = F.nullif(F.col("p_type"), F.lit("PROMO"))
@@ -87,9 +87,10 @@ def _component_facts(t: Tables) -> DataFrame:
     )
     owned = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("option"), F.col("l_linenumber").alias("role"), F.lit("USD").alias("currency"))
     qualified = part.where(F.col("p_type").endswith("TIN")).select("component", F.lit("body").alias("assertion"), dims.alias("value"))
-    return tradeoffs.component_facts(
-        bindings, records, prices, owned, capabilities, quiet.unionByName(odd), ["monitoring", "communication"], ["quiet"], qualified
-    )
+    told = (bindings, records, prices, owned, capabilities)
+    if kinds is not None:
+        return tradeoffs.component_columns(*told, kinds)
+    return tradeoffs.component_facts(*told, quiet.unionByName(odd), ["monitoring", "communication"], ["quiet"], qualified)
 
 
 def _system_facts(t: Tables) -> DataFrame:
@@ -130,5 +131,8 @@ def tradeoff_comparisons(t: Tables) -> DataFrame:
     """Each order of a customer against the customer's next one, criterion by criterion."""
     following = F.expr("lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)")
     pairs = t.orders.select(F.col("o_orderkey").alias("a"), following.alias("b")).where("b is not null")
-    facts = _system_facts(t).withColumn("value", F.round("value", 2))
-    return tradeoffs.compared(pairs, facts, _TIERS)
+    kinds = [kind for tier in _TIERS for kind, _ in tier]
+    options = t.orders.select(F.col("o_orderkey").alias("option"))
+    rows = tradeoffs.system_columns(options, _component_facts(t, tradeoffs.parts_of(kinds)), kinds)
+    rounded = {k: F.col(f"`{k}`").withField("value", F.round(F.col(f"`{k}`")["value"], 2)) for k in kinds}
+    return tradeoffs.compared_columns(pairs, rows.withColumns(rounded), _TIERS)
