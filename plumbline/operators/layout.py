@@ -13,12 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..sources.storage import cut
 
 #: Fixed values of the HTML standard: the widest and the highest cell there is.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Boxes and ruling lines of a page that one task takes whole, and about how many of several pages it takes at once.
+PAGE = 50_000
+#: About how many pairs of a box and a cell are compared at once.
+PAIRS = 1_000_000
 
 
 def _with(schema: StructType, **more: str) -> StructType:
@@ -288,6 +292,185 @@ def nearest_cover(items: DataFrame, rules: DataFrame, key: list[str], width: flo
     return _covers(asked, sound, key, width, ("", "far")).select(*key, "id", F.col("far_rule").alias("rule"), F.col("far_at").alias("at"))
 
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole pages, some at a time, of rows sorted by ``_place``."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n < PAGE:
+            continue
+        rows = pa.Table.from_batches(held)
+        place = rows["_place"].to_numpy()
+        end = int(np.searchsorted(place, place[-1]))
+        if end:
+            yield rows.slice(0, end).combine_chunks()
+        held, n = rows.slice(end).to_batches(), len(place) - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _codes(table: pa.Table, key: list[str]) -> np.ndarray:
+    """A number of each row that only rows of the same key have."""
+    group = np.zeros(len(table), np.int64)
+    for c in key:
+        codes = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    return group
+
+
+def _steps(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from ``first`` to ``last`` of every row: the row, and the number."""
+    n = np.maximum(last - first + 1, 0).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _bounds(*numbers: np.ndarray) -> tuple[float, float]:
+    """The least and the greatest finite number."""
+    known = np.concatenate(numbers)
+    known = known[np.isfinite(known)]
+    return (float(known.min()), float(known.max())) if len(known) else (0.0, 0.0)
+
+
+def _around(lines: dict[str, np.ndarray], items: list[np.ndarray], width: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``at, low, high`` of the nearest line before each item and of the nearest after it that cover it, not numbers where it has none.
+
+    ``items``: their group, low, high, and where they begin and end across.  Lines and items meet in buckets of ``width``, as in ``_covers``.
+    """
+    group, low, high, begin, end = items
+    bucket = lambda x: np.floor(x / width)
+    least, most = _bounds(bucket(low))
+    of, at = _steps(np.maximum(bucket(lines["_low"]), least), np.minimum(bucket(lines["_high"]), most))
+    span = int(most - least) + 1
+    place, asked = (g * span + (b - least).astype(np.int64) for g, b in ((lines["group"][of], at), (group, np.clip(bucket(low), least, most))))
+    places, place = np.unique(place, return_inverse=True)
+    own = np.searchsorted(places, asked)
+    known = np.flatnonzero(places[np.minimum(own, len(places) - 1)] == asked) if len(places) else np.zeros(0, np.int64)
+    found = []
+    for sign, edge, across in ((-1, "_edge_from", begin), (1, "_edge_to", end)):
+        near = _Lines(place, *(lines[c][of] for c in ("_rule", "_low", "_high")), lines["_at"][of] * sign, lines[edge][of] * sign)
+        k = near.nearest(own[known], low[known], high[known], across[known] * sign)
+        hit = k >= 0
+        side = []
+        for x in (near.at * sign, near.low, near.high):
+            out = np.full(len(group), np.nan)
+            out[known[hit]] = x[k[hit]]
+            side.append(out)
+        found.append(tuple(side))
+    return found
+
+
+_NUMBERS = ["x0", "x1", "y0", "y1"]
+_PLACE = ["left", "right", "bottom", "top"]
+
+
+def _cells_of_boxes(rows: DataFrame, key: list[str], width: float) -> DataFrame:
+    """``key, _place, id`` and sides of boxes with the ``left, right, bottom, top`` of the cell they lie in, not numbers where they lie in none.
+
+    ``rows`` are boxes (``_kind`` 2), level (0) and upright (1) lines, sorted by ``_place``, a page of them in one task.
+    """
+    carried = [*key, "_place", "id", *_NUMBERS]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in _pages(batches):
+            group, kind = _codes(page, key), page["_kind"].to_numpy()
+            of_kind = []
+            for k in (0, 1):
+                lines = page.filter(pa.array(kind == k))
+                ruled = {c: lines[c].to_numpy() for c in ("_rule", "_low", "_high", "_at", "_edge_from", "_edge_to")} | {"group": group[kind == k]}
+                # an unknown number is in no comparison
+                sound = ~np.isnan(np.stack([ruled[c] for c in ("_low", "_high", "_at", "_edge_from", "_edge_to")])).any(axis=0)
+                of_kind.append({c: x[sound] for c, x in ruled.items()})
+            boxes = page.filter(pa.array(kind == 2))
+            x0, x1, y0, y1 = sides = [boxes[c].to_numpy() for c in _NUMBERS]
+            place = np.full((4, len(boxes)), np.nan)
+            at = np.flatnonzero(~np.isnan(np.stack(sides)).any(axis=0))
+            own = group[kind == 2]
+            (bottom, b_low, b_high), (top, t_low, t_high) = _around(of_kind[0], [own[at], x0[at], x1[at], y0[at], y1[at]], width)
+            both = np.flatnonzero(~np.isnan(bottom) & ~np.isnan(top))
+            at, bottom, top = at[both], bottom[both], top[both]
+            least, most = np.maximum(b_low, t_low)[both], np.minimum(b_high, t_high)[both]
+            (left, _, _), (right, _, _) = _around(of_kind[1], [own[at], bottom, top, x0[at], x1[at]], width)
+            whole = (least <= left) & (most >= right)
+            place[:, at[whole]] = np.stack([left, right, bottom, top])[:, whole]
+            out = pa.Table.from_arrays([*boxes.select(carried).columns, *map(pa.array, place)], [*carried, *_PLACE])
+            yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(walk, _with(StructType([rows.schema[c] for c in carried]), **dict.fromkeys(_PLACE, "double")))
+
+
+def _boxes_of_cells(boxes: DataFrame, key: list[str], width: float) -> DataFrame:
+    """The cells of ``grid_cells`` from boxes of ``_cells_of_boxes``, which lie page by page."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = lambda x: np.floor(x / width)
+        for page in _pages(batches):
+            group = _codes(page, key)
+            sides = np.stack([page[c].to_numpy() for c in _PLACE]) + 0.0
+            some = np.flatnonzero(~np.isnan(sides[0]))
+            if not len(some):
+                continue
+            some = some[np.lexsort((*sides[:, some], group[some]))]
+            facts = np.vstack([group[some], sides[:, some]])
+            some = some[np.concatenate([[True], (facts[:, 1:] != facts[:, :-1]).any(axis=0)])]
+            # an unknown number is greater than any other here
+            x0, x1, y0, y1 = (np.where(np.isnan(x), np.inf, x) for x in (page[c].to_numpy() for c in _NUMBERS))
+            left, right, bottom, top = sides[:, some]
+            across, along = _bounds(bucket(x0), bucket(x1)), _bounds(bucket(y0), bucket(y1))
+            at = lambda x, ends: np.clip(bucket(x), *ends)
+
+            def spread(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                ranges = [np.sort([at(low, ends), at(high, ends)], axis=0) for low, high, ends in ((a, b, across), (c, d, along))]
+                of, cx = _steps(*ranges[0])
+                again, cy = _steps(*ranges[1][:, of])
+                return of[again], cx[again], cy
+
+            cell, cell_x, cell_y = spread(left, right, bottom, top)
+            box, box_x, box_y = spread(x0, x1, y0, y1)
+            place = np.concatenate([group[some][cell], group[box]])
+            for x in (np.concatenate([cell_x, box_x]), np.concatenate([cell_y, box_y])):
+                code = np.unique(x, return_inverse=True)[1]
+                place = np.unique(place * (int(code.max()) + 1) + code, return_inverse=True)[1]
+            of_cell, of_box = place[: len(cell)], place[len(cell) :]
+            order = np.argsort(of_box, kind="stable")
+            first, end = (np.searchsorted(of_box[order], of_cell, side) for side in ("left", "right"))
+            crossed, held = np.zeros(len(some), bool), []
+            # a share of the pairs at a time
+            share = np.cumsum(end - first) // PAIRS
+            for these in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(share)) + 1):
+                k, near = _steps(first[these], end[these] - 1)
+                k, b = these[k], box[order[near]]
+                c = cell[k]
+                # a pair meets in several buckets and counts in that of the lower corner of what they share
+                here = (at(np.maximum(x0[b], left[c]), across) == cell_x[k]) & (at(np.maximum(y0[b], bottom[c]), along) == cell_y[k])
+                touches = (y0[b] < top[c]) & (y1[b] > bottom[c]) & (x0[b] < right[c]) & (x1[b] > left[c]) & (y0[b] > bottom[c])
+                inside = (x0[b] >= left[c]) & (x1[b] <= right[c]) & (y1[b] < top[c])
+                crossed[c[here & touches & ~inside]] = True
+                held.append((c[here & touches & inside], b[here & touches & inside]))
+            c, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(c):
+                continue
+            # boxes of one id are one item
+            ids = page["id"].combine_chunks()
+            code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            pair = np.unique(c * (int(code.max()) + 1) + code[b], return_index=True)[1]
+            c, b = c[pair], b[pair]
+            known = ids.is_valid().to_numpy(zero_copy_only=False)[b]
+            owner = np.unique(group[b] * (int(code.max()) + 1) + code[b], return_inverse=True)[1]
+            n = np.bincount(c, minlength=len(some))
+            good = (n > 0) & ~crossed & (np.bincount(c, (np.bincount(owner)[owner] > 1) & known, len(some)) == 0)
+            named = good[c] & known
+            listed = np.bincount(c[named], minlength=len(some))[good]
+            # pairs lie by cell
+            items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(listed)]), pa.int32()), ids.take(pa.array(b[named])))
+            columns = [page[k].combine_chunks().take(pa.array(some[good])) for k in key]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[good]) for x in (left, right, bottom, top)), pa.array(n[good]), items], names=names)
+
+    names = [*key, *_PLACE, "n_items", "items"]
+    out = _with(StructType([boxes.schema[c] for c in key]), **dict.fromkeys(_PLACE, "double"), n_items="long").add("items", ArrayType(boxes.schema["id"].dataType))
+    return boxes.mapInArrow(walk, out).withColumn("items", F.array_sort("items"))
+
+
 def grid_cells(boxes: DataFrame, rules: DataFrame, key: list[str], width: float) -> DataFrame:
     """``key, left, right, bottom, top, n_items, items``: the cells between ruling lines that own boxes.
 
@@ -296,6 +479,8 @@ def grid_cells(boxes: DataFrame, rules: DataFrame, key: list[str], width: float)
     of the nearest upright ones that pass from one of these to the other; the level ones must reach both.  A cell owns the boxes inside it.  One
     that a box crosses, or that shares a box with another cell, is no cell: a part of a text gains no owner.  ``items`` are sorted.
     ``width`` is the bucket of all comparisons, about the width of a cell.
+
+    Boxes and lines are dealt once, by page, where a page has at most ``PAGE`` of both; a larger one is dealt by buckets, once for each comparison.
     """
     double = lambda c: c.cast("double")
 
@@ -305,9 +490,32 @@ def grid_cells(boxes: DataFrame, rules: DataFrame, key: list[str], width: float)
         found = df.select(*key, F.col("rule").cast("long").alias("_id"), *[double(c).alias(n) for n, c in columns.items()])
         return found.where("_low <= _high AND _edge_to IS NOT NULL")
 
-    # without keys that meet nothing, both uses of the boxes are one
-    own = boxes.select(*key, "id", "x0", "x1", "y0", "y1").dropna(subset=key)
+    own = boxes.select(*key, "id", *_NUMBERS).dropna(subset=key)
     level, upright = lines(rules.where(F.col("y0") == F.col("y1")), "x", "y"), lines(rules.where(F.col("x0") == F.col("x1")), "y", "x")
+    rows = reduce(DataFrame.unionAll, [df.select(*key) for df in (own, level, upright)])
+    crowded = rows.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > PAGE).drop("_n").collect()
+
+    def paged(own: DataFrame, level: DataFrame, upright: DataFrame) -> DataFrame:
+        numbers = own.select(*key, "id", *[double(F.col(c)).alias(c) for c in _NUMBERS]).where(" AND ".join(f"{c} IS NOT NULL" for c in _NUMBERS))
+        both = numbers.withColumn("_kind", F.lit(2).cast("byte"))
+        for kind, ruled in enumerate((level, upright)):
+            more = ruled.dropna(subset=key).select(
+                *key, F.col("_id").alias("_rule"), "_low", "_high", F.col("_from").alias("_at"), "_edge_from", "_edge_to", F.lit(kind).cast("byte").alias("_kind")
+            )
+            both = both.unionByName(more, allowMissingColumns=True)
+        dealt = both.withColumn("_place", F.xxhash64(*key)).repartition(*key).sortWithinPartitions("_place")
+        return _boxes_of_cells(_cells_of_boxes(dealt, key, width), key, width)
+
+    if not crowded:
+        return paged(own, level, upright)
+    full = F.broadcast(own.sparkSession.createDataFrame(crowded, StructType([own.schema[c] for c in key])))
+    few, many = ([df.join(full, key, how) for df in (own, level, upright)] for how in ("left_anti", "left_semi"))
+    return paged(*few).unionByName(_bucketed_cells(*many, key, width))
+
+
+def _bucketed_cells(own: DataFrame, level: DataFrame, upright: DataFrame, key: list[str], width: float) -> DataFrame:
+    """``grid_cells`` of pages that are too large for one task: a task holds the lines of one page and bucket."""
+    double = lambda c: c.cast("double")
     ends = {"_low": "x0", "_high": "x1", "_from": "y0", "_to": "y1"}
     asked = own.select(*key, *[double(F.col(c)).alias(n) for n, c in ends.items()]).dropna(subset=[*ends])
     held = _covers(asked, level, key, width, ("bottom", "top")).select(

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from compare import shuffled_rows
 from pyspark.sql import functions as F
 
 from plumbline.operators import layout, links, selection, sequences
@@ -147,6 +148,45 @@ def test_ruled_cells_by_hand(spark):
     assert sorted((r.left, r.right, r.bottom, r.top, r.n_items, r["items"]) for r in got) == [(0.0, 10.0, 0.0, 10.0, 2, [1, 2]), (10.0, 20.0, 0.0, 10.0, 1, [5])]
 
 
+def test_cells_of_whole_pages_and_of_crowded_ones_are_the_same(spark, monkeypatch):
+    """Pages without a key, boxes of one id, without an id, upside down, without an inside or with an unknown side, and pages of several sizes."""
+    rng = random.Random(4)
+    pages = {"a": 12, "b": 80, "c": 300, "d": 5, None: 40}
+    ruled = lambda p, k, at, low, high, up: (p, k, *((at, at, low, high) if up else (low, high, at, at)), rng.choice([0.0, 0.5, None] if k % 29 == 0 else [0.5]))
+    rules = [ruled(p, k, 10.0 * rng.randint(-2, 8), *sorted((10.0 * rng.randint(-2, 3), 10.0 * rng.randint(3, 9))), k % 2) for p, n in pages.items() for k in range(n)]
+    boxes = []
+    for p, n in pages.items():
+        for k in range(4 * n):
+            x, y = 10.0 * rng.randint(-2, 8) + rng.choice([1.0, 1.5, 7.0]), 10.0 * rng.randint(-2, 8) + rng.choice([1.0, 2.0])
+            wide, high = rng.choice([1.0, 2.0, 2.0, 0.0]), rng.choice([1.0, 2.0, 3.0, -1.0 if k % 9 == 0 else 1.0])
+            sides = [x, x + wide, y, y + high]
+            if k % 23 == 0:
+                sides[rng.randrange(4)] = None
+            boxes.append((p, None if k % 31 == 0 else k - k % 2 if k % 7 == 0 else k, *sides))
+    boxes += [("a", -1, 1.0, 2.0, 30.0, float("inf")), ("d", -2, float("-inf"), float("inf"), 1.0, 2.0)]
+    lines = spark.createDataFrame(rules, "page string, rule long, x0 double, x1 double, y0 double, y1 double, ink double").repartition(3)
+    df = spark.createDataFrame([b for b in boxes if b[1] not in (-1, -2)], "page string, id long, x0 double, x1 double, y0 double, y1 double").repartition(3)
+    cells = lambda df: sorted((r.page, r.left, r.right, r.bottom, r.top, r.n_items, tuple(r["items"])) for r in layout.grid_cells(df, lines, ["page"], 7.0).collect())
+    want = cells(df)
+    assert len(want) > 15 and len({r[0] for r in want}) > 2 and any(r[5] > 1 for r in want)
+    for most in (100, 0):
+        monkeypatch.setattr(layout, "PAGE", most)
+        assert cells(df) == want
+    monkeypatch.undo()
+    # a box without an end stops at nothing, and costs no more than any other
+    endless = cells(spark.createDataFrame(boxes, df.schema))
+    assert {r for r in endless if r[0] not in ("a", "d")} == {r for r in want if r[0] not in ("a", "d")} and not any({-1, -2} & set(r[6]) for r in endless)
+
+
+def test_a_page_is_dealt_once(spark):
+    """Boxes were shuffled for level lines, for upright ones and once more for the cells: 11 rows of a line in all."""
+    import __spark_entry__
+
+    before = shuffled_rows(spark)
+    __spark_entry__.queries()["grid_cells"](spark, "/root/testdata/sf0.001").count()
+    assert shuffled_rows(spark) - before < 6.5 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
 def test_backward_demand_by_hand(spark):
     edges = [
         (1, 1, 90.0, True, False, None, None, 200.0, 100.0), (1, 2, 90.0, True, True, 0.5, 100.0, None, 150.0), (1, 3, 90.0, True, False, None, None, 80.0, None),
